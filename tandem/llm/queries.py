@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from .mixing import op1_source_mixing
 from .near_dups import op5_ngram_jaccard_join
+from .pii import op10_weak_pii
+from .quality import op3_mcd_quality
+from .secrets import op6_secret_scan
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_source_mixing,
+        op3_mcd_quality,
         op5_ngram_jaccard_join,
+        op6_secret_scan,
+        op10_weak_pii,
     )
 }
 
