@@ -47,6 +47,8 @@ MAX_MATCHES = 4
 VERIFY = 8.0
 #: A task packs its postings whenever it holds so many.
 CHUNK = 4_000_000
+#: Postings that a task counts at a time, about.
+BUCKET = 1_500_000
 #: A shingle is very common when 1 in HOT of all documents has it; so the list's length is at most
 #: HOT times the mean set size, whatever the number of documents.
 HOT = 400
@@ -316,7 +318,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hot = common.a.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot)
     hot, hot_counts = hot[order], common.df.to_numpy(np.int64)[order]
-    buckets = 1 << max(0, (max(1, total // CHUNK)).bit_length() - 1)
+    buckets = 1 << max(0, (max(1, total // BUCKET)).bit_length() - 1)
     blocks = texts.select("text").mapInArrow(pack(hot, buckets), BLOCK)
     shared = blocks.groupBy("bucket").applyInPandas(count(hot, hot_counts, buckets), "fp long, n long, token long, df long")
     sets = written(prefixes(shared), "sets")
