@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from .class_lm import op8_brown_lm
+from .decontamination import op7_decontamination
 from .mixing import op1_source_mixing
 from .near_dups import op5_ngram_jaccard_join
 from .pii import op10_weak_pii
 from .quality import op3_mcd_quality
 from .secrets import op6_secret_scan
+from .token_output import op9_token_output
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +18,9 @@ QUERIES = {
         op3_mcd_quality,
         op5_ngram_jaccard_join,
         op6_secret_scan,
+        op7_decontamination,
+        op8_brown_lm,
+        op9_token_output,
         op10_weak_pii,
     )
 }
