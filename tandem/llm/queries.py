@@ -10,11 +10,13 @@ from .pii import op10_weak_pii
 from .quality import op3_mcd_quality
 from .secrets import op6_secret_scan
 from .token_output import op9_token_output
+from .toxicity import op2_toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_source_mixing,
+        op2_toxicity,
         op3_mcd_quality,
         op5_ngram_jaccard_join,
         op6_secret_scan,
