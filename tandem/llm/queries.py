@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .class_lm import op8_brown_lm
 from .decontamination import op7_decontamination
+from .language_id import op4_crf_language
 from .mixing import op1_source_mixing
 from .near_dups import op5_ngram_jaccard_join
 from .pii import op10_weak_pii
@@ -18,6 +19,7 @@ QUERIES = {
         op1_source_mixing,
         op2_toxicity,
         op3_mcd_quality,
+        op4_crf_language,
         op5_ngram_jaccard_join,
         op6_secret_scan,
         op7_decontamination,
