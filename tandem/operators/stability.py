@@ -24,7 +24,7 @@ def rolling_engle_granger(bars: DataFrame, window: int = 504, step: int = 21, al
     rows = log_prices(bars).withColumn("n", size)
     first = F.greatest(F.ceil((F.col("idx") - window + 1) / step), F.lit(0))
     last = F.least(F.floor(F.col("idx") / step), F.floor((F.col("n") - window) / step))
-    placed = rows.where(F.col("n") >= window).withColumn("start_index", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))) * step)
+    placed = rows.where(F.col("n") >= window).withColumn("k", F.explode(F.when(last >= first, F.sequence(first, last)))).withColumn("start_index", F.col("k") * step)
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("idx")

@@ -103,7 +103,7 @@ cashed AS (
 audit AS (
   SELECT *, qty_a * price_a + qty_b * price_b AS position_value, cash + qty_a * price_a + qty_b * price_b AS nav, coalesce(lag(cash) OVER (PARTITION BY pair_id ORDER BY idx) * r, 0) AS interest_this_bar FROM cashed
 ),
-moves AS (SELECT * FROM (SELECT pair_id, idx, nav / lag(nav) OVER (PARTITION BY pair_id ORDER BY idx) - 1 AS ret FROM audit) WHERE ret IS NOT NULL),
+moves AS (SELECT pair_id, idx, CASE WHEN before > 0 THEN nav / before - 1 END AS ret FROM (SELECT *, lag(nav) OVER (PARTITION BY pair_id ORDER BY idx) AS before FROM audit) WHERE before IS NOT NULL),
 falls AS (SELECT pair_id, idx, nav, peak, nav / peak - 1 AS drawdown FROM (SELECT *, max(nav) OVER (PARTITION BY pair_id ORDER BY idx) AS peak FROM audit)),
 worst AS (SELECT pair_id, min(drawdown) AS max_drawdown, arg_min(idx, (drawdown, idx)) AS trough, arg_min(peak, (drawdown, idx)) AS top, max(idx) AS last_idx FROM falls GROUP BY pair_id),
 deepest AS (
