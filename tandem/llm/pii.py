@@ -180,7 +180,7 @@ def train(codes: np.ndarray, counts: np.ndarray) -> dict[str, float]:
 
 
 def find_pii(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and the spans (kind, start, end, score) of every text, by start, then kind as in KINDS."""
+    """doc_id and the spans (kind, start, end, base, score) of every text, by start, then kind as in KINDS."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     labelled = written(texts.mapInArrow(label, "doc_id long, found array<struct<kind:string,start:long,end:long,base:boolean,code:string>>"), "labelled")
     patterns = labelled.select(F.explode("found.code").alias("code")).groupBy("code").count().orderBy("code").toPandas()
@@ -196,13 +196,13 @@ def find_pii(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 base = [f for f in found if f["base"]]
                 extra = [f for f in found if not f["base"] and scores[f["code"]] >= threshold and not any(b["start"] < f["end"] and b["end"] > f["start"] for b in base)]
                 both = sorted(base + extra, key=lambda f: (f["start"], KINDS.index(f["kind"])))
-                rows.append([{"kind": f["kind"], "start": f["start"], "end": f["end"], "score": scores[f["code"]]} for f in both])
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+                rows.append([{"kind": f["kind"], "start": f["start"], "end": f["end"], "base": f["base"], "score": scores[f["code"]]} for f in both])
+            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "spans"])
 
-    return labelled.mapInArrow(decide, "doc_id long, spans array<struct<kind:string,start:long,end:long,score:double>>")
+    return labelled.mapInArrow(decide, "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean,score:double>>")
 
 
 def op10_weak_pii(spark, sf_dir: str) -> DataFrame:
     found = find_pii(documents(spark, sf_dir))
-    return found.select("doc_id", *digest(found, KINDS[:BASE]))
+    return found.select("doc_id", *digest(found, KINDS[:BASE], flagged=True))

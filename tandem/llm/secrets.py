@@ -113,9 +113,10 @@ def listed(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def digest(found: DataFrame, kinds: tuple[str, ...]) -> list:
-    """Counts per base kind, the hash of the base spans, and all spans as text."""
-    of = lambda *k: F.filter("spans", lambda s: s["kind"].isin(*k))
+def digest(found: DataFrame, kinds: tuple[str, ...], flagged: bool = False) -> list:
+    """Counts per base kind, the hash of the base spans, and all spans as text. Where spans are ``flagged``, those of
+    a base kind that aren't base count among all only."""
+    of = lambda *k: F.filter("spans", lambda s: (s["kind"].isin(*k) & s["base"]) if flagged else s["kind"].isin(*k))
     return [*(F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds), F.sha2(listed(of(*kinds)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")]
 
 
