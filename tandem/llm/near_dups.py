@@ -19,7 +19,9 @@ Stages, all of them Spark jobs:
 3. prefixes per class;
 4. every class is verified against its best hub (the class with the fewest shingles of its own
    among those sharing a prefix shingle); this joins a group of k near copies by about k pairs;
-5. remaining pairs: only between different components, with enough shared prefix shingles,
+   Then in turns, while that keeps cutting the estimate of what is left, classes outside the main
+   component of a shingle are verified against a few classes inside it;
+5. all remaining pairs: only between different components, with enough shared prefix shingles,
    then verified; a shingle whose classes are all in one component yields none;
 6. connected components by large-star / small-star steps.
 
@@ -35,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, raw, written
@@ -45,8 +47,13 @@ PERCENT = 75
 MAX_MATCHES = 4
 #: Cost of verifying a candidate, in postings.
 VERIFY = 8.0
+#: Rounds in which classes outside a shingle's main component try HUBS classes inside it each.
+TURNS = 4
+HUBS = 4
+#: Shingles of more classes than this are joined together with the classes' prefixes.
+LARGE = 48
 #: A task packs its postings whenever it holds so many.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Postings that a task counts at a time, about.
 BUCKET = 1_500_000
 #: A shingle is very common when 1 in HOT of all documents has it; so the list's length is at most
@@ -59,7 +66,7 @@ class WordHash(dict):
     """64-bit hashes of words, kept while there are few enough of them."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -217,14 +224,18 @@ def count(hot: np.ndarray, hot_counts: np.ndarray, buckets: int):
     return run
 
 
+def need():
+    """The least overlap of a linking pair, from one side's size."""
+    return F.floor((F.col("n") * PERCENT + 99) / 100)
+
+
 def prefixes(shared: DataFrame) -> DataFrame:
     """Per class that can link at all: n, shared shingles rarest first, l, and how many of them its prefix holds."""
-    need = F.floor((F.col("n") * PERCENT + 99) / 100)
     sets = (
         shared.groupBy("fp")
         .agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("posting"))
         .withColumn("s", F.size("posting").cast("long"))
-        .withColumn("need", need)
+        .withColumn("need", need())
         .where("s >= need")
     )
     room = lambda l: F.col("s") - F.col("need") + l  # noqa: E731  of the prefix n - need + l, the n - s unshared come first
@@ -276,10 +287,38 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
+def opened(postings: DataFrame, found: DataFrame) -> tuple[DataFrame, int]:
+    """Postings of the shingles whose classes are in several components, with their component and the
+    shingle's main one; and how many pairs of a posting outside the main component with any other."""
+    comp = components(found)
+    placed = postings.join(comp, postings.fp == comp.node, "left").withColumn("comp", F.coalesce("root", "fp")).drop("node", "root")
+    per_comp = placed.groupBy("token", "comp").agg(F.count("*").alias("m"))
+    tokens = per_comp.groupBy("token").agg(F.max(F.struct("m", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("m").alias("m")).where("comps > 1")
+    tokens = written(tokens.select("token", F.col("main.comp").alias("main"), ((F.col("m") - F.col("main.m")) * F.col("m")).alias("pairs")), "tokens")
+    return placed.join(tokens.drop("pairs"), "token"), tokens.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+
+
+def to_hubs(placed: DataFrame, turn: int) -> DataFrame:
+    """For each class outside a main component, the HUBS classes of main components it shares most with, of some that ``turn`` picks."""
+    pick = lambda k: F.min(F.when(F.col("comp") == F.col("main"), F.struct(F.xxhash64("fp", F.lit(turn * HUBS + k)).alias("h"), "fp", "n", "s")))
+    hubs = placed.groupBy("token").agg(F.array_distinct(F.array(*(F.struct(*(pick(k)[c].alias(c) for c in ("fp", "n", "s"))) for k in range(HUBS)))).alias("hubs"))
+    shared = (
+        placed.where("comp != main")
+        .join(hubs, "token")
+        .select("fp", "n", "s", F.explode("hubs").alias("hub"))
+        .alias("x")
+        .where(can_link("x", "hub"))
+        .groupBy("fp", F.col("hub.fp").alias("b"))
+        .agg(F.count("*").alias("m"))
+    )
+    rank = F.row_number().over(Window.partitionBy("fp").orderBy(F.desc("m"), "b"))
+    return shared.withColumn("rank", rank).where(F.col("rank") <= HUBS).select(F.col("fp").alias("a"), "b")
+
+
 def links(sets: DataFrame) -> DataFrame:
     """Verified links that hold every component of the similarity graph together."""
-    own = F.round((F.col("n") - F.col("s")) / F.col("n"), 3)
-    postings = sets.select("fp", "n", "s", "l", own.alias("own"), F.explode(F.slice("tokens", 1, F.col("k"))).alias("token"))
+    prefix = F.slice("tokens", 1, F.col("k"))
+    postings = sets.select("fp", "n", "s", "l", F.round((F.col("n") - F.col("s")) / F.col("n"), 3).alias("own"), F.explode(prefix).alias("token"))
     hubs = postings.groupBy("token").agg(F.min(F.struct("own", "fp", "n", "s")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("token", "hub")
     best = (
         postings.alias("x")
@@ -291,21 +330,36 @@ def links(sets: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("m", "b")).alias("best"))
         .select("a", "best.b")
     )
-    first = written(verified(best, sets), "links")
-    comp = written(components(first), "components")
-    placed = postings.join(comp, postings.fp == comp.node, "left").select("token", "fp", "n", "s", "l", F.coalesce("root", "fp").alias("comp"))
-    per_comp = placed.groupBy("token", "comp").agg(F.count("*").alias("m"))
-    open_tokens = per_comp.groupBy("token").agg(F.max(F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("main.comp").alias("main"))
-    placed = written(placed.join(open_tokens, "token"), "open")
-    pairs = (
-        placed.where("comp != main").alias("x")
-        .join(placed.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.fp") < F.col("y.fp"))) & can_link("x", "y"))
-        .groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-        .agg(F.count("*").alias("m"), F.min(F.least("x.l", "y.l")).alias("l"))
-        .where("m >= l")
-        .select("a", "b")
-    )
-    return first.union(written(verified(pairs, sets), "links"))
+    found = written(verified(best, sets), "links")
+    every, before = postings.count(), None
+    for turn in range(TURNS):
+        placed, pairs = opened(postings, found)
+        if pairs <= every or (before is not None and pairs > 0.8 * before):
+            break
+        placed = written(placed, "open")
+        found, before = written(found.union(verified(to_hubs(placed, turn), sets)), "links"), pairs
+    else:
+        placed, _ = opened(postings, found)
+    first = F.array_contains(F.slice("prefix", 1, (F.col("s") - need() + 1).cast("int")), F.col("token"))
+    placed = written(placed.select("token", "fp", "n", "s", "main", "comp"), "open")
+    side = sets.select("fp", "l", prefix.alias("prefix"), (F.col("s") - F.col("k")).alias("rest"))
+    both = F.array_intersect("x.prefix", "y.prefix")
+    enough = (F.size(both) >= F.least("x.l", "y.l")) & ((F.size(both) + F.greatest("x.rest", "y.rest")) * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT)
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.fp") < F.col("y.fp"))) & can_link("x", "y")
+    large = placed.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > LARGE).select("token")
+    # Shingles of few classes: pairs at once, then what their prefixes share.
+    few = placed.join(large, "token", "left_anti")
+    loose = few.where("comp != main").alias("x").join(few.alias("y"), apart).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    end = lambda x: sets.select(F.col("fp").alias(x), F.struct("n", "l", prefix.alias("prefix"), (F.col("s") - F.col("k")).alias("rest")).alias({"a": "x", "b": "y"}[x]))
+    loose = loose.join(end("a"), "a").join(end("b"), "b").where(enough).select("a", "b")
+    # Shingles of many: the prefixes come along to the join, so that only pairs with enough in common come out, once for
+    # the first such shingle they share.
+    many = placed.join(large, "token", "left_semi")
+    own = many.groupBy("fp").agg(F.collect_set("token").alias("many"))
+    many = written(many.join(side, "fp").where(first).join(own, "fp").withColumn("many", F.array_intersect("prefix", "many")), "many")
+    tight = many.where("comp != main").alias("x").join(many.alias("y"), apart & (F.get(F.array_intersect("x.many", "y.many"), F.lit(0)) == F.col("x.token")) & enough).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    pairs = loose.union(tight).distinct()
+    return found.union(verified(pairs, sets))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
