@@ -45,10 +45,10 @@ LEAST_COUNT = 64
 NO_PAIR = np.uint32(0xFFFFFFFF)
 MAGIC = b"RPG1"
 NO_ID = -(1 << 63)
-CACHE = 500_000
+CACHE = 900_000
 MARKS = '.,;:!?&*%$#|"()'
 #: Texts that are cut at a time.
-TEXTS = 256
+TEXTS = 1024
 
 BLOCKS = "shard int, block int, tokens long, payload binary"
 
@@ -78,10 +78,10 @@ class Pieces(dict):
     def learn(self, pieces: set[str]) -> None:
         if len(self) > CACHE:
             self.clear()
-        new = [p for p in pieces - self.keys() if p and not (p[0].isspace() or p[-1].isspace())]
+        new = [p for p in pieces if p not in self and p and not (p[0].isspace() or p[-1].isspace())]
         # letters and the marks after them are cut apart by the pre-tokenizer as well
         marked = {p: stem for p in new if (stem := p.rstrip(MARKS)) != p and stem.isalpha()}
-        plain = list({marked.get(p, p) for p in new} - self.keys())
+        plain = [p for p in {marked.get(p, p) for p in new} if p not in self]
         self.update(zip(plain, self.encoded([self.before + p for p in plain]), strict=True))
         ends = list({p[len(stem) :] for p, stem in marked.items()})
         ids = dict(zip(ends, self.encoded(ends), strict=True))
