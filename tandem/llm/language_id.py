@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fold
+from .common import documents, fold, written
 
 LANGUAGES = 50
 ROWS = 200
@@ -46,8 +46,8 @@ RATE = 0.15
 DECAY = 1e-4
 SEGMENT = 200
 #: Texts side by side, and words held at a time.
-SIDE = 256
-CHUNK = 1_000_000
+SIDE = 1024
+CHUNK = 2_000_000
 LETTER = re.compile(r"[^\W\d_]")
 EDGE = ".,;:!?\"'()[]{}<>|/\\&%#*~`^=_-+$"
 
@@ -87,35 +87,35 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, step: np.ndarray,
     k = scores.shape[1]
     order = np.argsort(-lengths, kind="stable")
     starts, n = (np.cumsum(lengths) - lengths)[order], lengths[order]
-    move = np.exp(step)
+    move = np.exp(step).astype(scores.dtype)
+    back = np.ascontiguousarray(move.T)
+    seen = np.exp(scores - scores.max(axis=1, keepdims=True)) if len(scores) else scores
     out = np.empty_like(scores)
     total = np.zeros((k, k))
     for lo in range(0, len(n), SIDE):
         s, m = starts[lo : lo + SIDE], n[lo : lo + SIDE]
-        running = [int(np.searchsorted(-m, -t, "left")) for t in range(int(m[0]))] if len(m) else []
-        alphas = []
+        running = np.searchsorted(-m, -np.arange(int(m[0])), "left").tolist()
+        alphas: list[np.ndarray] = []
         for t, r in enumerate(running):
-            e = scores[s[:r] + t]
-            e = np.exp(e - e.max(axis=1, keepdims=True))
-            a = e if t == 0 else (alphas[-1][:r] @ move) * e
-            alphas.append(a / a.sum(axis=1, keepdims=True))
-        beta = np.ones((0, k))
+            a = seen[s[:r] + t]
+            if t:
+                a *= alphas[-1][:r] @ move
+            a /= a.sum(axis=1, keepdims=True)
+            alphas.append(a)
+        beta = np.ones((0, k), scores.dtype)
         for t in range(len(running) - 1, -1, -1):
-            r = running[t]
-            full = np.full((r, k), 1.0 / k)
-            if len(beta):
-                at = s[: len(beta)] + t + 1
-                e = scores[at]
-                b = np.exp(e - e.max(axis=1, keepdims=True)) * beta
+            r, old = running[t], len(beta)
+            full = np.full((r, k), 1.0 / k, scores.dtype)
+            if old:
+                b = seen[s[:old] + (t + 1)] * beta
                 if pairs:
-                    joint = alphas[t][: len(beta), :, None] * move * b[:, None, :]
+                    joint = alphas[t][:old, :, None] * move * b[:, None, :]
                     total += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-                full[: len(beta)] = b @ move.T
-                full /= full.sum(axis=1, keepdims=True)
-            p = alphas[t] * full
-            out[s[:r] + t] = p / p.sum(axis=1, keepdims=True)
+                x = b @ back
+                full[:old] = x / x.sum(axis=1, keepdims=True)
+            out[s[:r] + t] = alphas[t] * full
             beta = full
-    return out, total
+    return out / out.sum(axis=1, keepdims=True), total
 
 
 def fit(texts: list[tuple[list[str], int]], k: int, lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +197,7 @@ def lexicons(train: DataFrame, langs: list[str]) -> dict[str, int]:
     """Word to language, for words that mostly belong to one; at most LEXICON a language."""
     counts = train.where(F.col("lang").isin(langs)).select("text", "lang").mapInArrow(count_words, "lang string, word string, n long")
     share = [F.sum(F.when(F.col("lang") == x, F.col("n"))).alias(f"n{k}") for k, x in enumerate(langs)]
-    words = counts.groupBy("word").agg(F.sum("n").alias("n"), *share).where(F.col("n") >= LEXICON_COUNT)
+    words = written(counts.groupBy("word").agg(F.sum("n").alias("n"), *share).where(F.col("n") >= LEXICON_COUNT), "lexicon")
     out: dict[str, int] = {}
     for k in range(len(langs)):
         top = words.where(F.col(f"n{k}") >= F.col("n") * LEXICON_SHARE).orderBy(F.desc("n"), "word").limit(LEXICON)
@@ -236,7 +236,7 @@ def label_words(texts: list[str], words: Words, table: list[np.ndarray], weights
         rows += own
         lengths.append(len(own))
     if words.new:
-        table[0] = np.vstack([table[0], emissions(words.new, weights, lexicon)])
+        table[0] = np.vstack([table[0], emissions(words.new, weights, lexicon).astype(np.float32)])
         words.new.clear()
     return forward_backward(table[0][np.array(rows, np.int64)], np.array(lengths, np.int64), step)[0], np.array(lengths)
 
@@ -249,7 +249,7 @@ class Labeller:
 
     def batches(self):
         """Yields (texts, probabilities of all their words, words per text), for some texts at a time."""
-        words, table = Words(), [np.empty((0, len(self.langs)))]
+        words, table = Words(), [np.empty((0, len(self.langs)), np.float32)]
 
         def run(texts: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
             lo, size = 0, 0
@@ -299,7 +299,7 @@ def label_languages(docs: DataFrame, model: Labeller | None) -> DataFrame:
             pred, score, second = [], [], []
             for _, p, lengths in work(batch.column("text").to_pylist()) if work else [(None, np.empty((0, 1)), np.zeros(batch.num_rows, np.int64))]:
                 ends = np.cumsum(lengths)
-                sums = np.vstack([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
+                sums = np.vstack([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0, dtype=float)])
                 share = (sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1)[:, None]
                 for row, n in zip(share, lengths.tolist(), strict=True):
                     ranked = np.argsort(-row, kind="stable")
