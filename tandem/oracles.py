@@ -184,7 +184,7 @@ ORACLE_SQL: dict[str, str] = {
     "max_drawdown": sql(RUN, f"SELECT pair_id, {rs('max_drawdown')}, max_drawdown_duration FROM deepest"),
     "equity_decomposition": sql(RUN, f"SELECT pair_id, idx, {ms('interest_so_far', 'trading_pnl')} FROM (SELECT pair_id, idx, so_far AS interest_so_far, nav - first_nav - so_far AS trading_pnl FROM (SELECT *, sum(interest_this_bar) OVER (PARTITION BY pair_id ORDER BY idx) AS so_far, first_value(nav) OVER (PARTITION BY pair_id ORDER BY idx) AS first_nav FROM audit))"),
     "exit_reason_share": sql(RUN, f"SELECT pair_id, exit_reason, n, {rs('share')} FROM (SELECT pair_id, exit_reason, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY pair_id) AS share FROM trades GROUP BY pair_id, exit_reason)"),
-    "metrics_nav": sql(RUN, f"SELECT pair_id, n_bars, n_trading_bars, {ms('final_nav')}, {rs('total_return', 'annualized_return', 'max_drawdown')}, {r('calmar_ratio', 4)}, {rs('exposure_frac')} FROM (SELECT *, CASE WHEN abs(max_drawdown) < 1e-12 THEN 0 ELSE annualized_return / abs(max_drawdown) END AS calmar_ratio FROM (SELECT pair_id, count(*) AS n_bars, count(*) FILTER (idx >= 60) AS n_trading_bars, arg_max(nav, idx) AS final_nav, arg_max(nav, idx) / arg_min(nav, idx) - 1 AS total_return, pow(arg_max(nav, idx) / arg_min(nav, idx), 252.0::DOUBLE / (count(*) - 1)) - 1 AS annualized_return, any_value(max_drawdown) AS max_drawdown, coalesce(count(*) FILTER (idx >= 60 AND position <> 'flat')::DOUBLE / nullif(count(*) FILTER (idx >= 60), 0), 0) AS exposure_frac FROM audit JOIN deepest USING (pair_id) GROUP BY pair_id))"),
+    "metrics_nav": sql(RUN, f"SELECT pair_id, n_bars, n_trading_bars, {ms('final_nav')}, {rs('total_return', 'annualized_return', 'max_drawdown')}, {r('calmar_ratio', 4)}, {rs('exposure_frac')} FROM (SELECT *, CASE WHEN abs(max_drawdown) < 1e-12 THEN 0 ELSE annualized_return / abs(max_drawdown) END AS calmar_ratio FROM (SELECT pair_id, count(*) AS n_bars, count(*) FILTER (idx >= 60) AS n_trading_bars, arg_max(nav, idx) AS final_nav, arg_max(nav, idx) / arg_min(nav, idx) - 1 AS total_return, CASE WHEN arg_max(nav, idx) <= 0 THEN -1 ELSE pow(arg_max(nav, idx) / arg_min(nav, idx), 252.0::DOUBLE / (count(*) - 1)) - 1 END AS annualized_return, any_value(max_drawdown) AS max_drawdown, coalesce(count(*) FILTER (idx >= 60 AND position <> 'flat')::DOUBLE / nullif(count(*) FILTER (idx >= 60), 0), 0) AS exposure_frac FROM audit JOIN deepest USING (pair_id) GROUP BY pair_id))"),
     "metrics_trades": sql(RUN, f"SELECT pair_id, n_trades, n_wins, n_losses, {rs('win_rate', 'avg_holding_bars')}, {ms('avg_win', 'avg_loss')}, {rs('profit_factor')}, {ms('gross_pnl')}, {r('turnover', 4)}, n_stop_loss, n_reversion, n_max_holding, n_end_of_data FROM (SELECT pair_id, count(*) AS n_trades, count(*) FILTER (pnl_net > 0) AS n_wins, count(*) FILTER (pnl_net <= 0) AS n_losses, count(*) FILTER (pnl_net > 0)::DOUBLE / count(*) AS win_rate, avg(holding_bars) AS avg_holding_bars, coalesce(avg(pnl_net) FILTER (pnl_net > 0), 0) AS avg_win, coalesce(avg(pnl_net) FILTER (pnl_net <= 0), 0) AS avg_loss, CASE WHEN coalesce(abs(sum(pnl_net) FILTER (pnl_net <= 0)), 0) < 1e-12 THEN 0 ELSE coalesce(sum(pnl_net) FILTER (pnl_net > 0), 0) / abs(sum(pnl_net) FILTER (pnl_net <= 0)) END AS profit_factor, sum(pnl_gross) AS gross_pnl, sum((cost0 + cost1) / 3e-4::DOUBLE) / 100000 AS turnover, count(*) FILTER (exit_reason = 'stop_loss') AS n_stop_loss, count(*) FILTER (exit_reason = 'reversion') AS n_reversion, count(*) FILTER (exit_reason = 'max_holding') AS n_max_holding, count(*) FILTER (exit_reason = 'end_of_data') AS n_end_of_data FROM trades GROUP BY pair_id)"),
     "pair_correlations": sql("", f"SELECT pair_id, n_obs, {rs('level_corr', 'return_corr')} FROM (SELECT pair_id, count(*) AS n_obs, covar_pop(log_a, log_b) / sqrt(var_pop(log_a) * var_pop(log_b)) AS level_corr, covar_pop(ra, rb) / sqrt(var_pop(ra) * var_pop(rb)) AS return_corr FROM (SELECT *, log_a - lag(log_a) OVER (PARTITION BY pair_id ORDER BY idx) AS ra, log_b - lag(log_b) OVER (PARTITION BY pair_id ORDER BY idx) AS rb FROM bars) GROUP BY pair_id)"),
     "universe_corr_matrix": sql("", f"SELECT asset_a, asset_b, n_obs, {rs('corr')} FROM matrix", UNIVERSE),
