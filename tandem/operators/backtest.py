@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions.cut import cut
 from ..functions.scalars import quantities
 
 KEYS = ("pair_id", "label")
@@ -134,9 +135,9 @@ def audit(rows: DataFrame, done: DataFrame, config: Config) -> DataFrame:
 
 def run(signal_rows: DataFrame, config: Config, label: str = "base") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, trades, audit) of one parameter set over all pairs of ``signal_rows``."""
-    rows = with_config(signal_rows, [config.row(label)])
-    done = trades(path(rows), rows)
-    return rows, done, audit(rows, done, config)
+    rows = cut(with_config(signal_rows, [config.row(label)]))
+    done = cut(trades(path(rows), rows))
+    return rows, done, cut(audit(rows, done, config))
 
 
 def identity_violations(bars: DataFrame, tolerance: float = 1e-6) -> DataFrame:

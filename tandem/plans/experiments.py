@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config, ConfigError
+from ..functions.cut import cut
 from ..operators import backtest, cointegration, kalman, metrics, signals
 from ..sources.pairs import plain, synthetic
 
@@ -43,10 +44,21 @@ def results(bars: DataFrame, done: DataFrame, config: Config) -> DataFrame:
 
 def compared(rows: DataFrame, configs: list[tuple[str, Config]]) -> DataFrame:
     """Summary per pair and label; the parameter sets share windows, so ``rows`` has the signals of all."""
-    placed = backtest.with_config(rows, [c.row(label) for label, c in configs])
-    done = backtest.trades(backtest.path(placed), placed)
+    placed = cut(backtest.with_config(rows, [c.row(label) for label, c in configs]))
+    done = cut(backtest.trades(backtest.path(placed), placed))
     base = configs[0][1]
-    return results(backtest.audit(placed, done, base), done, base)
+    return cut(results(cut(backtest.audit(placed, done, base)), done, base))
+
+
+def together(frames: list[tuple[str, DataFrame]], config: Config) -> DataFrame:
+    """Summary per pair and label, of signals that differ by label: one fold and one set of accounts for all."""
+    placed = cut(union([backtest.with_config(rows, [config.row(label)]) for label, rows in frames]))
+    done = cut(backtest.trades(backtest.path(placed), placed))
+    return cut(results(cut(backtest.audit(placed, done, config)), done, config))
+
+
+def doses(spark, values: list[tuple], names: str) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(values, names))
 
 
 def sweep(bars: DataFrame, cells: list[tuple[str, Config]] | None = None) -> DataFrame:
@@ -73,20 +85,18 @@ def spread_of(swept: DataFrame) -> DataFrame:
 
 def cash_interest(bars: DataFrame, config: Config) -> DataFrame:
     """The same trades with and without interest on cash."""
-    rows = signals.signals(bars, config)
+    rows = cut(signals.signals(bars, config))
     return union([results(ran[2], ran[1], c) for c in (config, config.but(cash_interest=False)) for ran in [backtest.run(rows, c, "interest_on" if c.cash_interest else "interest_off")]])
 
 
 def timing_shift(bars: DataFrame, config: Config, shifts: tuple[int, ...] = SHIFTS, weight: float = 1.0, compat: bool = False) -> DataFrame:
     """Results when decisions see the z of so many spreads later. ``compat`` sizes leg B at a hedge ratio of 1."""
-    rows = signals.signals(bars, config)
-    out = []
+    rows = cut(signals.signals(bars, config))
+    frames = []
     for k in shifts:
         seen = signals.leaky(rows, k, weight).withColumn("z", F.col("leaky_z"))
-        seen = seen.withColumn("beta", F.lit(1.0)) if compat else seen
-        _, done, bars_ = backtest.run(seen, config, f"shift_{k:02d}")
-        out.append(results(bars_, done, config).withColumn("dose", F.lit(float(k))))
-    return union(out)
+        frames.append((f"shift_{k:02d}", seen.withColumn("beta", F.lit(1.0)) if compat else seen))
+    return together(frames, config).join(doses(bars.sparkSession, [(f"shift_{k:02d}", float(k)) for k in shifts], "label string, dose double"), "label")
 
 
 def uniforms(seed: int, n: int) -> list[float]:
@@ -102,7 +112,7 @@ def outcome_filter(bars: DataFrame, config: Config, fractions: tuple[float, ...]
     """Results when a share of the trades that will lose isn't entered; a pair's losers take the draws in order."""
     if any(not 0 <= f <= 1 for f in fractions):
         raise ConfigError("a fraction lies between 0 and 1")
-    rows = signals.signals(bars, config)
+    rows = cut(signals.signals(bars, config))
     _, honest, _ = backtest.run(rows, config, "honest")
 
     def draw(group: pd.DataFrame) -> pd.DataFrame:
@@ -113,11 +123,9 @@ def outcome_filter(bars: DataFrame, config: Config, fractions: tuple[float, ...]
     flagged = rows.join(losers.withColumnRenamed("entry_index", "idx"), ["pair_id", "idx"], "left")
     if compat:
         flagged = flagged.withColumn("beta", F.lit(1.0))
-    out = []
-    for f in fractions:
-        _, done, bars_ = backtest.run(flagged.withColumn("skip", F.coalesce(F.col("u") < f, F.lit(False))), config, f"filter_{f:.1f}")
-        out.append(results(bars_, done, config).withColumn("dose", F.lit(f)))
-    return union(out)
+    flagged = cut(flagged)
+    frames = [(f"filter_{f:.1f}", flagged.withColumn("skip", F.coalesce(F.col("u") < f, F.lit(False)))) for f in fractions]
+    return together(frames, config).join(doses(bars.sparkSession, [(f"filter_{f:.1f}", f) for f in fractions], "label string, dose double"), "label")
 
 
 def calibration(bars: DataFrame, config: Config) -> DataFrame:
@@ -132,12 +140,9 @@ def kalman_backtest(bars: DataFrame, config: Config, f: kalman.Filter, label: st
 
 def kalman_sweep(bars: DataFrame, config: Config, half_life: float, ratios: tuple[float, ...] = MEMORIES) -> DataFrame:
     """The backtest on filters whose memory is so many half-lives."""
-    out = []
-    for r in ratios:
-        f = kalman.Filter.of_memory(r * half_life)
-        one = kalman_backtest(bars, config, f, f"memory_{r:g}")
-        out.append(one.withColumns({"memory_ratio": F.lit(r), "memory_bars": F.lit(f.memory), "signal_to_noise": F.lit(f.signal_to_noise)}))
-    return union(out)
+    filters = [(f"memory_{r:g}", r, kalman.Filter.of_memory(r * half_life)) for r in ratios]
+    found = together([(label, kalman.kalman_signals(bars, f, config.zscore_window)) for label, _, f in filters], config)
+    return found.join(doses(bars.sparkSession, [(label, r, f.memory, f.signal_to_noise) for label, r, f in filters], "label string, memory_ratio double, memory_bars double, signal_to_noise double"), "label")
 
 
 def window_sensitivity(bars: DataFrame, windows: tuple[int, ...] = (40, 60, 90, 120, 180, 250), base: Config | None = None) -> DataFrame:
