@@ -47,6 +47,8 @@ MAGIC = b"RPG1"
 NO_ID = -(1 << 63)
 CACHE = 900_000
 MARKS = '.,;:!?&*%$#|"()'
+#: How the byte-level alphabet writes a space.
+SPACE = "\u0120"
 #: Texts that are cut at a time.
 TEXTS = 1024
 
@@ -64,24 +66,29 @@ class Uneven(Exception):
 
 
 class Pieces(dict):
-    """Ids (as bytes) of what stands between two spaces.
+    """Ids (as bytes) of what stands between two spaces or line ends.
 
-    The byte-level pre-tokenizer never joins anything across a single space between two visible
-    characters, so a text's ids are those of its pieces, each with the space before it; a piece is
-    encoded by the library once. Elsewhere Uneven is raised.
+    The byte-level pre-tokenizer never joins anything across a single space or line end between two
+    visible characters, so a text's ids are those of its pieces, each with the space before it, and
+    of the line ends; a piece is encoded by the library once. Elsewhere Uneven is raised.
     """
 
     def __init__(self, tokenizer, before: str):
         super().__init__()
         self.tokenizer, self.before = tokenizer, before
+        self.model, self.mark = tokenizer.model, SPACE if before else ""
 
     def learn(self, pieces: set[str]) -> None:
         if len(self) > CACHE:
             self.clear()
-        new = [p for p in pieces if p not in self and p and not (p[0].isspace() or p[-1].isspace())]
+        new = [p for p in pieces.difference(self) if p and not (p[0].isspace() or p[-1].isspace())]
         # letters and the marks after them are cut apart by the pre-tokenizer as well
         marked = {p: stem for p in new if (stem := p.rstrip(MARKS)) != p and stem.isalpha()}
-        plain = [p for p in {marked.get(p, p) for p in new} if p not in self]
+        plain = {marked.get(p, p) for p in new}.difference(self)
+        # letters of ASCII are one piece for the pre-tokenizer too, so they go to the model at once
+        stems = {p for p in plain if p.isascii() and p.isalpha()}
+        self.update((p, as_bytes([x.id for x in self.model.tokenize(self.mark + p)])) for p in stems)
+        plain = list(plain - stems)
         self.update(zip(plain, self.encoded([self.before + p for p in plain]), strict=True))
         ends = list({p[len(stem) :] for p, stem in marked.items()})
         ids = dict(zip(ends, self.encoded(ends), strict=True))
@@ -108,16 +115,17 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > BASE:
             raise ValueError(f"the vocabulary has more than {BASE} ids")
         self.first, self.rest = Pieces(self.tokenizer, ""), Pieces(self.tokenizer, " ")
+        self.line_end = as_bytes(self.tokenizer.encode("\n", add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text and the end id."""
-        cut = [text.split(" ") for text in texts]
-        self.first.learn({c[0] for c in cut})
-        self.rest.learn(set(chain.from_iterable(c[1:] for c in cut)))
+        cut = [[line.split(" ") for line in text.split("\n")] for text in texts]
+        self.first.learn({c[0] for lines in cut for c in lines})
+        self.rest.learn(set(chain.from_iterable(c[1:] for lines in cut for c in lines)))
         out = []
-        for text, pieces in zip(texts, cut, strict=True):
+        for text, lines in zip(texts, cut, strict=True):
             try:
-                data = (self.first[pieces[0]] + b"".join(map(self.rest.__getitem__, pieces[1:]))) if text else b""
+                data = self.line_end.join([self.first[c[0]] + b"".join(map(self.rest.__getitem__, c[1:])) for c in lines]) if text else b""
             except Uneven:
                 data = as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
             out.append(np.frombuffer(data + as_bytes([END]), np.uint16))
