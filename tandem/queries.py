@@ -322,18 +322,18 @@ def cusum(spark, d):
 
 @query
 def rolling_eg(spark, d):
-    return stability.rolling_engle_granger(pairs.derived(spark, d), 252, 63)
+    return stability.rolling_engle_granger(pairs.derived(spark, d), 252, 21)
 
 
 @query
 def break_robustness(spark, d):
-    return stability.robustness(pairs.derived(spark, d), (252, 504), 63)
+    return stability.robustness(pairs.derived(spark, d))
 
 
 @query
 def bootstrap_ci(spark, d):
     moves = metrics.returns(base_run(spark, d)[2], "pair_id")
-    return significance.bootstrap_intervals(significance.bootstrap(moves, CONFIG, reps=400))
+    return significance.bootstrap_intervals(significance.bootstrap(moves, CONFIG))
 
 
 @query

@@ -164,3 +164,11 @@ def test_query_against_sql(spark, small, name):
             np.testing.assert_allclose(a[c].to_numpy(float), b[c].to_numpy(float), atol=2e-6)
         else:
             assert [str(v)[:10] for v in a[c]] == [str(v)[:10] for v in b[c]]
+
+
+def test_stability_and_bootstrap_queries_do_the_whole_job(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "derived", lambda spark, d: bars(spark, 1100))
+    swept = {r.window: r.n_windows for r in QUERIES["break_robustness"](spark, "").collect()}
+    assert swept == {w: (1100 - w) // 21 + 1 for w in (252, 378, 504, 630, 756, 882, 1008)}
+    assert sorted(r.start_index for r in QUERIES["rolling_eg"](spark, "").collect()) == list(range(0, 1100 - 252 + 1, 21))
+    assert [r.reps for r in QUERIES["bootstrap_ci"](spark, "").collect()] == [2000]
