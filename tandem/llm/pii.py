@@ -38,7 +38,10 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-SPELLED = re.compile(r"\b[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]+(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20|\.)\x20?[A-Za-z0-9-]+)+", re.IGNORECASE)
+SPELLED_HOST = r"(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]+(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20|\.)\x20?[A-Za-z0-9-]+)+"
+SPELLED = re.compile(r"\b[A-Za-z0-9._%+-]{1,64}\x20?" + SPELLED_HOST, re.IGNORECASE)
+#: The end of every match of SPELLED; cheap to look for.
+TRIGGER = re.compile(SPELLED_HOST, re.IGNORECASE)
 NATIONAL = re.compile(r"(?:\([0-9]{3}\)\x20?|\b[0-9]{3}[-.\x20])[0-9]{3}[-.][0-9]{4}\b")
 ACCOUNT = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?\b")
 DIGIT = re.compile(r"[0-9]")
@@ -88,7 +91,7 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, bool, bool]]:
     found = []
     if "@" in text:
         found += [(s, 0, e, True, True, True) for s, e in emails(text)]
-    if "at" in text and ("(at)" in text or "[at]" in text or "{at}" in text or " dot " in text):
+    if TRIGGER.search(text):
         found += [(m.start(), 0, m.end(), False, "(" in m[0] or "[" in m[0] or "{" in m[0], False) for m in SPELLED.finditer(text)]
     if not DIGIT.search(text):
         return found

@@ -185,6 +185,15 @@ def test_pii_base(docs, none):
         assert list(pii.emails(odd)) == [m.span() for m in re.finditer(rules[0][1], odd)]
 
 
+def test_pii_spelled_addresses_in_any_case(spark):
+    for text in ("JOHN (AT) EXAMPLE (DOT) COM", "john[At]example.com", "john at example.com", "john {at} example [dot] org"):
+        assert [(s, e) for s, k, e, *_ in pii.candidates(text) if k == 0] == [(0, len(text))], text
+        assert [(s, e) for s, k, e, *_ in pii.candidates("well: " + text + "; a dot b") if k == 0] == [(6, 6 + len(text))], text
+    assert not pii.candidates("we met at noon") and not pii.candidates("")
+    docs = spark.createDataFrame([(1, "JOHN (AT) EXAMPLE (DOT) COM")], "doc_id long, text string")
+    assert pii.find_pii(docs, 0.0).first().spans[0].end == 27
+
+
 def test_em_finds_the_reliable_labeler():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.5
