@@ -4,9 +4,11 @@ Base spans (kinds assign, access, hex) are leftmost non-overlapping matches; a m
 short is dropped and not retried. The method adds kind ``entropy``: in every run of candidate
 characters, a window slides over the string; its character counts are updated by the one that
 enters and the one that leaves, and so is sum(c * log2 c), which gives the window's entropy in
-constant time. A run's class (hex, letters and digits, base64) sets the threshold; the span runs
-from the first window above it to the last. Allow-listed shapes are suppressed, and so are runs
-that overlap a base span. Suppression never touches base spans.
+constant time. The class of the window's own characters (hex, letters and digits, base64) sets the
+threshold; the span runs from the first window above it to the last. What base spans cover is cut out
+of a run, and the rest is scanned. Keys and values are judged apart at ``=``, unless neither side fills
+a window by itself. Allow-listed shapes are suppressed: identifiers, numbers, and words (see
+``wordlike``), alone or in paths. Suppression never touches base spans.
 
 Positions count code points, ends are exclusive. Null text is empty and has no spans.
 """
@@ -29,31 +31,39 @@ BASE = 3
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-DIGIT = re.compile(r"[0-9]")
 
 WINDOW = 20
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}")
-#: (name, all characters, at least so many bits in a window)
+#: An = between key and value; those at a value's end are its padding.
+BETWEEN = re.compile(r"=+(?=[^=])")
+#: (name, all characters, at least so many bits in a window), narrower classes first
 CLASSES = (
-    ("hex", re.compile(r"[0-9a-fA-F]+"), 2.9),
-    ("alnum", re.compile(r"[A-Za-z0-9]+"), 3.7),
-    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.8),
+    ("hex", frozenset("0123456789abcdefABCDEF"), 2.9),
+    ("alnum", frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), 3.7),
+    ("base64", frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"), 3.8),
 )
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),  # identifiers
     re.compile(r"[0-9+/_=-]+"),  # numbers, dates, rules
-    re.compile(r"[A-Za-z+/_=-]+"),  # words, paths, slugs
-    re.compile(r"(?:[A-Za-z]+|[0-9]{1,4})(?:[/_=-](?:[A-Za-z]+|[0-9]{1,4}))+"),  # paths and slugs with years or versions
 )
+#: A part of a path or slug that may be a word, or a year or version: one case, capitalised, or words set together in camel case.
+PART = re.compile(r"[0-9]{1,4}|[a-z]+|[A-Z]+|[A-Z][a-z]+|[a-z]*(?:[A-Z][a-z]{2,})+")
+PARTS = re.compile(r"[+/_=-]+")
+#: Letters at random mostly have a longer run without a vowel.
+NO_VOWELS = re.compile(r"[bcdfghjklmnpqrstvwxz]{6}", re.IGNORECASE)
 ALPHABETS = ("0123456789abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz0123456789", "qwertyuiopasdfghjklzxcvbnm1234567890")
 XLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
-def windows_above(run: str, bits: float) -> tuple[int, int] | None:
-    """From the first to the last window of at least ``bits`` bits, or None."""
+def windows_above(run: str, bits: float | None = None) -> tuple[int, int] | None:
+    """From the first to the last window of at least ``bits`` bits (None: those of the window's class), or None."""
     counts: Counter[str] = Counter(run[:WINDOW])
     total = sum(XLOG[c] for c in counts.values())
-    most, first, last = WINDOW * (math.log2(WINDOW) - bits) + 1e-9, None, None
+    # the most a window's sum may be, by the number of its narrowest class
+    most = [WINDOW * (math.log2(WINDOW) - (b if bits is None else bits)) + 1e-9 for _, _, b in CLASSES]
+    kinds = [next((k for k, (_, own, _) in enumerate(CLASSES) if c in own), len(CLASSES) - 1) for c in run]
+    inside = [kinds[:WINDOW].count(k) for k in range(len(CLASSES))]
+    first = last = None
     for at in range(len(run) - WINDOW + 1):
         if at:
             out, new = run[at - 1], run[at + WINDOW - 1]
@@ -63,15 +73,50 @@ def windows_above(run: str, bits: float) -> tuple[int, int] | None:
             c = counts[new]
             total += XLOG[c + 1] - XLOG[c]
             counts[new] = c + 1
-        if total <= most:
+            inside[kinds[at - 1]] -= 1
+            inside[kinds[at + WINDOW - 1]] += 1
+        if total <= most[2 if inside[2] else 1 if inside[1] else 0]:
             first = at if first is None else first
             last = at + WINDOW
     return None if first is None else (first, last)
 
 
+def wordlike(run: str) -> bool:
+    """Parts that may all be words, years or versions."""
+    return all(not p or (PART.fullmatch(p) and not NO_VOWELS.search(p)) for p in PARTS.split(run))
+
+
 def allowed(run: str) -> bool:
     low = run.lower()
-    return any(p.fullmatch(run) for p in ALLOW) or any(low[:12] in a for a in ALPHABETS)
+    return any(p.fullmatch(run) for p in ALLOW) or wordlike(run) or any(low[:12] in a for a in ALPHABETS)
+
+
+def uncovered(start: int, end: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What base spans, sorted, leave of start to end."""
+    for s, _, e in base:
+        if s < end and e > start:
+            if s > start:
+                yield start, s
+            start = max(start, e)
+    if start < end:
+        yield start, end
+
+
+def pieces(run: str) -> Iterator[tuple[int, int]]:
+    """Keys and values of a run that fill a window; shorter ones side by side are taken together."""
+    cuts = [m.span() for m in BETWEEN.finditer(run)]
+    parts = list(zip([0] + [e for _, e in cuts], [s for s, _ in cuts] + [len(run)], strict=True))
+    short: tuple[int, int] | None = None
+    for lo, hi in parts:
+        if hi - lo < WINDOW:
+            short = (short[0] if short else lo, hi)
+            continue
+        if short:
+            yield short
+            short = None
+        yield lo, hi
+    if short:
+        yield short
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -82,15 +127,13 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    if DIGIT.search(text):
-        base = list(found)
-        for m in CANDIDATE.finditer(text):
-            run, at = m[0], m.start()
-            if any(s < m.end() and e > at for s, _, e in base) or allowed(run):
-                continue
-            bits = next(b for _, p, b in CLASSES if p.fullmatch(run))
-            if hit := windows_above(run, bits):
-                found.append((at + hit[0], 3, at + hit[1]))
+    base = sorted(found)
+    for m in CANDIDATE.finditer(text):
+        for start, end in uncovered(m.start(), m.end(), base):
+            for lo, hi in pieces(text[start:end]):
+                piece = text[start + lo : start + hi]
+                if len(piece) >= WINDOW and not allowed(piece) and (hit := windows_above(piece)):
+                    found.append((start + lo + hit[0], 3, start + lo + hit[1]))
     return sorted(found)
 
 

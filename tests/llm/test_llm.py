@@ -168,6 +168,17 @@ def test_secret_base(docs, none):
     assert secrets.windows_above("0" * 40, 1.0) is None and secrets.allowed("2024/some/path/name") and secrets.allowed("123e4567-e89b-12d3-a456-426614174000")
 
 
+def test_secret_entropy_by_window_and_piece():
+    entropy = lambda text: [text[s:e] for s, k, e in secrets.scan(text) if k == 3]
+    value = "9f86d081884c7d659a2feaa0"
+    assert entropy(value) == entropy("sid=" + value) == entropy(f"sid={value}=") == [value]
+    assert entropy("kJhQzwPoxMbnvTrYeuiLKjdW") == ["kJhQzwPoxMbnvTrYeuiLKjdW"] and entropy("a=Zq8xV2mN7=pLrT4wYc9Ks") == ["a=Zq8xV2mN7=pLrT4wYc9Ks"]
+    rest = "Zq8xV2mN7pLrT4wYc9Ks"
+    assert entropy(f"{rest}/token=abcdefgh12") == [rest + "/"] and entropy("f" * 40 + "/" + rest) == ["/" + rest]
+    for word in ("the-quick-brown-fox-jumps/over/2024", "getUserNameFromDatabaseRow", "geschwindigkeitsbegrenzung", "id=123e4567-e89b-12d3-a456-426614174000", "=" * 60, "-" * 25 + "=" * 25, ""):
+        assert not entropy(word), word
+
+
 def test_pii_base(docs, none):
     digits = lambda m: re.sub(r"[^0-9]", "", m[0])
     rules = [
