@@ -1,8 +1,8 @@
 """Toxicity with noisy-channel deobfuscation.
 
 1. A character trigram model is counted over the words of all texts.
-2. A word that looks written over (digits or marks between letters, a letter three times or more
-   in a row, single letters spaced out) becomes a lattice: each character may stand for itself,
+2. A word that may be written over (digits or marks between letters, a letter twice or more
+   in a row, single letters or marks used for letters with white space between) becomes a lattice: each character may stand for itself,
    for the letters it is used for, or for nothing; a run may stand for one, two or all of its
    letters; between spaced letters a word may end. Viterbi finds the reading with the highest
    product of character model and channel probabilities. Other words are their only reading.
@@ -34,7 +34,6 @@ from .common import documents, fold
 
 MAX_LABELS = 20_000
 MAX_FEATURES = 20_000
-MAX_TRIGRAMS = 100_000
 MOST_WORDS = 500_000
 THRESHOLD = 0.7
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -51,8 +50,10 @@ EDGE = ".,;:?\"'()[]{}<>|/\\&%#*~`^=_-+!"
 #: shorter, a word's end between spaced letters.
 SWAP, DROP, WASTE, SHORTEN, BREAK = 0.7, 1.5, 7.0, 0.7, 1.0
 UNSEEN = 14.0
-RUN = re.compile(r"(.)\1\1")
-SPACED = re.compile(r" \w \w \w(?: \w)*(?=\s|$)")
+REPEAT = re.compile(r"(.)\1+")
+#: Readings of a word's repeats that are compared one by one; Viterbi takes more.
+FEW = 16
+SPACED = re.compile(r"\s([\w{0}](?:\s+[\w{0}]){{2,}})(?!\S)".format("".join(re.escape(c) for c in STANDS_FOR if not c.isalnum())))
 
 
 class Characters:
@@ -106,12 +107,26 @@ def viterbi(pieces: list[list[tuple[str, float]]], lm: Characters) -> str:
     return min(best.values())[1]
 
 
+def shortened(word: str, lm: Characters) -> str:
+    """The cheapest reading of a word of letters whose repeats may be read shorter."""
+    reads, at = [("", 0.0)], 0
+    for m in REPEAT.finditer(word):
+        n, before = m.end() - m.start(), word[at : m.start()]
+        reads = [(read + before + m[1] * k, cost + SHORTEN * (k < n)) for read, cost in reads for k in sorted({1, 2, n})]
+        if len(reads) > FEW:
+            return viterbi(lattice(word), lm).rstrip("^")
+        at = m.end()
+    if not at:
+        return word
+    return min((cost + sum(lm.cost.get(g, UNSEEN) for g in trigrams(read + word[at:])), read + word[at:]) for read, cost in reads)[1]
+
+
 def restore(token: str, lm: Characters) -> tuple[str, ...]:
     """The words that a token stands for."""
     low = token.lower()
     core = low.strip(EDGE)
-    if core.isalpha() and not RUN.search(core):
-        return (core,)
+    if core.isalpha():
+        return (shortened(core, lm),)
     core = low.strip(EDGE.replace("|", "").replace("+", "").replace("!", "").replace("(", ""))
     if not any(c.isalpha() for c in core):
         return ()
@@ -120,7 +135,7 @@ def restore(token: str, lm: Characters) -> tuple[str, ...]:
 
 
 def unspaced(text: str, lm: Characters) -> list[str]:
-    """Words spelled with a space after each letter."""
+    """Words spelled with white space after each letter."""
     out = []
     for found in SPACED.findall(" " + text):
         pieces: list[list[tuple[str, float]]] = []
@@ -227,7 +242,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Callable[[], Callable[[str], fl
     """A maker of scorers, learnt from all texts (characters) and from the labelled ones among them."""
     texts = texts_of(docs)
     grams = texts.select("text").mapInArrow(count_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    lm = Characters({r.gram: r.n for r in grams.orderBy(F.desc("n"), "gram").limit(MAX_TRIGRAMS).collect()})
+    lm = Characters({r.gram: r.n for r in grams.collect()})
 
     sample = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     # a bounded sample, in the order of a hash: MAX_LABELS rows of two numbers are broadcast

@@ -231,6 +231,28 @@ def test_toxicity(spark, none):
     assert {r.score for r in toxicity.score(docs, labels.where("toxic = 0")).collect()} == {0.0}
 
 
+def test_toxicity_reads_repeats_and_marks():
+    words = ["moron", "idiot", "river", "summer", "letter", "window", "garden", "morning", "paper"]
+    grams = Counter(g for w in words for g in toxicity.trigrams(w) for _ in range(100))
+    lm = toxicity.Characters(grams)
+    for noisy, word in (("mmoorroonn", "moron"), ("iidioott", "idiot"), ("mooooron", "moron"), ("m0r0n", "moron"), ("ssummerr", "summer"), ("summer", "summer"), ("letter", "letter"), ("river", "river")):
+        assert toxicity.restore(noisy, lm) == (word,), noisy
+    for spaced, word in (("m @ r @ n", "maran"), ("i d ! o t", "idiot"), ("m  o r\no\tn", "moron"), ("say m o r o n", "moron"), ("m 0 r 0 n now", "moron")):
+        assert toxicity.unspaced(spaced, toxicity.Characters(grams + Counter(toxicity.trigrams("maran")))) == [word], spaced
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        word = "".join(rng.choice(list("mornid"), rng.integers(1, 9)))
+        word = "".join(c * int(rng.integers(1, 4)) for c in word)
+        cost = lambda read: sum(lm.cost.get(g, toxicity.UNSEEN) for g in toxicity.trigrams(read))
+        one, other = toxicity.shortened(word, lm), toxicity.viterbi(toxicity.lattice(word), lm).rstrip("^")
+        pieces = lambda read: sum(toxicity.SHORTEN * (len(b) < len(a)) for a, b in zip(runs(word), runs(read), strict=True))
+        assert cost(one) + pieces(one) == pytest.approx(cost(other) + pieces(other))
+
+
+def runs(word):
+    return [m[0] for m in re.finditer(r"(.)\1*", word)]
+
+
 def test_language(spark, docs, none):
     rng = np.random.default_rng(6)
     en, de = ["the", "quick", "thing", "with", "river", "over", "other"], ["der", "schnell", "über", "fluss", "nicht", "keit", "wald"]
