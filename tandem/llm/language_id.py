@@ -16,7 +16,7 @@ Prediction runs forward-backward over every whole text, many texts side by side
 text's language is that with the largest sum of word probabilities; its share is the score.
 
 Texts that are null, or without a letter, are ``und`` with score 0. Null languages aren't learnt
-from; at most LANGUAGES languages are, the most frequent ones. Without any every text is ``und``.
+from; all others are, however rare. Without any every text is ``und``.
 Rows repeated under one doc_id are labelled one by one.
 """
 
@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 
 from .common import documents, fold, written
 
-LANGUAGES = 50
 ROWS = 200
 LEXICON = 4000
 LEXICON_SHARE = 0.9
@@ -109,8 +108,8 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, step: np.ndarray,
             if old:
                 b = seen[s[:old] + (t + 1)] * beta
                 if pairs:
-                    joint = alphas[t][:old, :, None] * move * b[:, None, :]
-                    total += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+                    a = alphas[t][:old]
+                    total += move * ((a / ((a @ move) * b).sum(axis=1, keepdims=True)).T @ b)
                 x = b @ back
                 full[:old] = x / x.sum(axis=1, keepdims=True)
             out[s[:r] + t] = alphas[t] * full
@@ -195,7 +194,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def lexicons(train: DataFrame, langs: list[str]) -> dict[str, int]:
     """Word to language, for words that mostly belong to one; at most LEXICON a language."""
-    counts = train.where(F.col("lang").isin(langs)).select("text", "lang").mapInArrow(count_words, "lang string, word string, n long")
+    counts = train.select("text", "lang").mapInArrow(count_words, "lang string, word string, n long")
     share = [F.sum(F.when(F.col("lang") == x, F.col("n"))).alias(f"n{k}") for k, x in enumerate(langs)]
     words = written(counts.groupBy("word").agg(F.sum("n").alias("n"), *share).where(F.col("n") >= LEXICON_COUNT), "lexicon")
     out: dict[str, int] = {}
@@ -268,7 +267,7 @@ class Labeller:
 def learn(docs: DataFrame) -> Labeller | None:
     """Fit on ``docs`` (columns doc_id, text, lang)."""
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull())
-    sizes = {r.lang: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r.lang: r["count"] for r in train.groupBy("lang").count().collect()}
     if not sizes:
         return None
     langs = sorted(sizes)
@@ -277,7 +276,7 @@ def learn(docs: DataFrame) -> Labeller | None:
     scale = 1 << 20
     share = F.create_map(*(x for lang in langs for x in (F.lit(lang), F.lit(min(scale, int(1.3 * ROWS / sizes[lang] * scale) + 1)))))
     place = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(7))
-    picked = train.where(F.col("lang").isin(langs) & (F.pmod(place, F.lit(scale)) < share[F.col("lang")])).select(place.alias("place"), "text", "lang").collect()
+    picked = train.where(F.pmod(place, F.lit(scale)) < share[F.col("lang")]).select(place.alias("place"), "text", "lang").collect()
     taken: Counter[str] = Counter()
     texts = []
     for row in sorted(picked, key=lambda r: (r.place, r.text)):

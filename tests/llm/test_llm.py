@@ -267,6 +267,17 @@ def test_language(spark, docs, none):
     assert language_id.learn(none) is None and {r.lang_pred for r in language_id.label_languages(docs, None).collect()} == {"und"}
 
 
+def test_every_language_is_learnt(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"l{k:02d}" for k in range(52)]
+    words = [[x + y * 2 + x for y in letters[k // 26 :: 2]] for k in range(52) for x in [letters[k % 26]]]
+    rows = [(k * 10 + n, " ".join(words[k] * 2), names[k]) for k in range(52) for n in range(1 if k < 2 else 2)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == names
+    rare = spark.createDataFrame([(k, " ".join(words[k])) for k in range(2)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.label_languages(rare, model).collect()} == {0: names[0], 1: names[1]}
+
+
 def test_forward_backward_by_enumeration():
     rng = np.random.default_rng(7)
     scores, step, k = rng.normal(size=(9, 3)), rng.normal(size=(3, 3)), 3
