@@ -3,19 +3,22 @@
 Documents are dealt out by ranges of doc_id and sorted, so the files are in ascending order of
 doc_id. A shard is a range; it is cut into blocks of about BLOCK tokens. Per block, frequent pairs
 of ids are repeatedly replaced by nonterminals: every round counts all neighbouring pairs, makes
-rules of the most frequent ones and replaces their occurrences from left to right (a batch of
-rules a round, rather than one). No pair crosses a document's end, so each document has its own
+rules of the most frequent ones and replaces their occurrences from left to right (a batch of at
+most RULES_A_ROUND rules a round, rather than one), until no pair comes LEAST_COUNT times in the
+block or the 16-bit symbols are used up. No pair crosses a document's end, so each document has its own
 run of symbols. A block holds its rules, every symbol's expansion length and where each document
 starts, so any token range of any document can be decoded without the rest.
 
-Block layout, little-endian: magic RPG1; counts of rules, documents and symbols (3 x uint32);
-rules (2 x uint16 each); expansion lengths (uint32 each); per document doc_id (int64, null as the
-least value), first symbol (uint32), tokens (uint32); symbols (uint16 each). Ids below BASE are
+Block layout, little-endian: magic RPG2; counts of rules, documents and symbols (3 x uint32);
+rules (2 x uint16 each); expansion lengths (uint32 each); per document doc_id (int64), first
+symbol (uint32), tokens (uint32), 1 if doc_id is null (uint8); symbols (uint16 each). Ids below BASE are
 tokens, the others rules. Blocks are rows (shard, block, tokens, payload) of Parquet files, which
 Spark's writer commits as a whole, so a lost executor leaves no broken file.
 
-Null text is empty and holds the end id alone. Rows repeated under one doc_id are written as often
-as they come. An empty table gives files without blocks.
+Null text is empty and holds the end id alone. Rows without doc_id come first. Rows repeated under
+one doc_id are written as often as they come, ordered by a hash of the text and the text, so reruns agree. Special
+tokens that stand in a text become their ids, as the library has it. A text is never split between
+blocks, however long. An empty table gives files without blocks; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,19 +42,19 @@ END = 2
 #: Ids below it are tokens; 16-bit symbols leave the rest for rules.
 BASE = 50_257
 BLOCK = 1 << 20
-ROUNDS = 4
 RULES_A_ROUND = 1024
 LEAST_COUNT = 64
-NO_PAIR = np.uint32(0xFFFFFFFF)
-MAGIC = b"RPG1"
-NO_ID = -(1 << 63)
-CACHE = 900_000
+MAGIC = b"RPG2"
+#: Pieces of text whose ids a worker keeps.
+CACHE = 400_000
 MARKS = '.,;:!?&*%$#|"()'
 #: How the byte-level alphabet writes a space.
 SPACE = "\u0120"
 #: Texts that are cut at a time.
 TEXTS = 1024
 
+#: A document's entry in a block.
+DOC = np.dtype([("id", "<i8"), ("first", "<u4"), ("tokens", "<u4"), ("null", "u1")])
 BLOCKS = "shard int, block int, tokens long, payload binary"
 
 
@@ -62,7 +65,7 @@ def vocabulary_path() -> str:
 
 
 class Uneven(Exception):
-    """White space meets a cut, so the text has to be encoded whole."""
+    """White space meets a cut, or the text holds a special token, so it has to be encoded whole."""
 
 
 class Pieces(dict):
@@ -111,20 +114,29 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that hold one of these are encoded whole, as the library treats them by itself.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.get_vocab_size() > BASE:
             raise ValueError(f"the vocabulary has more than {BASE} ids")
         self.first, self.rest = Pieces(self.tokenizer, ""), Pieces(self.tokenizer, " ")
         self.line_end = as_bytes(self.tokenizer.encode("\n", add_special_tokens=False).ids)
 
+    def forget(self) -> None:
+        """A worker lives on for other tasks, perhaps of other stages, so it keeps nothing but the vocabulary."""
+        self.first.clear()
+        self.rest.clear()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text and the end id."""
-        cut = [[line.split(" ") for line in text.split("\n")] for text in texts]
+        whole = [any(t in text for t in self.special) for text in texts]
+        cut = [[[""]] if w else [line.split(" ") for line in text.split("\n")] for text, w in zip(texts, whole, strict=True)]
         self.first.learn({c[0] for lines in cut for c in lines})
         self.rest.learn(set(chain.from_iterable(c[1:] for lines in cut for c in lines)))
         out = []
-        for text, lines in zip(texts, cut, strict=True):
+        for text, lines, w in zip(texts, cut, whole, strict=True):
             try:
+                if w:
+                    raise Uneven
                 data = self.line_end.join([self.first[c[0]] + b"".join(map(self.rest.__getitem__, c[1:])) for c in lines]) if text else b""
             except Uneven:
                 data = as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -136,36 +148,45 @@ class Encoder:
 ENCODERS: dict[str, Encoder] = {}
 
 
+def chosen_pairs(sym: np.ndarray, inner: np.ndarray, room: int) -> np.ndarray:
+    """The most frequent neighbours (as left << 16 | right) within documents, LEAST_COUNT times or more, at most a round's rules."""
+    pairs = np.sort(((sym[:-1].astype(np.uint32) << np.uint32(16)) | sym[1:])[inner])
+    starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
+    counts = np.diff(np.append(starts, len(pairs)))
+    often = np.flatnonzero(counts >= LEAST_COUNT)
+    return pairs[starts[often[np.argsort(-counts[often], kind="stable")][: min(RULES_A_ROUND, room)]]]
+
+
 def repair(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, rules (two symbols each) and where each document ends, from ids and ends (exclusive)."""
+    """Symbols, rules (two symbols each) and where each document ends, from ids and ends (exclusive).
+
+    Goes on until no pair is left that comes LEAST_COUNT times, or no symbol is free.
+    """
     sym, rules = ids.copy(), np.empty((0, 2), np.uint16)
-    slot = lambda pairs: (pairs * np.uint32(0x9E3779B1)) >> np.uint32(14)
-    for _ in range(ROUNDS):
-        pairs = (sym[:-1].astype(np.uint32) << np.uint32(16)) | sym[1:]
-        pairs[ends[:-1] - 1] = NO_PAIR
-        ranked = np.sort(pairs)
-        starts = np.flatnonzero(ranked[1:] != ranked[:-1]) + 1
-        starts = np.append(0, starts)[: len(ranked)]
-        counts = np.diff(np.append(starts, len(ranked)))
-        often = np.flatnonzero(counts >= LEAST_COUNT)
-        often = often[ranked[starts[often]] != NO_PAIR]
-        often = often[np.argsort(-counts[often], kind="stable")][: min(RULES_A_ROUND, (1 << 16) - BASE - len(rules))]
-        chosen = ranked[starts[often]]
-        # of pairs that share a slot of the table, the most frequent stays
-        chosen = chosen[np.sort(np.unique(slot(chosen), return_index=True)[1])]
+    while len(sym) > 1:
+        inner = np.ones(len(sym) - 1, bool)
+        inner[ends[:-1] - 1] = False
+        chosen = chosen_pairs(sym, inner, (1 << 16) - BASE - len(rules))
         if not len(chosen):
             break
-        table, number = np.full(1 << 18, NO_PAIR, np.uint32), np.zeros(1 << 18, np.uint16)
-        table[slot(chosen)], number[slot(chosen)] = chosen, BASE + len(rules) + np.arange(len(chosen))
-        slots = slot(pairs)
-        at = np.flatnonzero((table[slots] == pairs) & (pairs != NO_PAIR))
+        left, right = (chosen >> np.uint32(16)).astype(np.uint16), (chosen & np.uint32(0xFFFF)).astype(np.uint16)
+        # the rule of a pair stands in a table of the left symbols and the right symbols that have any; 0 is none
+        rows, cols = np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, np.uint16)
+        lefts, rights = np.unique(left), np.unique(right)
+        rows[lefts], cols[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
+        table = np.zeros((len(lefts) + 1, len(rights) + 1), np.uint16)
+        table[rows[left], cols[right]] = BASE + len(rules) + np.arange(len(chosen))
+        number = table[rows[sym[:-1]], cols[sym[1:]]]
+        at = np.flatnonzero((number > 0) & inner)
         # matches that overlap form runs of neighbours; every other one is taken
         begins = np.flatnonzero(np.append(True, np.diff(at) != 1)[: len(at)])
         at = at[(np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))) % 2 == 0]
-        sym[at] = number[slots[at]]
-        rules = np.vstack([rules, np.column_stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)]).astype(np.uint16)])
+        sym[at] = number[at]
+        rules = np.vstack([rules, np.column_stack([left, right])])
         ends = ends - np.searchsorted(at, ends - 1)
-        sym = np.delete(sym, at + 1)
+        keep = np.ones(len(sym), bool)
+        keep[at + 1] = False
+        sym = sym[keep]
     return sym, rules, ends
 
 
@@ -181,8 +202,9 @@ def pack(doc_ids: list, texts: list[np.ndarray]) -> bytes:
     ids = np.concatenate(texts)
     ends = np.cumsum([len(t) for t in texts])
     sym, rules, closed = repair(ids, ends)
-    docs = np.zeros(len(texts), [("id", "<i8"), ("first", "<u4"), ("tokens", "<u4")])
-    docs["id"], docs["first"], docs["tokens"] = [NO_ID if d is None else d for d in doc_ids], np.append(0, closed[:-1]), np.diff(ends, prepend=0)
+    docs = np.zeros(len(texts), DOC)
+    docs["id"], docs["null"] = [d or 0 for d in doc_ids], [d is None for d in doc_ids]
+    docs["first"], docs["tokens"] = np.append(0, closed[:-1]), np.diff(ends, prepend=0)
     head = np.array([len(rules), len(texts), len(sym)], "<u4")
     return MAGIC + head.tobytes() + rules.astype("<u2").tobytes() + lengths_of(rules)[BASE:].astype("<u4").tobytes() + docs.tobytes() + sym.astype("<u2").tobytes()
 
@@ -197,8 +219,8 @@ class Reader:
         at = 16
         self.rules = np.frombuffer(payload, "<u2", 2 * n_rules, at).reshape(-1, 2)
         self.lengths = np.append(np.ones(BASE, np.int64), np.frombuffer(payload, "<u4", n_rules, at := at + 4 * n_rules))
-        self.docs = np.frombuffer(payload, [("id", "<i8"), ("first", "<u4"), ("tokens", "<u4")], n_docs, at := at + 4 * n_rules)
-        self.symbols = np.frombuffer(payload, "<u2", n_sym, at + 16 * n_docs)
+        self.docs = np.frombuffer(payload, DOC, n_docs, at := at + 4 * n_rules)
+        self.symbols = np.frombuffer(payload, "<u2", n_sym, at + DOC.itemsize * n_docs)
         self.starts = np.zeros(BASE + n_rules, np.int64)
         parts, size = [np.arange(BASE, dtype=np.uint16)], BASE
         self.starts[:BASE] = np.arange(BASE)
@@ -249,6 +271,7 @@ def encode_blocks(path: str):
                         block, ids, texts, size = block + 1, [], [], 0
         if ids:
             yield row()
+        encoder.forget()
 
     return run
 
@@ -256,7 +279,9 @@ def encode_blocks(path: str):
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
     """Write the token ids of all texts (columns doc_id, text) to ``path``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows of one doc_id are ordered by text; the last key only deals equal rows out, so any order among them is the same
+    keys = ("doc_id", "hash", "text", "row")
+    ordered = texts.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange("doc_id", "hash", "row").sortWithinPartitions(*keys[:3]).select("doc_id", "text")
     ordered.mapInArrow(encode_blocks(vocabulary or vocabulary_path()), BLOCKS).write.parquet(path)
 
 
@@ -273,7 +298,7 @@ def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     pa.array(np.full(k, shard, np.int32)),
                     pa.array(np.full(k, block, np.int32)),
-                    pa.array(docs["id"].astype(np.int64), mask=docs["id"] == NO_ID),
+                    pa.array(docs["id"].astype(np.int64), mask=docs["null"] == 1),
                     pa.array(starts),
                     pa.array(docs["tokens"].astype(np.int64)),
                     pa.array(sums, pa.int64()),
@@ -295,8 +320,6 @@ def read_tokens(spark, path: str) -> DataFrame:
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    import uuid
-
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tandem-{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path)
