@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tandem.llm import class_lm, decontamination, language_id, mixing, near_dups, pii, quality, secrets, token_output, toxicity
@@ -311,13 +312,63 @@ def test_class_lm(docs, none):
 
 
 def test_exchange_puts_like_words_together():
-    pairs = np.zeros((7, 7))
+    pairs = np.zeros((8, 8))
     for a in (0, 1, 2):
         for b in (3, 4, 5):
             pairs[a, b] = pairs[b, a] = 50
     pairs[6, 0] = pairs[3, 6] = 10
-    of = class_lm.exchange(pairs, classes=3)
-    assert len({of[0], of[1], of[2]}) == 1 and len({of[3], of[4], of[5]}) == 1 and of[0] != of[3] and of[6] == 2
+    of = class_lm.exchange(pairs, classes=4)
+    assert len({of[0], of[1], of[2]}) == 1 and len({of[3], of[4], of[5]}) == 1 and of[0] != of[3] and (of[6], of[7]) == (2, 3)
+
+
+def test_gains_are_those_of_moving_a_word_alone():
+    rng = np.random.default_rng(0)
+    units, classes = 12, 5
+    for _ in range(10):
+        pairs = rng.poisson(1.5, (units, units)).astype(float)
+        of = np.append(rng.integers(0, classes - 2, units - 2), [classes - 2, classes - 1])
+        table = lambda of: np.eye(classes)[of].T @ pairs @ np.eye(classes)[of]
+        right, left, own = pairs @ np.eye(classes)[of], pairs.T @ np.eye(classes)[of], np.diag(pairs)
+        right[np.arange(units), of] -= own
+        left[np.arange(units), of] -= own
+        got = class_lm.gains(table(of), right, left, own, of)
+        for u in range(units - 2):
+            for c in range(classes - 2):
+                other = of.copy()
+                other[u] = c
+                assert class_lm.likelihood(table(other)) - class_lm.likelihood(table(of)) == pytest.approx(got[u, c], abs=1e-6)
+
+
+def test_class_lm_scores_by_hand(spark, monkeypatch):
+    found = []
+    cluster = class_lm.cluster
+    monkeypatch.setattr(class_lm, "cluster", lambda blocks, n: found.append((n, cluster(blocks, n))) or found[0][1])
+    monkeypatch.setattr(class_lm, "BLOCK", 100)
+    monkeypatch.setattr(class_lm, "SEEDS", 8)
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"{'ab'[k % 2]}{min(int(rng.exponential(8)), 40)}" for k in range(30)) + f" once{i}" * (i % 3 == 0)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in class_lm.class_lm(docs, F.col("doc_id") >= 50).collect()}
+    n, (of, table, climbs) = found[0]
+    assert len(climbs) > 1 and all(b > a for a, b in zip(climbs, climbs[1:], strict=False))
+    counts = Counter(w for i, t in rows if i < 50 for w in t.split())
+    head = sorted((w for w, c in counts.items() if c >= class_lm.LEAST), key=lambda w: (-counts[w], w))
+    assert len(head) == n
+    number = {w: k for k, w in enumerate(head)}
+    want = np.zeros_like(table)
+    chain = lambda text: [n, *(number.get(w, n + 1) for w in text.split()), n]
+    for i, t in rows:
+        if i < 50:
+            for a, b in zip(chain(t), chain(t)[1:], strict=False):
+                want[of[a], of[b]] += 1
+    assert (want == table).all()
+    step = np.log10((want + class_lm.ALPHA) / (want + class_lm.ALPHA).sum(axis=1, keepdims=True))
+    once, rare = sum(c == 1 for c in counts.values()), sum(c for c in counts.values() if c < class_lm.LEAST)
+    size = Counter(of[number[w]] for w, c in counts.items() if w in number for _ in range(c))
+    for i, t in rows:
+        score = sum(step[of[a], of[b]] for a, b in zip(chain(t), chain(t)[1:], strict=False))
+        score += sum(math.log10(counts[w] / size[of[number[w]]] if w in number else (counts[w] or once) / (rare + once)) for w in t.split())
+        assert got[i] == pytest.approx(score)
 
 
 def test_decontamination(spark, docs, none):
@@ -332,11 +383,14 @@ def test_decontamination(spark, docs, none):
 
 
 def test_token_files(docs, none):
-    encoder = token_output.Encoder(token_output.vocabulary_path())
-    plain = lambda t: encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+    tokenizer = Tokenizer.from_file(token_output.vocabulary_path())
+    plain = lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+    extra = [(20, "<|endoftext|>"), (20, "b <|endoftext|> a\nc"), (20, "a"), (-(2**63), "least"), (None, "no id"), (21, "<|endoftext|"), (22, "don't  stop\t now\u00a0x " * 3000)]
+    docs = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame(extra, "doc_id long, text string"))
     got = sorted(token_output.tokenised(docs).collect(), key=lambda r: r.start)
-    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id))
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
     assert [r.doc_id for r in got] == [r.doc_id for r in rows]
+    assert got == sorted(token_output.tokenised(docs.repartition(5)).collect(), key=lambda r: r.start)
     at, sums = 0, Counter()
     for r in got:
         assert r.start == at
@@ -348,9 +402,14 @@ def test_token_files(docs, none):
 
 def test_grammar_round_trip():
     rng = np.random.default_rng(8)
-    texts = [np.append(rng.choice([5, 6, 7, 8], rng.integers(0, 900)), 2).astype(np.uint16) for _ in range(60)] + [np.full(1000, 9, np.uint16)]
+    texts = [np.append(rng.choice([5, 6, 7, 8], rng.integers(0, 900)), 2).astype(np.uint16) for _ in range(60)] + [np.full(9000, 9, np.uint16)]
     reader = token_output.Reader(token_output.pack(list(range(61)), texts))
     assert len(reader.rules) > 0 and len(reader.symbols) < sum(map(len, texts))
+    # no pair is left that comes often enough
+    left = Counter()
+    for lo, hi in zip(reader.docs["first"], [*reader.docs["first"][1:], len(reader.symbols)], strict=True):
+        left.update(zip(reader.symbols[lo : hi - 1].tolist(), reader.symbols[lo + 1 : hi].tolist(), strict=True))
+    assert max(left.values()) < token_output.LEAST_COUNT and max(reader.lengths) > 16
     for k, t in enumerate(texts):
         assert (reader.document(k) == t).all() and (reader.document(k, 3, 11) == t[3:11]).all()
 
