@@ -6,12 +6,14 @@ The flight phase moves the probabilities along the null space of two balancing e
 (documents taken, tokens taken), so both totals of a source stay as they are while at each step
 at least one probability becomes 0 or 1. Documents are dealt into blocks by a
 hash; each block leaves at most two documents open, the open ones of many blocks meet in the next
-round, and the last two of a source are landed by giving up the document total first and then the
-token total. Large documents fly first, so what is landed is small.
-
-Reruns agree: blocks, orders and random numbers derive from doc_id and source alone.
-Null text has size 0, a null source is a source of its own, an empty table gives no rows; rows
-repeated under one doc_id are drawn one by one.
+round. A source's flight ends when LAND documents are open. Landing them takes, of all ways to settle so
+few, the one nearest to the tokens that they stand for, and of equal ones the nearest to their number.
+
+Reruns agree: blocks, orders and random numbers derive from doc_id, size and source alone.
+Null text has size 0, a null source is a source of its own, an empty table gives no rows. Rows
+repeated under one doc_id are drawn one by one, and so are rows without one; those of one size are alike, so
+they are counted and numbered, and dealt into blocks by that number as well. Long texts only have a
+large size; columns other than doc_id, text and source are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from .common import WORD, documents, written
 WEIGHTS = (1.0, 2.0, 3.0)
 CAP = 3.0
 BLOCK = 4096
+#: Open documents that are landed together.
+LAND = 12
+#: Tasks of a flight at most.
+MOST_TASKS = 20_000
 SEED = 20240607
 EPS = 1e-9
 
@@ -64,7 +70,7 @@ def move(size: np.ndarray, pi: np.ndarray, u: np.ndarray, rng: np.random.Generat
 
 
 def fly(size: np.ndarray, pi: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
-    """Move ``pi`` until at most two entries are open, or none if ``land``; sizes come largest first.
+    """Move ``pi`` until at most two entries are open, or if ``land`` LAND, which are landed; sizes come largest first.
 
     The direction is the unit vector of the largest open document, projected onto the null space of
     the two balancing equations over all open documents: it moves most, so it's settled early, and
@@ -74,7 +80,7 @@ def fly(size: np.ndarray, pi: np.ndarray, rng: np.random.Generator, land: bool)
     where = np.flatnonzero((pi > 0) & (pi < 1))
     s = size[where].astype(float)
     p = pi[where]
-    while len(p) > 2:
+    while len(p) > (LAND if land else 2):
         mean = s.mean()
         centred = s - mean
         spread = centred @ centred
@@ -87,18 +93,17 @@ def fly(size: np.ndarray, pi: np.ndarray, rng: np.random.Generator, land: bool)
         closed = (p <= 0) | (p >= 1)
         pi[where[closed]] = p[closed]
         where, s, p = where[~closed], s[~closed], p[~closed]
-    if land and len(p) == 2:
-        scale = s.max()
-        p = move(s, p, np.array([s[1], -s[0]]) / scale, rng)
-    if land:
-        p = np.where((p > 0) & (p < 1), rng.random(len(p)) < p, p)
+    if land and len(p):
+        ways = (np.arange(1 << len(p))[:, None] >> np.arange(len(p))) & 1
+        tokens, number = np.abs(ways @ s - p @ s), np.abs(ways.sum(axis=1) - p.sum())
+        p = ways[np.lexsort((rng.random(len(ways)), number.round(6), tokens.round(6)))[0]].astype(float)
     pi[where] = p
     return pi
 
 
 def flight(seed: int, stage: int, land: bool):
     def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+        block = block.sort_values(["size", "none", "id", "k"], ascending=[False, True, True, True])
         rng = np.random.default_rng([seed, stage, int(key[0]), int(key[1])])
         return block.assign(pi=fly(block["size"].to_numpy(), block.pi.to_numpy(), rng, land))
 
@@ -111,24 +116,41 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     per = written(targets(sizes, weights, cap), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     blocks = F.floor((F.col("n") - 1) / BLOCK) + 1
-    rows = sizes.join(per, sizes.source.eqNullSafe(per.source)).select(
-        "doc_id", "size", "rank", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("pi"), F.pmod(F.xxhash64("doc_id", F.lit(seed)), blocks).alias("block")
+    # rows that are alike are counted and numbered, in two steps so that no task numbers all of a large group
+    alike = sizes.groupBy("source", "doc_id", "size").agg(F.count("*").alias("times"))
+    parts = alike.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / BLOCK)))).repartition("doc_id", "size", "part")
+    first = F.col("part") * BLOCK
+    rows = parts.withColumn("k", F.explode(F.sequence(first, F.least(F.col("times"), first + BLOCK) - 1)))
+    # one row per source: broadcast by size, as Spark finds it
+    rows = rows.join(per, rows.source.eqNullSafe(per.source)).select(
+        F.coalesce("doc_id", F.lit(0)).alias("id"),
+        F.col("doc_id").isNull().alias("none"),
+        "k",
+        "size",
+        "rank",
+        F.floor(rate).alias("whole"),
+        (rate - F.floor(rate)).alias("pi"),
+        F.pmod(F.xxhash64("doc_id", "size", "k", F.lit(seed)), blocks).alias("block"),
     )
-    shape = "doc_id long, size long, rank int, whole long, pi double, block long"
-    most = per.agg(F.coalesce(F.max(blocks), F.lit(0))).first()[0]
+    shape = "id long, none boolean, k long, size long, rank int, whole long, pi double, block long"
+    most, every = per.agg(F.coalesce(F.max(blocks), F.lit(0)), F.coalesce(F.sum(blocks), F.lit(0))).first()
+    tasks = lambda n: max(1, min(MOST_TASKS, int(n)))
     calm = (F.col("pi") < EPS) | (F.col("size") == 0)
     done = [rows.where(calm).withColumn("pi", F.lit(0.0))]
     rows, stage = rows.where(~calm), 0
     while most > 1:
-        rows = written(rows.groupBy("rank", "block").applyInPandas(flight(seed, stage, False), shape), "flight")
+        rows = written(rows.repartition(tasks(every), "rank", "block").groupBy("rank", "block").applyInPandas(flight(seed, stage, False), shape), "flight")
+        every /= BLOCK // 2
         closed = F.col("pi").isin(0.0, 1.0)
         done.append(rows.where(closed))
         rows, stage, most = rows.where(~closed).withColumn("block", F.floor(F.col("block") / (BLOCK // 2))), stage + 1, -(-most // (BLOCK // 2))
     done.append(rows.withColumn("block", F.lit(0).cast("long")).groupBy("rank", "block").applyInPandas(flight(seed, stage, True), shape))
-    every = done[0].select(*[F.col(c) for c in ("doc_id", "size", "rank", "whole", "pi")])
+    fields = ("id", "none", "size", "rank", "whole", "pi")
+    flown = done[0].select(*fields)
     for x in done[1:]:
-        every = every.union(x.select("doc_id", "size", "rank", "whole", "pi"))
-    return every.join(per, "rank").select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.round("pi").cast("long")).alias("copies"))
+        flown = flown.union(x.select(*fields))
+    doc_id = F.when(~F.col("none"), F.col("id")).alias("doc_id")
+    return flown.join(per, "rank").select(doc_id, "source", "size", "source_size", "target", (F.col("whole") + F.round("pi").cast("long")).alias("copies"))
 
 
 def op1_source_mixing(spark, sf_dir: str) -> DataFrame:
