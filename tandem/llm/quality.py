@@ -13,12 +13,18 @@ are constant in most documents (no symbols, no repeats), which makes covariances
 variance gets a FLOOR, that is the least deviation that counts as one unit.
 
 Null and empty texts have no words: they fail the base rules. Documents that fail them take no
-part in the estimates. Null language and null source are groups of their own; a group with fewer
-than LEAST documents is judged by the estimate over its language, pooled over sources.
+part in the estimates. Null language and null source are groups of their own. Every group's centre and
+covariance are mixed with those over its language, pooled over sources, with weights n to LEAST for a group of n
+documents; a language with few documents has nothing else to lean on, and is judged by its own.
+
+Rows repeated under one doc_id are judged one by one and count as often as they come; of ties at
+the edge of the nearest half all are in it; an empty table gives no rows; long texts are counted whole;
+columns other than doc_id, text, lang and source are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +44,10 @@ P = len(FLOOR)
 STEPS = 4
 SHARE = 0.5
 LEAST = 40
+#: Groups whose estimates are broadcast; beyond that they are joined by Spark's own choice.
+MOST_GROUPS = 50_000
+#: Source of the groups that hold a whole language; others begin with = or are -.
+POOLED = "*"
 #: Chi-squared, four degrees of freedom: median and 1 - 1e-6.
 CHI_MEDIAN, CHI_CUT = 3.3567, 33.377
 BINS = 64
@@ -82,8 +92,6 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
 
 
-
-
 def whitened(group: DataFrame) -> DataFrame:
     """Per group: the centre and the inverse of the covariance's lower factor (names m0.., w00..)."""
     cov = [[F.col(f"c{max(i, j)}{min(i, j)}") + (F.lit(FLOOR[i] ** 2) if i == j else 0) for j in range(P)] for i in range(P)]
@@ -100,6 +108,10 @@ def whitened(group: DataFrame) -> DataFrame:
     return group.drop(*(f"l{i}{j}" for i in range(P) for j in range(i + 1)))
 
 
+def covariances() -> list[str]:
+    return [f"c{i}{j}" for i in range(P) for j in range(i + 1)]
+
+
 def distance() -> Column:
     """Squared Mahalanobis distance of x0.. from the centre m0.. under the factor w00.."""
     rows = [reduce(lambda a, j: a + F.col(f"w{i}{j}") * (F.col(f"x{j}") - F.col(f"m{j}")), range(i + 1), F.lit(0.0)) for i in range(P)]  # noqa: B023
@@ -111,15 +123,15 @@ def moments() -> list[Column]:
     return [F.count("*").alias("n"), *mean, *(F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i in range(P) for j in range(i + 1))]
 
 
-def robust(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """MCD estimate per group of ``keys``: n, m0.., w00.., scale."""
+def robust(vectors: DataFrame, keys: list[str], small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """MCD estimate per group of ``keys``: n, m0.., c00.., scale. ``small`` marks tables of one row a group for joins."""
     start = vectors.groupBy(*keys).agg(F.count("*").alias("n"), *(F.percentile_approx(f"x{i}", 0.5).alias(f"m{i}") for i in range(P)))
-    spread = vectors.join(start, keys).groupBy(*keys).agg(F.first("n").alias("n"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(P)), *(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i in range(P)))
+    spread = vectors.join(small(start), keys).groupBy(*keys).agg(F.first("n").alias("n"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(P)), *(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i in range(P)))
     group = spread.select(*keys, "n", *(f"m{i}" for i in range(P)), *((F.pow(F.col(f"d{i}") * 1.4826, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)))
-    group = written(whitened(group).drop(*(f"c{i}{j}" for i in range(P) for j in range(i + 1))), "group")
+    group = written(whitened(group), "group")
     bin_of = F.floor(F.log(distance() + 1e-6) * BINS)
     for step in range(STEPS + 1):
-        placed = vectors.join(group, keys).select(*keys, F.col("n").alias("all"), *(f"x{i}" for i in range(P)), bin_of.alias("bin"))
+        placed = vectors.join(small(group.drop(*covariances())), keys).select(*keys, F.col("n").alias("all"), *(f"x{i}" for i in range(P)), bin_of.alias("bin"))
         histogram = placed.groupBy(*keys, "bin").agg(F.first("all").alias("all"), F.count("*").alias("k"))
         bins = histogram.groupBy(*keys).agg(F.first("all").alias("all"), F.sort_array(F.collect_list(F.struct("bin", "k"))).alias("bins"))
         # up to some thousand bins per group, whatever its size: the first at which half of the documents are covered
@@ -129,10 +141,10 @@ def robust(vectors: DataFrame, keys: list[str]) -> DataFrame:
         if step == STEPS:
             # consistency: the median squared distance of a normal vector is CHI_MEDIAN; the floor already covers constant statistics
             scale = F.greatest(F.exp((F.col("cut") + 1) / BINS) / CHI_MEDIAN, F.lit(1.0))
-            return written(group.join(cut, keys).withColumn("scale", scale).drop("cut"), "group")
-        near = placed.join(cut, keys).where("bin <= cut")
+            return written(group.join(small(cut), keys).withColumn("scale", scale).drop("cut"), "group")
+        near = placed.join(small(cut), keys).where("bin <= cut")
         half = near.groupBy(*keys).agg(F.first("all").alias("all"), *moments()).withColumn("n", F.col("all")).drop("all")
-        group = written(whitened(half).drop(*(f"c{i}{j}" for i in range(P) for j in range(i + 1))), "group")
+        group = written(whitened(half), "group")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -145,13 +157,25 @@ def judge(docs: DataFrame) -> DataFrame:
     typical = raw.groupBy("g_lang", "g_source").agg(*(F.percentile_approx(f"r{i}", 0.5).alias(f"t{i}") for i in range(P)))
     shrink = lambda i: (F.col(f"r{i}") * F.col("n_words") + F.col(f"t{i}") * PRIOR) / (F.col("n_words") + PRIOR)
     root = lambda i: shrink(i) if i == 0 else F.sqrt(shrink(i))
-    vectors = written(raw.join(typical, ["g_lang", "g_source"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "g_lang", "g_source", *(root(i).alias(f"x{i}") for i in range(P))), "vectors")
-    fine = robust(vectors, ["g_lang", "g_source"])
-    pooled = robust(vectors, ["g_lang"])
-    fields = ["scale", *(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i in range(P) for j in range(i + 1))]
-    chosen = fine.alias("f").join(pooled.alias("p"), "g_lang").select("g_lang", "g_source", *(F.when(F.col("f.n") >= LEAST, F.col(f"f.{c}")).otherwise(F.col(f"p.{c}")).alias(c) for c in fields))
+    groups = raw.select("g_lang", "g_source").distinct().count()
+    small = F.broadcast if groups <= MOST_GROUPS else lambda df: df
+    vectors = written(raw.join(small(typical), ["g_lang", "g_source"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "g_lang", "g_source", *(root(i).alias(f"x{i}") for i in range(P))), "vectors")
+    # each document counts in its group and in that of its language
+    both = vectors.withColumn("g_source", F.explode(F.array("g_source", F.lit(POOLED))))
+    found = robust(both.select("g_lang", "g_source", *(f"x{i}" for i in range(P))), ["g_lang", "g_source"], small)
+    pooled = found.where(F.col("g_source") == POOLED).drop("g_source")
+    share, f, p = F.col("f.n") / (F.col("f.n") + LEAST), lambda c: F.col(f"f.{c}"), lambda c: F.col(f"p.{c}")
+    apart = lambda i: f(f"m{i}") - p(f"m{i}")
+    mixed = found.where(F.col("g_source") != POOLED).alias("f").join(small(pooled).alias("p"), "g_lang")
+    chosen = mixed.select(
+        "g_lang",
+        "g_source",
+        *((share * f(f"m{i}") + (1 - share) * p(f"m{i}")).alias(f"m{i}") for i in range(P)),
+        *((share * f("scale") * f(f"c{i}{j}") + (1 - share) * p("scale") * p(f"c{i}{j}") + share * (1 - share) * apart(i) * apart(j)).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)),
+    )
+    chosen = written(whitened(chosen).drop(*covariances()), "chosen")
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    good = vectors.join(chosen, ["g_lang", "g_source"]).select(*cols, (distance() / F.col("scale")).alias("distance"))
+    good = vectors.join(small(chosen), ["g_lang", "g_source"]).select(*cols, distance().alias("distance"))
     return good.withColumn("kept", F.col("distance") <= CHI_CUT).union(rows.where("base_failed").select(*cols, F.lit(None).cast("double"), F.lit(False)))
 
 
