@@ -430,6 +430,54 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
         assert corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
+def test_pipeline_by_hand(spark, tmp_path):
+    """Planted cases through all stages: toxic texts, near copies and test items go, others stay, and the files hold what stayed."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"{a}{b}{c}" for a in ("ri", "sto", "win", "gar") for b in ("ver", "ne", "dow", "den") for c in ("al", "ing", "er", "um")]
+    say = lambda n: " ".join(rng.choice(vocabulary, n))
+    plain = [(i, say(60)) for i in range(120)]
+    toxic = [(200 + i, say(40) + " moron") for i in range(40)]
+    near = [(300 + i, plain[i][1] + " again") for i in range(10)]
+    item = say(24)
+    leaked = [(400, say(20) + " " + item + " " + say(20))]
+    rows = [(i, t, "en", f"s{i % 3}", len(t), i, "k") for i, t in plain + toxic + near + leaked] + [(5, plain[5][1], "en", "s2", 1, 1, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, keep long, Key string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0) for i in range(100)] + [(200 + i, 1) for i in range(40)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table, want = docs, Counter(r[0] for r in rows)
+    for (name, stage), gone in zip(corpus_pipeline.STAGES[:3], (toxic, near + [(5, "")], leaked), strict=True):
+        table = stage(spark, table, str(tmp_path))
+        want -= Counter(i for i, _ in gone)
+        assert Counter(r.doc_id for r in table.collect()) == want and table.columns == docs.columns, name
+    left = {r.doc_id: r for r in table.collect()}
+    mixed = corpus_pipeline.STAGES[3][1](spark, table, str(tmp_path)).collect()
+    times = Counter(r.doc_id for r in mixed)
+    assert max(times.values()) <= 3 and all(r == left[r.doc_id] for r in mixed)
+    size = Counter()
+    taken = Counter()
+    for i, r in left.items():
+        size[r.source] += len(r.text.split())
+        taken[r.source] += times[i] * len(r.text.split())
+    for k, source in enumerate(sorted(size)):
+        assert taken[source] == pytest.approx(sum(size.values()) * (k + 1) / 6, rel=0.02)
+    tokenizer = Tokenizer.from_file(token_output.vocabulary_path())
+    ids = {i: tokenizer.encode(r.text, add_special_tokens=False).ids + [2] for i, r in left.items()}
+    got = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(times.elements())
+    assert all(r.n_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id], "<u4").tobytes()) for r in got)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+
+
+def test_mixing_of_large_documents_and_one_id(spark):
+    rng = np.random.default_rng(12)
+    rows = [(None if i % 2 else 7, "w " * int(n), "ab"[i % 2 == 0]) for i, n in enumerate(rng.integers(1, 20_000, 100))] + [(None, "w " * 9, "c")] * 9000
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert len(got) == len(rows)
+    per = got.assign(taken=got["size"] * got.copies).groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert (abs(per.taken / per.target - 1) < 0.01).all()
+
+
 def test_queries_on_the_small_tables(spark, small):
     n = spark.read.parquet(f"{small}/documents.parquet").count()
     for name in ("op1_source_mixing", "op3_mcd_quality", "op6_secret_scan", "op9_token_output", "op10_weak_pii"):
