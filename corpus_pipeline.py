@@ -1,8 +1,9 @@
 """A corpus pipeline: toxicity, near duplicates, decontamination, mixing, token output.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``docs``. Extra
-columns come along. Null texts count as empty, empty tables pass through. Rows without a doc_id
-are never near duplicates; of rows repeated under one doc_id one stays after that stage.
+columns come along under any name. Null texts count as empty, empty tables pass through, long texts
+are worked on whole. Rows without a doc_id are never near duplicates; of rows repeated under one doc_id
+one stays after that stage, that of the least hash of its text.
 """
 
 from __future__ import annotations
@@ -18,6 +19,12 @@ from tandem.llm.token_output import tokenised
 from tandem.llm.toxicity import reject
 
 
+def spare(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that ``docs`` has no column of, in upper or lower case."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(x for k in range(len(taken) + 1) if (x := name + "_" * k).lower() not in taken) for name in names]
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under the threshold, learnt from all labels."""
     return reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -25,12 +32,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest doc_id."""
+    (keep,) = spare(docs, "keep")
     found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = kept.withColumn("_row", once).where("_row = 1").drop("_row")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(keep)).distinct()
+    kept = docs.join(stay, F.col("doc_id") == F.col(keep), "left_semi")
+    # of the rows of one doc_id each task hands on one at most
+    once = kept.groupBy(F.col("doc_id").alias(keep)).agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), "text")).alias("row"))
+    return once.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +48,14 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none, one or several rows each."""
-    key = F.xxhash64("doc_id", "text", "source")
-    taken = mix(docs.select(key.alias("doc_id"), "text", "source")).groupBy(F.col("doc_id").alias("_key")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    key, copies, alike, rank, times, copy = spare(docs, "key", "copies", "alike", "rank", "times", "copy")
+    hashed = F.xxhash64("doc_id", "text", "source")
+    taken = mix(docs.select(hashed.alias("doc_id"), "text", "source")).groupBy(F.col("doc_id").alias(key)).agg(F.sum("copies").alias(copies), F.count("*").alias(alike))
     # rows that are alike share their copies evenly
-    rank = F.row_number().over(Window.partitionBy("_key").orderBy("_copies"))
-    rows = docs.withColumn("_key", key).join(taken.where("_copies > 0"), "_key").withColumn("_rank", rank)
-    times = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_rank") <= F.col("_copies") % F.col("_rows")).cast("long")
-    rows = rows.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return rows.select(*docs.columns)
+    order = F.row_number().over(Window.partitionBy(key).orderBy(copies))
+    rows = docs.withColumn(key, hashed).join(taken.where(F.col(copies) > 0), key).withColumn(rank, order)
+    rows = rows.withColumn(times, F.floor(F.col(copies) / F.col(alike)) + (F.col(rank) <= F.col(copies) % F.col(alike)).cast("long")).where(F.col(times) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +71,7 @@ STAGES = [
     ("token_output", token_files),
 ]
 
-#: SQL can't express the stages; tests hold each against a brute-force version.
+#: SQL can't express the stages; tests hold them against plain Python.
 ORACLE_SQL = None
 
 
