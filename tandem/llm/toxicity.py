@@ -13,9 +13,11 @@
    curve over the evidence, fitted on the same rows, gives the score.
 
 Null and empty texts have no evidence and get the score that goes with it. Labels that are null
-are left out; where a document has several labels the largest counts. Without labels of both
-kinds all texts score the share of toxic labels (0 if there are none). Rows repeated under one
-doc_id are scored one by one.
+are left out, and so are labels of documents that there aren't; where a document has several
+labels the largest counts. Without labels of both kinds all texts score the share of toxic labels
+(0 if there are none). Rows repeated under one doc_id are scored one by one, an empty table gives
+no rows, texts are read whole however long, and of readings that cost the same the first by letters is
+taken. Other columns are not read; those of ``reject`` come along under any name.
 """
 
 from __future__ import annotations
@@ -30,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fold
+from .common import documents, fold, written
 
 MAX_LABELS = 20_000
-MAX_FEATURES = 20_000
-MOST_WORDS = 500_000
+MOST_WORDS = 150_000
+#: Distinct words whose trigrams are counted together.
+PART = 20_000
 THRESHOLD = 0.7
 PREFIXES = (3, 4, 5, 6, 7, 8)
 LEAST_TOXIC = 5
@@ -51,8 +54,6 @@ EDGE = ".,;:?\"'()[]{}<>|/\\&%#*~`^=_-+!"
 SWAP, DROP, WASTE, SHORTEN, BREAK = 0.7, 1.5, 7.0, 0.7, 1.0
 UNSEEN = 14.0
 REPEAT = re.compile(r"(.)\1+")
-#: Readings of a word's repeats that are compared one by one; Viterbi takes more.
-FEW = 16
 SPACED = re.compile(r"\s([\w{0}](?:\s+[\w{0}]){{2,}})(?!\S)".format("".join(re.escape(c) for c in STANDS_FOR if not c.isalnum())))
 
 
@@ -68,6 +69,10 @@ class Characters:
     def step(self, before: str, char: str) -> float:
         return self.cost.get(before + char, UNSEEN)
 
+    def total(self, text: str) -> float:
+        """Cost of all trigrams inside ``text``."""
+        return sum([self.cost.get(text[k : k + 3], UNSEEN) for k in range(len(text) - 2)])
+
 
 def trigrams(word: str) -> Iterator[str]:
     padded = f"^^{word}^"
@@ -109,16 +114,19 @@ def viterbi(pieces: list[list[tuple[str, float]]], lm: Characters) -> str:
 
 def shortened(word: str, lm: Characters) -> str:
     """The cheapest reading of a word of letters whose repeats may be read shorter."""
-    reads, at = [("", 0.0)], 0
-    for m in REPEAT.finditer(word):
-        n, before = m.end() - m.start(), word[at : m.start()]
-        reads = [(read + before + m[1] * k, cost + SHORTEN * (k < n)) for read, cost in reads for k in sorted({1, 2, n})]
-        if len(reads) > FEW:
-            return viterbi(lattice(word), lm).rstrip("^")
-        at = m.end()
-    if not at:
+    found = list(REPEAT.finditer(word))
+    if not found:
         return word
-    return min((cost + sum(lm.cost.get(g, UNSEEN) for g in trigrams(read + word[at:])), read + word[at:]) for read, cost in reads)[1]
+    if any(b.start() - a.end() < 2 for a, b in zip(found, found[1:], strict=False)):
+        return viterbi(lattice(word), lm).rstrip("^")
+    # no trigram reaches from one repeat to another, so each is read by itself, with two letters on either side
+    padded, out, at = f"^^{word}^", [], 0
+    for m in found:
+        n, before, after = m.end() - m.start(), padded[m.start() : m.start() + 2], padded[m.end() + 2 : m.end() + 4]
+        reads = [(lm.total(before + m[1] * k + after) + SHORTEN * (k < n), k) for k in sorted({1, 2, n})]
+        out.append(word[at : m.start()] + m[1] * min(reads)[1])
+        at = m.end()
+    return "".join(out) + word[at:]
 
 
 def restore(token: str, lm: Characters) -> tuple[str, ...]:
@@ -154,15 +162,22 @@ def features(word: str) -> Iterator[str]:
 
 def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter[str] = Counter()
-    total: Counter[str] = Counter()
+    total: Counter[tuple[int, int, int]] = Counter()
 
     def drain() -> None:
-        for token, n in words.items():
-            core = token.strip(EDGE)
-            if core.isalpha():
-                for gram in trigrams(core):
-                    total[gram] += n
+        cores = [(core, n) for token, n in words.items() if (core := token.strip(EDGE)).isalpha()]
         words.clear()
+        for lo in range(0, len(cores), PART):
+            some = cores[lo : lo + PART]
+            sizes = np.fromiter((len(core) + 3 for core, _ in some), np.int64, len(some))
+            chars = np.frombuffer("".join(f"^^{core}^" for core, _ in some).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            inside = np.ones(len(chars), bool)
+            inside[np.cumsum(sizes) - 1] = inside[np.cumsum(sizes) - 2] = False
+            at = np.flatnonzero(inside)
+            codes, inverse = np.unique((chars[at] << 42) | (chars[at + 1] << 21) | chars[at + 2], return_inverse=True)
+            times = np.bincount(inverse, np.repeat(np.fromiter((n for _, n in some), np.int64, len(some)), sizes - 2), len(codes))
+            for code, n in zip(codes.tolist(), times.tolist(), strict=True):
+                total[code] += int(n)
 
     for batch in batches:
         for text in batch.column("text").to_pylist():
@@ -170,55 +185,85 @@ def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if len(words) > MOST_WORDS:
                 drain()
     drain()
-    yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["gram", "n"])
+    mask = (1 << 21) - 1
+    grams = [chr(c >> 42) + chr(c >> 21 & mask) + chr(c & mask) for c in total]
+    yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(total.values(), pa.int64())], names=["gram", "n"])
 
 
-def count_features(lm: Characters, weights: dict[str, float]):
-    """Texts that have a feature, toxic and not, within a task; toxic texts with any of ``weights`` are left out."""
+class Recent(dict):
+    """What ``find`` gives for a token, kept while it is asked for again: the last MOST_WORDS tokens and those before."""
+
+    def __init__(self, find: Callable[[str], tuple]):
+        super().__init__()
+        self.find, self.before = find, {}
+
+    def __missing__(self, token: str) -> tuple:
+        if len(self) >= MOST_WORDS:
+            self.before = dict(self)
+            self.clear()
+        found = self.before.get(token)
+        if found is None:
+            found = self.find(token)
+        self[token] = found
+        return found
+
+
+def read_texts(lm: Characters):
+    """The distinct restored words of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple[str, ...]] = {}
-        counts: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
+        seen = Recent(lambda token: restore(token, lm))
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            words = []
+            for text in batch.column("text").to_pylist():
                 own = set(unspaced(text, lm))
                 for token in set(text.split()):
-                    if token not in seen:
-                        seen[token] = restore(token, lm)
                     own.update(seen[token])
-                if own := {f for w in own for f in features(w)}:
-                    if not toxic or weights.keys().isdisjoint(own):
-                        counts[toxic].update(own)
-            if len(seen) > MOST_WORDS:
-                seen.clear()
+                words.append(sorted(own))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(words, pa.list_(pa.string()))], names=["toxic", "words"])
+
+    return run
+
+
+def count_features(weights: dict[str, float]):
+    """Texts that have a feature, toxic and not, within a task; toxic texts with any of ``weights`` are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
+        for batch in batches:
+            for words, toxic in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                own = {f for w in words for f in features(w)}
+                if not toxic or weights.keys().isdisjoint(own):
+                    counts[toxic].update(own)
         names = list(counts[0].keys() | counts[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[k][f] for f in names], pa.int64()) for k in (1, 0))], names=["feature", "n1", "n0"])
 
     return run
 
 
-class Weights(dict):
-    """Evidence of each raw token, found once."""
+class Weights:
+    """Evidence of words, tokens and texts."""
 
     def __init__(self, weights: dict[str, float], lm: Characters):
-        super().__init__()
         self.weights, self.lm = weights, lm
+        #: Every feature of a word begins with its first three letters.
+        self.heads = {f[:3] for f in weights}
+        self.seen = Recent(lambda token: tuple((w, e) for w in restore(token, lm) if (e := self.of_word(w))))
 
     def of_word(self, word: str) -> float:
+        if word[:3] not in self.heads:
+            return 0.0
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
 
-    def __missing__(self, token: str) -> tuple[tuple[str, float], ...]:
-        if len(self) > MOST_WORDS:
-            self.clear()
-        found = self[token] = tuple((w, e) for w in restore(token, self.lm) if (e := self.of_word(w)))
-        return found
+    def of_words(self, words: list[str]) -> float:
+        return math.fsum(map(self.of_word, words))
 
     def evidence(self, text: str) -> float:
-        found = dict(p for hits in map(self.__getitem__, set(text.split())) if hits for p in hits)
+        found = dict(p for hits in map(self.seen.__getitem__, set(text.split())) if hits for p in hits)
         for word in unspaced(text, self.lm):
             if e := self.of_word(word):
                 found[word] = e
-        return sum(found.values())
+        return math.fsum(found.values())
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -247,8 +292,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Callable[[], Callable[[str], fl
     sample = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     # a bounded sample, in the order of a hash: MAX_LABELS rows of two numbers are broadcast
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELS)
-    train = texts.join(F.broadcast(sample), "doc_id")
-    totals = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    train = written(texts.join(F.broadcast(sample), "doc_id").select("toxic", "text").mapInArrow(read_texts(lm), "toxic int, words array<string>"), "read")
+    totals = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         share = n1 / max(1, n0 + n1)
@@ -260,16 +305,16 @@ def learn(docs: DataFrame, labels: DataFrame) -> Callable[[], Callable[[str], fl
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
     bound = odds - Z * F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
     for least in LEAST_BOUNDS:
-        counted = train.mapInArrow(count_features(lm, dict(weights)), "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+        counted = train.mapInArrow(count_features(dict(weights)), "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
         found = counted.where(F.col("n1") >= LEAST_TOXIC).select("feature", odds.alias("weight"), "n1").where(bound >= least)
-        weights |= {r.feature: r.weight for r in found.orderBy(F.desc("n1"), "feature").limit(MAX_FEATURES).collect() if r.feature not in weights}
+        weights |= {r.feature: r.weight for r in found.collect() if r.feature not in weights}
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Weights(weights, lm)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(map(seen.evidence, batch.column("text").to_pylist()), pa.float64())], names=["toxic", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(map(seen.of_words, batch.column("words").to_pylist()), pa.float64())], names=["toxic", "evidence"])
 
-    rows = train.select("toxic", "text").mapInArrow(weigh, "toxic int, evidence double").toPandas()
+    rows = train.mapInArrow(weigh, "toxic int, evidence double").toPandas()
     a, b = logistic(rows.evidence.to_numpy(), rows.toxic.to_numpy(float))
 
     def scorer() -> Callable[[str], float]:
