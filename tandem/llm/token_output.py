@@ -42,11 +42,11 @@ END = 2
 #: Ids below it are tokens; 16-bit symbols leave the rest for rules.
 BASE = 50_257
 BLOCK = 1 << 20
-RULES_A_ROUND = 1024
+RULES_A_ROUND = 4096
 LEAST_COUNT = 64
 MAGIC = b"RPG2"
-#: Pieces of text whose ids a worker keeps.
-CACHE = 400_000
+#: Pieces of text whose ids a worker keeps: so many at least, and twice as many at most.
+CACHE = 150_000
 MARKS = '.,;:!?&*%$#|"()'
 #: How the byte-level alphabet writes a space.
 SPACE = "\u0120"
@@ -76,15 +76,19 @@ class Pieces(dict):
     of the line ends; a piece is encoded by the library once. Elsewhere Uneven is raised.
     """
 
-    def __init__(self, tokenizer, before: str):
+    def __init__(self, tokenizer, lead: str):
         super().__init__()
-        self.tokenizer, self.before = tokenizer, before
-        self.model, self.mark = tokenizer.model, SPACE if before else ""
+        self.tokenizer, self.lead, self.before = tokenizer, lead, {}
+        self.model, self.mark = tokenizer.model, SPACE if lead else ""
 
     def learn(self, pieces: set[str]) -> None:
         if len(self) > CACHE:
+            self.before = dict(self)
             self.clear()
-        new = [p for p in pieces.difference(self) if p and not (p[0].isspace() or p[-1].isspace())]
+        missing = pieces.difference(self)
+        known = {p: self.before[p] for p in missing if p in self.before}
+        self.update(known)
+        new = [p for p in missing.difference(known) if p and not (p[0].isspace() or p[-1].isspace())]
         # letters and the marks after them are cut apart by the pre-tokenizer as well
         marked = {p: stem for p in new if (stem := p.rstrip(MARKS)) != p and stem.isalpha()}
         plain = {marked.get(p, p) for p in new}.difference(self)
@@ -92,7 +96,7 @@ class Pieces(dict):
         stems = {p for p in plain if p.isascii() and p.isalpha()}
         self.update((p, as_bytes([x.id for x in self.model.tokenize(self.mark + p)])) for p in stems)
         plain = list(plain - stems)
-        self.update(zip(plain, self.encoded([self.before + p for p in plain]), strict=True))
+        self.update(zip(plain, self.encoded([self.lead + p for p in plain]), strict=True))
         ends = list({p[len(stem) :] for p, stem in marked.items()})
         ids = dict(zip(ends, self.encoded(ends), strict=True))
         self.update((p, self[stem] + ids[p[len(stem) :]]) for p, stem in marked.items())
@@ -121,11 +125,6 @@ class Encoder:
         self.first, self.rest = Pieces(self.tokenizer, ""), Pieces(self.tokenizer, " ")
         self.line_end = as_bytes(self.tokenizer.encode("\n", add_special_tokens=False).ids)
 
-    def forget(self) -> None:
-        """A worker lives on for other tasks, perhaps of other stages, so it keeps nothing but the vocabulary."""
-        self.first.clear()
-        self.rest.clear()
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text and the end id."""
         whole = [any(t in text for t in self.special) for text in texts]
@@ -271,7 +270,6 @@ def encode_blocks(path: str):
                         block, ids, texts, size = block + 1, [], [], 0
         if ids:
             yield row()
-        encoder.forget()
 
     return run
 
