@@ -53,7 +53,7 @@ HUBS = 4
 #: Shingles of more classes than this are joined together with the classes' prefixes.
 LARGE = 48
 #: A task packs its postings whenever it holds so many.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Postings that a task counts at a time, about.
 BUCKET = 1_500_000
 #: A shingle is very common when 1 in HOT of all documents has it; so the list's length is at most
