@@ -3,21 +3,25 @@
 A text's words are a chain of language labels. Emission scores are sums of learnt weights over a
 word's features: its first and last one to three letters, its letter bigrams and trigrams, and
 the language in whose lexicon it is. Lexicons hold the words that training texts of one language
-use far more than the others'; they are counted over all training texts by Spark, LEXICON words a
-language at most. Transition scores are learnt as well.
+use far more than the others'; they are counted over all training texts by Spark. A word counts from
+LEXICON_RATE of all words on, so a lexicon has at most 1 / LEXICON_RATE words, whatever the corpus.
+Transition scores are learnt as well.
 
-Training takes at most ROWS texts per language, whole, in the order of a hash. Their document's
+Training takes at most ROWS different texts per language, whole, in the order of a hash, of those with
+at most ROW_CHARS characters (a bounded sample of labelled rows). Their document's
 language labels all words at first; weights fitted to that relabel the words (a word goes to
 another language where its neighbourhood speaks for it), so passages in another language give
 transitions between labels; then the chain is fitted to the words' labels by its gradient, which
 the forward-backward recursion yields.
 
-Prediction runs forward-backward over every whole text, many texts side by side in numpy. A
-text's language is that with the largest sum of word probabilities; its share is the score.
+Prediction runs forward-backward over every whole text, however long, some texts side by side in
+numpy. A text's language is that with the largest sum of word probabilities; its share is the score.
+Of equal languages the first by name is taken.
 
 Texts that are null, or without a letter, are ``und`` with score 0. Null languages aren't learnt
 from; all others are, however rare. Without any every text is ``und``.
-Rows repeated under one doc_id are labelled one by one.
+Rows repeated under one doc_id are labelled one by one, an empty table gives no rows, and columns
+other than doc_id, text and (in training) lang are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,28 +29,31 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, fold, written
 
 ROWS = 200
-LEXICON = 4000
+ROW_CHARS = 1_000_000
 LEXICON_SHARE = 0.9
 LEXICON_COUNT = 20
+LEXICON_RATE = 1e-5
 BUCKETS = 1 << 16
-MOST_WORDS = 300_000
+#: Raw tokens that a task keeps scores of, or counts, at a time.
+MOST_WORDS = 200_000
+#: Words whose features are looked up at a time.
+SCORED = 8192
 EPOCHS = 30
 RATE = 0.15
 DECAY = 1e-4
 SEGMENT = 200
-#: Texts side by side, and words held at a time.
-SIDE = 1024
-CHUNK = 2_000_000
+#: Texts side by side, and characters of texts that are labelled together (a longer text by itself).
+SIDE = 4096
+CHUNK = 4_000_000
 LETTER = re.compile(r"[^\W\d_]")
 EDGE = ".,;:!?\"'()[]{}<>|/\\&%#*~`^=_-+$"
 
@@ -57,24 +64,47 @@ def plain(token: str) -> str:
     return core if LETTER.search(core) else ""
 
 
-def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Feature numbers of a word, below BUCKETS, and the lexicon's above."""
-    edge = f"^{word}$"
-    grams = [edge[k : k + n] for n in (2, 3) for k in range(len(edge) - n + 1)]
-    grams += ["<" + word[:n] for n in (1, 2, 3)] + [">" + word[-n:] for n in (1, 2, 3)]
-    out = [crc32(g.encode()) % BUCKETS for g in grams]
-    if word in lexicon:
-        out.append(BUCKETS + lexicon[word])
-    return out
+def word_features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers, word after word, and how many each word has; below BUCKETS hashes of letters, then languages.
+
+    A word of n letters, between ^ and $, has n + 1 bigrams, n trigrams, three first and three last pieces.
+    """
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    known = np.fromiter((lexicon.get(w, -1) for w in words), np.int64, len(words))
+    chars = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    start, sizes = np.cumsum(n + 2) - (n + 2), 2 * n + 7 + (known >= 0)
+    base = np.cumsum(sizes) - sizes
+    word = np.repeat(np.arange(len(words)), n + 2)
+    place = np.arange(len(chars)) - start[word]
+    after = np.append(chars[1:], np.uint64(0))
+    third = np.append(after[1:], np.uint64(0))
+    none = np.zeros(1, np.uint64)
+
+    def number(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        mixed = ((a * np.uint64(0x100000001B3) + b) * np.uint64(0x100000001B3) + c) * np.uint64(0x100000001B3) + np.uint64(kind)
+        return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+
+    flat = np.empty(int(sizes.sum()), np.int64)
+    at = place <= n[word]
+    flat[base[word[at]] + place[at]] = number(2, chars[at], after[at], none)
+    at = place < n[word]
+    flat[base[word[at]] + n[word[at]] + 1 + place[at]] = number(3, chars[at], after[at], third[at])
+    first = [np.where(n > k, chars[start + np.minimum(k + 1, n)], np.uint64(0)) for k in range(3)]
+    last = [np.where(n > k, chars[start + np.maximum(n - k, 1)], np.uint64(0)) for k in range(3)]
+    for side, ends in enumerate((first, last)):
+        for k in range(3):
+            flat[base + 2 * n + 1 + 3 * side + k] = number(10 + 10 * side + k, ends[0], ends[1] if k > 0 else none, ends[2] if k > 1 else none)
+    flat[(base + sizes - 1)[known >= 0]] = BUCKETS + known[known >= 0]
+    return flat, sizes
 
 
 def emissions(words: list[str], weights: np.ndarray, lexicon: dict[str, int]) -> np.ndarray:
-    lists = [word_features(w, lexicon) for w in words]
-    lengths = np.array([len(x) for x in lists], np.int64)
-    flat = np.fromiter((f for x in lists for f in x), np.int64, int(lengths.sum()))
-    if not len(flat):
-        return np.zeros((len(words), weights.shape[1]))
-    return np.add.reduceat(weights[flat], np.cumsum(lengths) - lengths, axis=0) / np.sqrt(lengths)[:, None]
+    """Scores per word and language; the features of some words are held at a time."""
+    out = np.empty((len(words), weights.shape[1]), np.float32)
+    for lo in range(0, len(words), SCORED):
+        flat, n = word_features(words[lo : lo + SCORED], lexicon)
+        out[lo : lo + SCORED] = np.add.reduceat(weights[flat], np.cumsum(n) - n, axis=0) / np.sqrt(n)[:, None]
+    return out
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, step: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -128,9 +158,7 @@ def fit(texts: list[tuple[list[str], int]], k: int, lexicon: dict[str, int]) ->
             lengths.append(len(ids[lo : lo + SEGMENT]))
             labels += [lang] * lengths[-1]
     chains, labels, lengths = np.array(chains, np.int64), np.array(labels), np.array(lengths, np.int64)
-    lists = [word_features(w, lexicon) for w in number]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    flat = np.fromiter((f for x in lists for f in x), np.int64, int(sizes.sum()))
+    flat, sizes = word_features(list(number), lexicon)
     first, owner, scale = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes), 1 / np.sqrt(sizes)
     weights, step = np.zeros((BUCKETS + k, k)), np.zeros((k, k))
     moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(step), np.zeros_like(step)]
@@ -193,15 +221,14 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lexicons(train: DataFrame, langs: list[str]) -> dict[str, int]:
-    """Word to language, for words that mostly belong to one; at most LEXICON a language."""
+    """Word to number of its language, for the words that mostly belong to one."""
     counts = train.select("text", "lang").mapInArrow(count_words, "lang string, word string, n long")
-    share = [F.sum(F.when(F.col("lang") == x, F.col("n"))).alias(f"n{k}") for k, x in enumerate(langs)]
-    words = written(counts.groupBy("word").agg(F.sum("n").alias("n"), *share).where(F.col("n") >= LEXICON_COUNT), "lexicon")
-    out: dict[str, int] = {}
-    for k in range(len(langs)):
-        top = words.where(F.col(f"n{k}") >= F.col("n") * LEXICON_SHARE).orderBy(F.desc("n"), "word").limit(LEXICON)
-        out |= {r.word: k for r in top.select("word").collect()}
-    return out
+    words = counts.groupBy("word", "lang").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.max(F.struct("n", "lang")).alias("top"))
+    words = written(words.select("word", "n", F.col("top.n").alias("most"), F.col("top.lang").alias("lang")), "lexicon")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(LEXICON_COUNT, total * LEXICON_RATE)
+    number = {lang: k for k, lang in enumerate(langs)}
+    return {r.word: number[r.lang] for r in words.where((F.col("n") >= least) & (F.col("most") >= F.col("n") * LEXICON_SHARE)).select("word", "lang").collect()}
 
 
 class Words(dict):
@@ -229,15 +256,15 @@ class Words(dict):
 
 def label_words(texts: list[str], words: Words, table: list[np.ndarray], weights: np.ndarray, step: np.ndarray, lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(label probabilities of all words with letters, such words per text)."""
-    rows, lengths = [], []
+    rows, lengths = [np.empty(0, np.int32)], []
     for text in texts:
-        own = [r for r in map(words.__getitem__, text.split()) if r >= 0]
-        rows += own
-        lengths.append(len(own))
+        own = np.fromiter(map(words.__getitem__, text.split()), np.int32)
+        rows.append(own[own >= 0])
+        lengths.append(len(rows[-1]))
     if words.new:
-        table[0] = np.vstack([table[0], emissions(words.new, weights, lexicon).astype(np.float32)])
+        table[0] = np.vstack([table[0], emissions(words.new, weights, lexicon)])
         words.new.clear()
-    return forward_backward(table[0][np.array(rows, np.int64)], np.array(lengths, np.int64), step)[0], np.array(lengths)
+    return forward_backward(table[0][np.concatenate(rows)], np.array(lengths, np.int64), step)[0], np.array(lengths, np.int64)
 
 
 class Labeller:
@@ -254,7 +281,7 @@ class Labeller:
             lo, size = 0, 0
             for k, text in enumerate(texts):
                 size += len(text)
-                if size >= CHUNK * 6 or k == len(texts) - 1:
+                if size >= CHUNK or k == len(texts) - 1:
                     yield texts[lo : k + 1], *label_words(texts[lo : k + 1], words, table, self.weights, self.step, self.lexicon)
                     lo, size = k + 1, 0
                     if len(words) > MOST_WORDS:
@@ -272,16 +299,16 @@ def learn(docs: DataFrame) -> Labeller | None:
         return None
     langs = sorted(sizes)
     lexicon = lexicons(train, langs)
-    # about 1.3 ROWS of each language by hash, then ROWS of them
+    # about 1.3 ROWS of each language by hash, equal texts once, then ROWS of them: so many come to the driver at most
     scale = 1 << 20
     share = F.create_map(*(x for lang in langs for x in (F.lit(lang), F.lit(min(scale, int(1.3 * ROWS / sizes[lang] * scale) + 1)))))
-    place = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(7))
-    picked = train.where(F.pmod(place, F.lit(scale)) < share[F.col("lang")]).select(place.alias("place"), "text", "lang").collect()
-    taken: Counter[str] = Counter()
+    place = F.xxhash64("text", F.lit(7))
+    near = train.where((F.length("text") <= ROW_CHARS) & (F.pmod(place, F.lit(scale)) < share[F.col("lang")])).groupBy("lang", place.alias("place")).agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    picked = near.withColumn("rank", rank).where(F.col("rank") <= ROWS).select("lang", "place", "text").collect()
     texts = []
-    for row in sorted(picked, key=lambda r: (r.place, r.text)):
-        taken[row.lang] += 1
-        if taken[row.lang] <= ROWS and (words := [w for w in map(plain, row.text.split()) if w]):
+    for row in sorted(picked, key=lambda r: (r.place, r.lang)):
+        if words := [w for w in map(plain, row.text.split()) if w]:
             texts.append((words, langs.index(row.lang)))
     if not texts:
         return None
@@ -289,26 +316,35 @@ def learn(docs: DataFrame) -> Labeller | None:
 
 
 def label_languages(docs: DataFrame, model: Labeller | None) -> DataFrame:
-    """doc_id, lang_pred, score and the share of words of the second language, of every text."""
+    """doc_id, lang_pred, score, the share of words of the second language (second) and how often
+    neighbouring words are of two languages (switches), of every text."""
     langs = model.langs if model else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = model.batches() if model else None
         for batch in batches:
-            pred, score, second = [], [], []
+            pred, score, second, switches = [], [], [], []
             for _, p, lengths in work(batch.column("text").to_pylist()) if work else [(None, np.empty((0, 1)), np.zeros(batch.num_rows, np.int64))]:
-                ends = np.cumsum(lengths)
-                sums = np.vstack([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0, dtype=float)])
-                share = (sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1)[:, None]
+                full = lengths > 0
+                starts = (np.cumsum(lengths) - lengths)[full]
+                share, turns = np.zeros((len(lengths), p.shape[1])), np.zeros(len(lengths), np.int64)
+                if len(starts):
+                    share[full] = np.add.reduceat(p, starts, axis=0, dtype=float) / lengths[full][:, None]
+                    best = np.argmax(p, axis=1)
+                    turn = np.append(False, best[1:] != best[:-1])
+                    turn[starts] = False
+                    turns[full] = np.add.reduceat(turn, starts, dtype=np.int64)
                 for row, n in zip(share, lengths.tolist(), strict=True):
                     ranked = np.argsort(-row, kind="stable")
                     pred.append(langs[ranked[0]] if n else "und")
                     score.append(min(1.0, max(0.0, float(row[ranked[0]]))) if n else 0.0)
                     second.append(float(row[ranked[1]]) if n and len(ranked) > 1 else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(second, pa.float64())], names=["doc_id", "lang_pred", "score", "second"])
+                switches += turns.tolist()
+            columns = [batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(second, pa.float64()), pa.array(switches, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "second", "switches"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, lang_pred string, score double, second double")
+    return texts.mapInArrow(run, "doc_id long, lang_pred string, score double, second double, switches long")
 
 
 def spans(text: str, model: Labeller) -> list[tuple[str, int, int]]:
@@ -330,4 +366,4 @@ def op4_crf_language(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = learn(docs.where(fold("doc_id", 3) != 1))
     found = label_languages(docs, model)
-    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "second")
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "second", "switches")
