@@ -65,10 +65,22 @@ class Characters:
         for gram, n in counts.items():
             below[gram[:2]] += n
         self.cost = {g: -math.log((n + 0.01) / (below[g[:2]] + 1.0)) for g, n in counts.items()}
+        self.lengths: dict[str, int] = {}
 
     def step(self, before: str, char: str) -> float:
         return self.cost.get(before + char, UNSEEN)
 
+    def length_of_run(self, window: str, n: int) -> int:
+        """How many of its ``n`` equal letters a run is read as, by the two characters on either side in ``window``."""
+        found = self.lengths.get(window)
+        if found is None:
+            before, char, after = window[:2], window[2], window[2 + n :]
+            found = min((self.total(before + char * k + after) + SHORTEN * (k < n), k) for k in {1, 2, n})[1]
+            if len(self.lengths) >= MOST_WORDS:
+                self.lengths.clear()
+            self.lengths[window] = found
+        return found
+
     def total(self, text: str) -> float:
         """Cost of all trigrams inside ``text``."""
         return sum([self.cost.get(text[k : k + 3], UNSEEN) for k in range(len(text) - 2)])
@@ -122,10 +134,9 @@ def shortened(word: str, lm: Characters) -> str:
     # no trigram reaches from one repeat to another, so each is read by itself, with two letters on either side
     padded, out, at = f"^^{word}^", [], 0
     for m in found:
-        n, before, after = m.end() - m.start(), padded[m.start() : m.start() + 2], padded[m.end() + 2 : m.end() + 4]
-        reads = [(lm.total(before + m[1] * k + after) + SHORTEN * (k < n), k) for k in sorted({1, 2, n})]
-        out.append(word[at : m.start()] + m[1] * min(reads)[1])
-        at = m.end()
+        start, end = m.span()
+        out.append(word[at:start] + m[1] * lm.length_of_run(padded[start : end + 4], end - start))
+        at = end
     return "".join(out) + word[at:]
 
 
