@@ -29,4 +29,30 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Links by shared shingles over all pairs, then the smallest doc_id that is reachable.
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+    FROM words
+), tokens AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS token FROM sets
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM tokens a JOIN tokens b ON a.token = b.token AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id
+    HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+    SELECT doc_id AS node, doc_id AS root FROM sets
+    UNION
+    SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.node
+)
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(sets.doc_id, min(root)) AS component_id
+FROM sets JOIN reach ON reach.node = sets.doc_id
+GROUP BY sets.doc_id, len(s)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_ngram_jaccard_join": NEAR_DUPLICATES}
