@@ -103,7 +103,6 @@ def correlations(bars: DataFrame) -> DataFrame:
     rows = log_prices(bars)
     rows = rows.withColumns({"ra": F.col("log_a") - F.lag("log_a").over(w), "rb": F.col("log_b") - F.lag("log_b").over(w)})
     pearson = lambda x, y: F.when(F.sqrt(F.var_pop(x) * F.var_pop(y)) > 1e-15, F.covar_pop(x, y) / F.sqrt(F.var_pop(x) * F.var_pop(y)))
-    both = F.when(F.col("ra").isNotNull(), F.col("log_a"))  # noqa: F841
     return rows.groupBy("pair_id").agg(F.count("*").alias("n_obs"), pearson("log_a", "log_b").alias("level_corr"), pearson("ra", "rb").alias("return_corr"))
 
 
