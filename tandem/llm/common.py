@@ -30,10 +30,12 @@ def raw(text: str = "text") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests on one machine) a temporary folder is taken.
+    Only on one machine (master local) where the setting is missing, as in tests, a temporary folder is taken.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tandem-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
