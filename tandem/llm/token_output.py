@@ -28,10 +28,10 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,11 +47,13 @@ LEAST_COUNT = 64
 MAGIC = b"RPG2"
 #: Pieces of text whose ids a worker keeps: so many at least, and twice as many at most.
 CACHE = 150_000
+#: Letters below it are letters in all versions of Unicode.
+LATIN = "\u0250"
 MARKS = '.,;:!?&*%$#|"()'
 #: How the byte-level alphabet writes a space.
 SPACE = "\u0120"
-#: Texts that are cut at a time.
-TEXTS = 1024
+#: Bytes of texts that are cut at a time (a longer text by itself).
+CHUNK = 4_000_000
 
 #: A document's entry in a block.
 DOC = np.dtype([("id", "<i8"), ("first", "<u4"), ("tokens", "<u4"), ("null", "u1")])
@@ -64,48 +66,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Uneven(Exception):
-    """White space meets a cut, or the text holds a special token, so it has to be encoded whole."""
-
-
-class Pieces(dict):
-    """Ids (as bytes) of what stands between two spaces or line ends.
-
-    The byte-level pre-tokenizer never joins anything across a single space or line end between two
-    visible characters, so a text's ids are those of its pieces, each with the space before it, and
-    of the line ends; a piece is encoded by the library once. Elsewhere Uneven is raised.
-    """
-
-    def __init__(self, tokenizer, lead: str):
-        super().__init__()
-        self.tokenizer, self.lead, self.before = tokenizer, lead, {}
-        self.model, self.mark = tokenizer.model, SPACE if lead else ""
-
-    def learn(self, pieces: set[str]) -> None:
-        if len(self) > CACHE:
-            self.before = dict(self)
-            self.clear()
-        missing = pieces.difference(self)
-        known = {p: self.before[p] for p in missing if p in self.before}
-        self.update(known)
-        new = [p for p in missing.difference(known) if p and not (p[0].isspace() or p[-1].isspace())]
-        # letters and the marks after them are cut apart by the pre-tokenizer as well
-        marked = {p: stem for p in new if (stem := p.rstrip(MARKS)) != p and stem.isalpha()}
-        plain = {marked.get(p, p) for p in new}.difference(self)
-        # letters of ASCII are one piece for the pre-tokenizer too, so they go to the model at once
-        stems = {p for p in plain if p.isascii() and p.isalpha()}
-        self.update((p, as_bytes([x.id for x in self.model.tokenize(self.mark + p)])) for p in stems)
-        plain = list(plain - stems)
-        self.update(zip(plain, self.encoded([self.lead + p for p in plain]), strict=True))
-        ends = list({p[len(stem) :] for p, stem in marked.items()})
-        ids = dict(zip(ends, self.encoded(ends), strict=True))
-        self.update((p, self[stem] + ids[p[len(stem) :]]) for p, stem in marked.items())
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        return [as_bytes(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __missing__(self, piece: str) -> bytes:
-        raise Uneven
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself if visible, else the next one from 256 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -113,6 +78,13 @@ def as_bytes(ids: list[int]) -> bytes:
 
 
 class Encoder:
+    """Encodes texts piece by piece.
+
+    The byte-level pre-tokenizer never joins anything across a single space or line end between two
+    visible characters, so a text's ids are those of its pieces, each with the space or line end before
+    it; a piece is encoded by the library once. Texts where white space meets a cut are encoded whole.
+    """
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -122,24 +94,91 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.get_vocab_size() > BASE:
             raise ValueError(f"the vocabulary has more than {BASE} ids")
-        self.first, self.rest = Pieces(self.tokenizer, ""), Pieces(self.tokenizer, " ")
         self.line_end = as_bytes(self.tokenizer.encode("\n", add_special_tokens=False).ids)
+        self.letters, self.model = byte_letters(), self.tokenizer.model
+        self.latin = LATIN if self.tokenizer.normalizer is None else "\x80"
+        #: Ids by piece, empty where white space meets a cut; those of before are kept for one turn more.
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {"": b""}
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [as_bytes(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text and the end id."""
-        whole = [any(t in text for t in self.special) for text in texts]
-        cut = [[[""]] if w else [line.split(" ") for line in text.split("\n")] for text, w in zip(texts, whole, strict=True)]
-        self.first.learn({c[0] for lines in cut for c in lines})
-        self.rest.learn(set(chain.from_iterable(c[1:] for lines in cut for c in lines)))
+    def learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces; one that starts a line has the line end before it, the others a space."""
+        cut = []
+        for p in pieces:
+            body = p[1:] if p[0:1] == "\n" else p
+            if not body or body[0].isspace() or body[-1].isspace():
+                self.known[p] = b""
+            else:
+                # letters and the marks after them are cut apart by the pre-tokenizer as well
+                stem = body.rstrip(MARKS)
+                at = len(p) - len(body) + len(stem) if stem.isalpha() else len(p)
+                cut.append((p, p[:at], p[at:]))
+        heads = {h for _, h, _ in cut if h not in self.known}
+        self.known.update((h, self.before[h]) for h in heads if h in self.before)
+        others = []
+        for h in heads.difference(self.before):
+            starts = h[0] == "\n"
+            word = h[1:] if starts else h
+            if word.isalpha() and max(word) < self.latin:
+                # Latin letters are one piece for the pre-tokenizer too, so they go to the model at once
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                ids = as_bytes([x.id for x in self.model.tokenize(spelled if starts else SPACE + spelled)])
+                self.known[h] = self.line_end + ids if starts else ids
+            else:
+                others.append(h)
+        for h, ids in zip(others, self.library([h[1:] if h[0] == "\n" else " " + h for h in others]), strict=True):
+            self.known[h] = self.line_end + ids if h[0] == "\n" else ids
+        ends = list({e for _, _, e in cut}.difference(self.ends))
+        self.ends.update(zip(ends, self.library(ends), strict=True))
+        self.known.update((p, self.known[h] + self.ends[e]) for p, h, e in cut if e)
+
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces."""
+        if len(self.known) > CACHE:
+            self.before, self.known, self.ends = self.known, {}, {"": b""}
+        ids = list(map(self.known.get, pieces))
+        missing = [k for k, x in enumerate(ids) if x is None]
+        again = {p: x for k in missing if (x := self.before.get(p := pieces[k])) is not None}
+        self.known.update(again)
+        self.learn([p for k in missing if (p := pieces[k]) not in again])
+        for k in missing:
+            ids[k] = self.known[pieces[k]]
+        return ids
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text and the end id.
+
+        Arrow cuts the texts and numbers the different pieces; numpy puts the pieces' ids together.
+        """
+        if not len(texts):
+            return []
+        whole = np.zeros(len(texts), bool)
+        for mark in self.special:
+            whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        # a line end stays with the piece after it, and every text begins with one, which is left out again
+        lines = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
+        cut = pc.split_pattern(lines, " ")
+        first = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        ids = self.ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        flat = np.frombuffer(b"".join(ids), np.uint16)
+        n = sizes[at]
+        whole |= np.minimum.reduceat(n, first[:-1]) == 0
+        ends = np.cumsum(n)
+        shift = (np.cumsum(sizes) - sizes)[at] - (ends - n)
+        tokens = flat[np.arange(int(ends[-1])) + np.repeat(shift, n)]
+        bounds = np.append(0, ends)[first].tolist()
+        skip, end = len(self.line_end) // 2, np.array([END], np.uint16)
         out = []
-        for text, lines, w in zip(texts, cut, whole, strict=True):
-            try:
-                if w:
-                    raise Uneven
-                data = self.line_end.join([self.first[c[0]] + b"".join(map(self.rest.__getitem__, c[1:])) for c in lines]) if text else b""
-            except Uneven:
-                data = as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            out.append(np.frombuffer(data + as_bytes([END]), np.uint16))
+        for k, (lo, hi, w) in enumerate(zip(bounds[:-1], bounds[1:], whole.tolist(), strict=True)):
+            own = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint16) if w else tokens[lo + skip : hi]
+            out.append(np.concatenate([own, end]))
         return out
 
 
@@ -250,6 +289,17 @@ class Reader:
         return self.expand(self.symbols[lo + a : lo + b])[start - before : stop - before]
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, as many at a time as have CHUNK bytes of text, one at least."""
+    lo, size = 0, 0
+    for k, n in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+        if size + n > CHUNK and k > lo:
+            yield batch.slice(lo, k - lo)
+            lo, size = k, 0
+        size += n
+    yield batch.slice(lo)
+
+
 def encode_blocks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ENCODERS.setdefault(path, None) or ENCODERS.update({path: Encoder(path)}) or ENCODERS[path]
@@ -259,9 +309,8 @@ def encode_blocks(path: str):
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([size], pa.int64()), pa.array([pack(ids, texts)], pa.binary())], names=["shard", "block", "tokens", "payload"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(lo, TEXTS)
-                for doc_id, tokens in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
+            for part in parts(batch):
+                for doc_id, tokens in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text")), strict=True):
                     ids.append(doc_id)
                     texts.append(tokens)
                     size += len(tokens)

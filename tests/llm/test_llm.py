@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -400,6 +401,20 @@ def test_token_files(docs, none):
     assert token_output.tokenised(none).count() == 0
 
 
+def test_encoder_as_the_library(monkeypatch):
+    monkeypatch.setattr(token_output, "CACHE", 500)
+    tokenizer, encoder = Tokenizer.from_file(token_output.vocabulary_path()), token_output.Encoder(token_output.vocabulary_path())
+    bits = ["a", "B", "h\u00e9\u00e9", "\n", " ", "\t", "\r\n", "<|endoftext|>", "<|endo", "12", "3", "!", "'s", "I'll", "\u00a0", "\u3000", "\u65e5\u672c", "word,", "...", "\0", "\u0301", "\x85", "\u00aa", "stra\u00dfe", "mot***", "\u0250", "\U0001f600"]
+    rng = np.random.default_rng(4)
+    texts = ["", "\n", " ", "\n\n", " \n", "a\n", "\na", "a \n b"] + ["".join(rng.choice(bits, rng.integers(1, 14))) for _ in range(4000)]
+    for lo in range(0, len(texts), 500):
+        for text, ids in zip(texts[lo : lo + 500], encoder.encode(pa.array(texts[lo : lo + 500])), strict=True):
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [2]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(["x" * token_output.CHUNK, "", "y" * (token_output.CHUNK + 1), "z"])], names=["doc_id", "text"])
+    assert [p.column("doc_id").to_pylist() for p in token_output.parts(batch)] == [[1, 2], [3], [4]]
+    assert [p.num_rows for p in token_output.parts(batch.slice(0, 0))] == [0] and encoder.encode(pa.array([], pa.string())) == []
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(8)
     texts = [np.append(rng.choice([5, 6, 7, 8], rng.integers(0, 900)), 2).astype(np.uint16) for _ in range(60)] + [np.full(9000, 9, np.uint16)]
