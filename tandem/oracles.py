@@ -21,53 +21,63 @@ bars AS (
   FROM daily WHERE price_a > 0 AND price_b > 0
 )"""
 
-SPREADS = """,
+
+
+def spread_chain(source: str = "bars", k: str = "60") -> str:
+    """Spreads of ``source`` over windows of ``k`` rows, a number or a column."""
+    return f""",
 fits AS (
   SELECT *, CASE WHEN ok THEN slope END AS beta, CASE WHEN ok THEN mean_a - slope * mean_b END AS alpha,
-         CASE WHEN ok THEN CASE WHEN var_a * 60 < 1e-12 THEN 0 ELSE cov * cov / (var_a * var_b) END END AS r2
+         CASE WHEN ok THEN CASE WHEN var_a * {k} < 1e-12 THEN 0 ELSE cov * cov / (var_a * var_b) END END AS r2
   FROM (
-    SELECT *, cov / nullif(var_b, 0) AS slope, n = 60 AND var_b >= 1e-12 AS ok FROM (
+    SELECT *, cov / nullif(var_b, 0) AS slope, n = {k} AND var_b >= 1e-12 AS ok FROM (
       SELECT *, count(*) OVER w AS n, avg(log_a) OVER w AS mean_a, avg(log_b) OVER w AS mean_b, var_pop(log_a) OVER w AS var_a, var_pop(log_b) OVER w AS var_b, covar_pop(log_a, log_b) OVER w AS cov
-      FROM bars WINDOW w AS (PARTITION BY pair_id ORDER BY idx ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)
+      FROM {source} WINDOW w AS (PARTITION BY pair_id ORDER BY idx ROWS BETWEEN {k} - 1 PRECEDING AND CURRENT ROW)
     )
   )
 ),
 spreads AS (SELECT *, log_a - alpha - beta * log_b AS spread FROM fits)"""
 
-SIGNALS = (
-    SPREADS
-    + """,
+
+def signal_chain(source: str = "bars", k: str = "60") -> str:
+    return (
+        spread_chain(source, k)
+        + f""",
 dense AS (
-  SELECT pair_id, idx, CASE WHEN n_last = 60 AND sd >= 1e-10 THEN (last - mean) / sd END AS z, CASE WHEN n_now = 60 AND sd_now >= 1e-10 THEN (spread - mean_now) / sd_now END AS z_now
+  SELECT pair_id, idx, CASE WHEN n_last = {k} AND sd >= 1e-10 THEN (last - mean) / sd END AS z, CASE WHEN n_now = {k} AND sd_now >= 1e-10 THEN (spread - mean_now) / sd_now END AS z_now
   FROM (
     SELECT *, lag(spread) OVER (PARTITION BY pair_id ORDER BY idx) AS last, count(*) OVER v AS n_last, avg(spread) OVER v AS mean, stddev_samp(spread) OVER v AS sd,
            count(*) OVER w AS n_now, avg(spread) OVER w AS mean_now, stddev_samp(spread) OVER w AS sd_now
     FROM spreads WHERE spread IS NOT NULL
-    WINDOW v AS (PARTITION BY pair_id ORDER BY idx ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), w AS (PARTITION BY pair_id ORDER BY idx ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)
+    WINDOW v AS (PARTITION BY pair_id ORDER BY idx ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING), w AS (PARTITION BY pair_id ORDER BY idx ROWS BETWEEN {k} - 1 PRECEDING AND CURRENT ROW)
   )
 ),
 sig AS (SELECT s.*, d.z, d.z_now FROM spreads s LEFT JOIN dense d USING (pair_id, idx))"""
-)
+    )
 
-RUN = (
-    SIGNALS
-    + """,
+
+def accounts(source: str = "sig", entry: str = "2", leave: str = "0.5", stop: str = "3.5", skip: str = "false", interest: str = "1") -> str:
+    """The trading rule and its accounts on ``source``; the parameters are numbers or columns of it, by ``s``."""
+    return f""",
 fold AS (
-  SELECT DISTINCT pair_id, CAST(-1 AS BIGINT) AS idx, 0 AS dir, CAST(-1 AS BIGINT) AS since, 'hold' AS asked, 'hold' AS done FROM bars
+  SELECT DISTINCT pair_id, CAST(-1 AS BIGINT) AS idx, 0 AS dir, CAST(-1 AS BIGINT) AS since, 'hold' AS asked, 'hold' AS done, false AS waiting FROM {source}
   UNION ALL
   SELECT pair_id, idx, dir, since,
          CASE WHEN z IS NULL THEN 'hold'
-              WHEN dir = 0 THEN CASE WHEN z <= -2 THEN 'long' WHEN z >= 2 THEN 'short' ELSE 'hold' END
-              WHEN dir * z <= -3.5 THEN 'stop_loss' WHEN idx - since >= 60 THEN 'max_holding' WHEN abs(z) <= 0.5 THEN 'reversion' ELSE 'hold' END,
-         done
+              WHEN dir = 0 THEN CASE WHEN z <= -entry THEN 'long' WHEN z >= entry THEN 'short' ELSE 'hold' END
+              WHEN dir * z <= -stop THEN 'stop_loss' WHEN idx - since >= 60 THEN 'max_holding' WHEN abs(z) <= leave THEN 'reversion' ELSE 'hold' END,
+         done, (waiting OR barred) AND coalesce(abs(z) >= entry, true)
   FROM (
-    SELECT f.pair_id, s.idx, s.z, f.asked AS done,
-           CASE WHEN f.asked = 'long' THEN 1 WHEN f.asked = 'short' THEN -1 WHEN f.asked = 'hold' THEN f.dir ELSE 0 END AS dir,
-           CASE WHEN f.asked IN ('long', 'short') THEN s.idx ELSE f.since END AS since
-    FROM fold f JOIN sig s ON s.pair_id = f.pair_id AND s.idx = f.idx + 1
+    SELECT pair_id, idx, z, entry, leave, stop, waiting, barred, CASE WHEN barred THEN 'hold' ELSE asked END AS done,
+           CASE WHEN barred OR asked = 'hold' THEN dir WHEN asked = 'long' THEN 1 WHEN asked = 'short' THEN -1 ELSE 0 END AS dir,
+           CASE WHEN asked IN ('long', 'short') AND NOT barred THEN idx ELSE since END AS since
+    FROM (
+      SELECT f.pair_id, s.idx, s.z, {entry} AS entry, {leave} AS leave, {stop} AS stop, f.asked, f.dir, f.since, f.waiting, f.asked IN ('long', 'short') AND (f.waiting OR {skip}) AS barred
+      FROM fold f JOIN {source} s ON s.pair_id = f.pair_id AND s.idx = f.idx + 1
+    )
   )
 ),
-ends AS (SELECT pair_id, max(idx) AS last_idx FROM bars GROUP BY pair_id),
+ends AS (SELECT pair_id, max(idx) AS last_idx FROM {source} GROUP BY pair_id),
 trips AS (
   SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY entry_index) - 1 AS trade, CASE WHEN side = 'long' THEN 'long_spread' ELSE 'short_spread' END AS direction,
          entry_index, coalesce(exit_index, last_idx) AS exit_index, coalesce(reason, 'end_of_data') AS exit_reason
@@ -79,8 +89,8 @@ trips AS (
 priced AS (
   SELECT t.*, CASE WHEN direction = 'long_spread' THEN 1 ELSE -1 END AS sign, e.date AS entry_date, x.date AS exit_date, e.price_a AS a0, e.price_b AS b0, x.price_a AS a1, x.price_b AS b1, p.beta AS hedge,
          coalesce(p.z, 0) AS entry_z, coalesce(CASE WHEN exit_reason = 'end_of_data' THEN x.z ELSE q.z END, 0) AS exit_z
-  FROM trips t JOIN sig e ON e.pair_id = t.pair_id AND e.idx = t.entry_index JOIN sig x ON x.pair_id = t.pair_id AND x.idx = t.exit_index
-  JOIN sig p ON p.pair_id = t.pair_id AND p.idx = t.entry_index - 1 JOIN sig q ON q.pair_id = t.pair_id AND q.idx = t.exit_index - 1
+  FROM trips t JOIN {source} e ON e.pair_id = t.pair_id AND e.idx = t.entry_index JOIN {source} x ON x.pair_id = t.pair_id AND x.idx = t.exit_index
+  JOIN {source} p ON p.pair_id = t.pair_id AND p.idx = t.entry_index - 1 JOIN {source} q ON q.pair_id = t.pair_id AND q.idx = t.exit_index - 1
 ),
 sized AS (SELECT *, sign * 25000.0 / a0 AS qty_a, -sign * abs(hedge) * 25000.0 / b0 AS qty_b FROM priced),
 trades AS (
@@ -97,8 +107,8 @@ flows AS (
 rate AS (SELECT pow(1.04::DOUBLE, 1.0::DOUBLE / 252) - 1 AS r),
 cashed AS (
   SELECT s.*, coalesce(f.flow, 0) AS flow, coalesce(f.cost, 0) AS costs_this_bar, coalesce(f.event, '') AS trade_event, coalesce(t.direction, 'flat') AS position, coalesce(t.qty_a, 0) AS qty_a, coalesce(t.qty_b, 0) AS qty_b,
-         pow(1 + r, s.idx) * (100000 + sum(coalesce(f.flow, 0) * pow(1 + r, -s.idx)) OVER (PARTITION BY s.pair_id ORDER BY s.idx)) AS cash, r
-  FROM sig s CROSS JOIN rate LEFT JOIN flows f ON f.pair_id = s.pair_id AND f.idx = s.idx LEFT JOIN trades t ON t.pair_id = s.pair_id AND s.idx >= t.entry_index AND s.idx < t.exit_index
+         pow(1 + r * {interest}, s.idx) * (100000 + sum(coalesce(f.flow, 0) * pow(1 + r * {interest}, -s.idx)) OVER (PARTITION BY s.pair_id ORDER BY s.idx)) AS cash, r * {interest} AS r
+  FROM {source} s CROSS JOIN rate LEFT JOIN flows f ON f.pair_id = s.pair_id AND f.idx = s.idx LEFT JOIN trades t ON t.pair_id = s.pair_id AND s.idx >= t.entry_index AND s.idx < t.exit_index
 ),
 audit AS (
   SELECT *, qty_a * price_a + qty_b * price_b AS position_value, cash + qty_a * price_a + qty_b * price_b AS nav, coalesce(lag(cash) OVER (PARTITION BY pair_id ORDER BY idx) * r, 0) AS interest_this_bar FROM cashed
@@ -111,7 +121,11 @@ deepest AS (
          CASE WHEN any_value(max_drawdown) < 0 THEN coalesce(min(idx) FILTER (nav >= top AND idx >= trough), any_value(last_idx)) - min(idx) FILTER (nav >= top AND idx <= trough) ELSE 0 END AS max_drawdown_duration
   FROM falls JOIN worst USING (pair_id) GROUP BY pair_id
 )"""
-)
+
+
+SPREADS = spread_chain()
+SIGNALS = signal_chain()
+RUN = SIGNALS + accounts()
 
 RESIDUALS = """,
 line AS (SELECT pair_id, regr_intercept(log_a, log_b) AS alpha, regr_slope(log_a, log_b) AS beta FROM bars GROUP BY pair_id),
@@ -198,3 +212,142 @@ ORACLE_SQL: dict[str, str] = {
     "sharpe_lo_interval": sql(RUN, f"SELECT pair_id, n, {rs('sharpe_ratio', 'sharpe_se')} FROM (SELECT pair_id, n, sr * sqrt(252) AS sharpe_ratio, sqrt((1 + sr * sr / 2) / n) * sqrt(252) AS sharpe_se FROM (SELECT pair_id, count(*) AS n, {SHARPE} AS sr FROM {MOVED} GROUP BY pair_id))"),
     "walk_forward_split": sql("", "SELECT pair_id, part, count(*) AS n_bars, min(idx) AS first_idx FROM (SELECT *, CASE WHEN idx < floor(count(*) OVER (PARTITION BY pair_id) * 0.6::DOUBLE) THEN 'in' ELSE 'out' END AS part FROM bars) GROUP BY 1, 2"),
 }
+
+#: Fan-outs: every pair and label is a series of its own, named ``pair|label``.
+SUMMED = f""",
+summed AS (
+  SELECT split_part(pair_id, '|', 1) AS pair, split_part(pair_id, '|', 2) AS label, sharpe_ratio, max_drawdown, final_nav, coalesce(n_trades, 0) AS n_trades, coalesce(win_rate, 0) AS win_rate
+  FROM (SELECT pair_id, CASE WHEN stddev_samp(ret) < 1e-12 THEN 0 ELSE {SHARPE} * sqrt(252) END AS sharpe_ratio FROM {MOVED} GROUP BY pair_id)
+  JOIN deepest USING (pair_id) JOIN (SELECT pair_id, arg_max(nav, idx) AS final_nav FROM audit GROUP BY pair_id) USING (pair_id)
+  LEFT JOIN (SELECT pair_id, count(*) AS n_trades, count(*) FILTER (pnl_net > 0)::DOUBLE / count(*) AS win_rate FROM trades GROUP BY pair_id) USING (pair_id)
+)"""
+
+GRID = (
+    """,
+cells AS (
+  SELECT w, e AS entry, x AS leave, e + 1.5::DOUBLE AS stop, 'w' || w || '_e' || en || '_x' || xn AS label
+  FROM (SELECT unnest([30, 60, 90, 120]) AS w) CROSS JOIN (VALUES (1.5::DOUBLE, '1.5'), (2.0, '2'), (2.5, '2.5')) AS a(e, en) CROSS JOIN (VALUES (0.25::DOUBLE, '0.25'), (0.5, '0.5'), (0.75, '0.75')) AS b(x, xn)
+),
+wide AS (SELECT pair_id || '|' || w AS pair_id, bars.* EXCLUDE (pair_id), w FROM bars CROSS JOIN (SELECT DISTINCT w FROM cells))"""
+    + signal_chain("wide", "w")
+    + """,
+swept AS (SELECT split_part(pair_id, '|', 1) || '|' || label AS pair_id, sig.* EXCLUDE (pair_id, w), entry, leave, stop FROM sig JOIN cells USING (w))"""
+    + accounts("swept", "s.entry", "s.leave", "s.stop")
+    + SUMMED
+)
+
+INTEREST = SIGNALS + ", both_ways AS (SELECT pair_id || '|' || label AS pair_id, sig.* EXCLUDE (pair_id), interest FROM sig CROSS JOIN (VALUES ('interest_on', 1), ('interest_off', 0)) AS v(label, interest))" + accounts("both_ways", interest="s.interest") + SUMMED
+
+SHIFTED = (
+    """,
+later AS (SELECT pair_id, idx, k, CASE WHEN z IS NOT NULL THEN coalesce(lead(z, k) OVER (PARTITION BY pair_id, k ORDER BY idx), z) END AS z FROM dense CROSS JOIN (SELECT unnest(range(11)) AS k)),
+shifted AS (SELECT s.pair_id || '|' || k AS pair_id, s.* EXCLUDE (pair_id), l.z FROM spreads s CROSS JOIN (SELECT unnest(range(11)) AS k) LEFT JOIN later l USING (pair_id, idx, k))"""
+    + accounts("shifted")
+    + SUMMED
+)
+
+FILTERED = (
+    f""",
+losers AS (
+  SELECT * FROM (WITH RECURSIVE {accounts()[2:]} SELECT pair_id, entry_index, row_number() OVER (PARTITION BY pair_id ORDER BY entry_index) AS nth FROM trades WHERE pnl_net <= 0)
+),
+draws AS (
+  SELECT CAST(0 AS BIGINT) AS nth, CAST(42 AS BIGINT) AS state
+  UNION ALL SELECT nth + 1, (1664525 * state + 1013904223) & 1073741823 FROM draws WHERE nth < (SELECT max(nth) FROM losers)
+),
+flagged AS (
+  SELECT s.pair_id || '|' || k AS pair_id, s.* EXCLUDE (pair_id), coalesce(state / 1073741824.0::DOUBLE < k / 10.0::DOUBLE, false) AS skip
+  FROM sig s CROSS JOIN (SELECT unnest(range(11)) AS k) LEFT JOIN losers ON losers.pair_id = s.pair_id AND losers.entry_index = s.idx LEFT JOIN draws USING (nth)
+)"""
+    + accounts("flagged", skip="s.skip")
+    + SUMMED
+)
+
+#: The filter of two states, one bar at a time, for each row of ``filters`` (pair_id, name, q).
+FILTER = """,
+runs AS (SELECT pair_id || '|' || name AS pair_id, bars.* EXCLUDE (pair_id), q FROM bars CROSS JOIN filters),
+states AS (
+  SELECT DISTINCT pair_id, CAST(-1 AS BIGINT) AS idx, 0.0::DOUBLE AS alpha, 1.0::DOUBLE AS beta, 1.0::DOUBLE AS p, 0.0::DOUBLE AS c, 1.0::DOUBLE AS d, 0.0::DOUBLE AS innovation FROM runs
+  UNION ALL
+  SELECT pair_id, idx, alpha + u / v * e, beta + w / v * e, greatest(p - u / v * u, 0), c - u / v * w, greatest(d - w / v * w, 0), e
+  FROM (
+    SELECT *, greatest(u + w * x + 1e-3::DOUBLE, 1e-15::DOUBLE) AS v FROM (
+      SELECT s.pair_id, b.idx, b.log_b AS x, s.alpha, s.beta, s.p + b.q AS p, s.c, s.d + b.q AS d, b.log_a - s.alpha - s.beta * b.log_b AS e, s.p + b.q + s.c * b.log_b AS u, s.c + (s.d + b.q) * b.log_b AS w
+      FROM states s JOIN runs b ON b.pair_id = s.pair_id AND b.idx = s.idx + 1
+    )
+  )
+)"""
+
+MEMORIES = (
+    ", filters AS (SELECT CAST(r AS VARCHAR) AS name, 1e-3::DOUBLE / pow(r * 15.0::DOUBLE, 2) AS q FROM (SELECT unnest([2, 3, 5, 8, 12]) AS r))"
+    + FILTER
+    + """,
+tracked AS (SELECT b.*, s.alpha, s.beta, CASE WHEN b.idx >= 10 THEN b.log_a - s.alpha - s.beta * b.log_b END AS spread FROM runs b JOIN states s USING (pair_id, idx)),
+scored AS (
+  SELECT pair_id, idx, CASE WHEN n = 60 AND idx >= 70 AND sd >= 1e-10 THEN (spread - mean) / sd END AS z
+  FROM (SELECT *, count(*) OVER w AS n, avg(spread) OVER w AS mean, stddev_samp(spread) OVER w AS sd FROM tracked WHERE idx >= 10 WINDOW w AS (PARTITION BY pair_id ORDER BY idx ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
+),
+remembered AS (SELECT t.*, z FROM tracked t LEFT JOIN scored USING (pair_id, idx))"""
+    + accounts("remembered")
+    + SUMMED
+)
+
+#: Window of five half-lives of the first part, results in the second.
+WALK = (
+    """,
+halves AS (SELECT *, idx < floor(count(*) OVER (PARTITION BY pair_id) * 0.6::DOUBLE) AS inside FROM bars),
+fitted AS (SELECT pair_id, regr_intercept(log_a, log_b) AS alpha, regr_slope(log_a, log_b) AS beta FROM halves WHERE inside GROUP BY pair_id),
+reverting AS (
+  SELECT pair_id, regr_slope(x - before, before) AS slope, count(before) AS n FROM (
+    SELECT pair_id, x, lag(x) OVER (PARTITION BY pair_id ORDER BY idx) AS before FROM (SELECT h.pair_id, idx, log_a - alpha - beta * log_b AS x FROM halves h JOIN fitted USING (pair_id) WHERE inside)
+  ) GROUP BY pair_id
+),
+planned AS (
+  SELECT *, k <= floor(n_out / 4) AS kept FROM (
+    SELECT pair_id, half_life, greatest(CAST(round(coalesce(half_life, 200) * 5) AS INTEGER), 3) AS k, n_out, first_out
+    FROM (SELECT pair_id, CASE WHEN n >= 2 AND slope < 0 AND slope > -1 THEN -ln(2) / ln(1 + slope) END AS half_life FROM reverting)
+    JOIN (SELECT pair_id, count(*) AS n_out, min(idx) AS first_out FROM halves WHERE NOT inside GROUP BY pair_id) USING (pair_id)
+  )
+),
+outside AS (SELECT pair_id, idx - first_out AS idx, date, price_a, price_b, log_a, log_b, k FROM halves JOIN planned USING (pair_id) WHERE NOT inside AND kept)"""
+    + signal_chain("outside", "k")
+    + accounts()
+    + SUMMED
+)
+
+METRICS = """,
+facts AS (
+  SELECT pair_id, count(*)::DOUBLE AS n_bars, arg_min(nav, idx) AS initial_nav, arg_max(nav, idx) AS final_nav, sum(costs_this_bar) AS total_costs, sum(interest_this_bar) AS total_interest,
+         count(*) FILTER (idx >= 60)::DOUBLE AS n_trading_bars, coalesce(count(*) FILTER (idx >= 60 AND position <> 'flat')::DOUBLE / nullif(count(*) FILTER (idx >= 60), 0), 0) AS exposure_frac
+  FROM audit GROUP BY pair_id
+),
+risks AS (SELECT pair_id, sr AS sharpe_per_bar, sr * sqrt(252) AS sharpe_ratio, sd * sqrt(252) AS annualized_volatility FROM (SELECT pair_id, stddev_samp(ret) AS sd, CASE WHEN stddev_samp(ret) < 1e-12 THEN 0 ELSE SHARPE END AS sr FROM MOVED GROUP BY pair_id)),
+deals AS (
+  SELECT pair_id, count(*)::DOUBLE AS n_trades, count(*) FILTER (pnl_net > 0)::DOUBLE AS n_wins, count(*) FILTER (pnl_net <= 0)::DOUBLE AS n_losses, avg(holding_bars) AS avg_holding_bars, sum(pnl_gross) AS gross_pnl,
+         sum((cost0 + cost1) / 3e-4::DOUBLE) / 100000 AS turnover, count(*) FILTER (pnl_net > 0)::DOUBLE / count(*) AS win_rate, coalesce(avg(pnl_net) FILTER (pnl_net > 0), 0) AS avg_win, coalesce(avg(pnl_net) FILTER (pnl_net <= 0), 0) AS avg_loss,
+         coalesce(sum(pnl_net) FILTER (pnl_net > 0), 0) / nullif(abs(coalesce(sum(pnl_net) FILTER (pnl_net <= 0), 0)), 0) AS profit_factor,
+         count(*) FILTER (exit_reason = 'stop_loss')::DOUBLE AS n_stop_loss, count(*) FILTER (exit_reason = 'reversion')::DOUBLE AS n_reversion, count(*) FILTER (exit_reason = 'max_holding')::DOUBLE AS n_max_holding, count(*) FILTER (exit_reason = 'end_of_data')::DOUBLE AS n_end_of_data
+  FROM trades GROUP BY pair_id
+),
+full_row AS (
+  SELECT *, CASE WHEN abs(max_drawdown) < 1e-12 THEN 0 ELSE annualized_return / abs(max_drawdown) END AS calmar_ratio FROM (
+    SELECT facts.*, risks.* EXCLUDE (pair_id), max_drawdown, max_drawdown_duration::DOUBLE AS max_drawdown_duration, deals.* EXCLUDE (pair_id), final_nav / initial_nav - 1 AS total_return, final_nav - initial_nav AS net_pnl,
+           CASE WHEN final_nav <= 0 THEN -1 ELSE pow(final_nav / initial_nav, 252.0::DOUBLE / (n_bars - 1)) - 1 END AS annualized_return
+    FROM facts JOIN risks USING (pair_id) JOIN deepest USING (pair_id) LEFT JOIN deals USING (pair_id)
+  )
+),
+reals AS (SELECT pair_id, COLUMNS(* EXCLUDE (pair_id))::DOUBLE FROM full_row)""".replace("SHARPE", SHARPE).replace("MOVED", MOVED)
+
+ORACLE_SQL |= {
+    "metrics_full": sql(RUN + METRICS, "SELECT pair_id, metric, round(coalesce(value, 0), 4) + 0.0::DOUBLE AS value FROM reals UNPIVOT INCLUDE NULLS (value FOR metric IN (COLUMNS(* EXCLUDE (pair_id))))"),
+    "sweep_36": sql(GRID, f'SELECT pair AS pair_id, label, w::BIGINT AS "window", entry, leave AS exit, {rs("sharpe_ratio", "max_drawdown")}, n_trades, {rs("win_rate")}, {ms("final_nav")} FROM summed JOIN cells USING (label)'),
+    "sweep_pivot": sql(GRID, 'SELECT pair AS pair_id, w::BIGINT AS "window", ' + ", ".join(f'round(avg(sharpe_ratio) FILTER (entry = {e}), 6) + 0.0::DOUBLE AS "{e}"' for e in (1.5, 2.0, 2.5)) + " FROM summed JOIN cells USING (label) GROUP BY 1, 2"),
+    "sweep_summary": sql(GRID, f"SELECT pair_id, n_cells, {rs('least', 'median', 'most', 'positive_share')} FROM (SELECT pair AS pair_id, count(*) AS n_cells, min(sharpe_ratio) AS least, median(sharpe_ratio) AS median, max(sharpe_ratio) AS most, avg((sharpe_ratio > 0)::INTEGER) AS positive_share FROM summed GROUP BY 1)"),
+    "cash_interest_compare": sql(INTEREST, f"SELECT pair AS pair_id, label, {rs('sharpe_ratio')}, n_trades, {ms('final_nav')} FROM summed"),
+    "timing_shift_curve": sql(SIGNALS + SHIFTED, f"SELECT pair AS pair_id, label::DOUBLE AS dose, {rs('sharpe_ratio')}, n_trades, {rs('win_rate')}, {ms('final_nav')} FROM summed"),
+    "outcome_filter_curve": sql(SIGNALS + FILTERED, f"SELECT pair AS pair_id, label::DOUBLE / 10 AS dose, {rs('sharpe_ratio')}, n_trades, {rs('win_rate')}, {ms('final_nav')} FROM summed"),
+    "calibration_union": sql(SIGNALS, "SELECT leak_type, pair AS pair_id, count(*) AS n_doses, max(n_trades) AS most_trades FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS leak_type, pair, n_trades FROM (WITH RECURSIVE {chain[2:]} SELECT * FROM summed)" for name, chain in (("timing_shift", SHIFTED), ("outcome_filter", FILTERED))) + ") GROUP BY 1, 2"),
+    "kalman_path": sql(", filters AS (SELECT '' AS name, 1e-5::DOUBLE AS q)" + FILTER, f"SELECT split_part(pair_id, '|', 1) AS pair_id, idx, {rs('alpha', 'beta', 'innovation')} FROM states WHERE idx >= 0"),
+    "kalman_sweep": sql(MEMORIES, f"SELECT pair AS pair_id, label::DOUBLE AS memory_ratio, label::DOUBLE * 15 AS memory_bars, {rs('sharpe_ratio')}, n_trades, {ms('final_nav')} FROM summed"),
+    "walk_forward": sql(WALK, f'SELECT pair_id, {rs("half_life")}, k AS "window", kept, {rs("sharpe_ratio")}, n_trades FROM planned LEFT JOIN summed ON pair = pair_id'),
+}

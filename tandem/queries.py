@@ -186,12 +186,13 @@ def sweep_36(spark, d):
 
 @query
 def sweep_pivot(spark, d):
-    return experiments.pivoted(experiments.sweep(pairs.derived(spark, d)))
+    table = experiments.pivoted(experiments.sweep(pairs.derived(spark, d)))
+    return table.select("pair_id", "window", *(r(F.col(f"`{e}`")).alias(str(e)) for e in experiments.ENTRIES))
 
 
 @query
 def sweep_summary(spark, d):
-    return experiments.spread_of(experiments.sweep(pairs.derived(spark, d)))
+    return experiments.spread_of(experiments.sweep(pairs.derived(spark, d))).select("pair_id", "n_cells", r("least"), r("median"), r("most"), r("positive_share"))
 
 
 @query
@@ -307,7 +308,7 @@ def walk_forward_split(spark, d):
 
 @query
 def walk_forward(spark, d):
-    return experiments.walk_forward(pairs.derived(spark, d))
+    return experiments.walk_forward(pairs.derived(spark, d)).select("pair_id", r("half_life"), "window", "kept", r("sharpe_ratio"), "n_trades")
 
 
 @query

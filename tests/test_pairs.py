@@ -151,14 +151,14 @@ def test_price_files(spark, tmp_path):
             pairs.read_prices(spark, str(bad)).collect()
 
 
-@pytest.mark.parametrize("name", ["bars_daily", "zscore_lagged", "trades", "metrics_nav", "variance_ratio_levels"])
+@pytest.mark.parametrize("name", ["bars_daily", "zscore_lagged", "trades", "metrics_nav", "variance_ratio_levels", "kalman_path", "timing_shift_curve", "outcome_filter_curve"])
 def test_query_against_sql(spark, small, name):
     con = duckdb.connect()
     for table in ("lineitem", "orders"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
     want, got = con.execute(ORACLE_SQL[name]).df(), QUERIES[name](spark, small).toPandas()
     cols = sorted(got.columns)
-    key = [c for c in ("pair_id", "idx", "entry_index", "horizon") if c in cols]
+    key = [c for c in ("pair_id", "idx", "entry_index", "horizon", "dose") if c in cols]
     assert sorted(want.columns) == cols
     a, b = (x[cols].sort_values(key).reset_index(drop=True) for x in (got, want))
     for c in cols:
