@@ -24,9 +24,11 @@ def cost(notional: Column, rate: Column | float) -> Column:
 
 
 def quantities(capital: Column, fraction: Column, beta: Column, price_a: Column, price_b: Column) -> tuple[Column, Column]:
-    """Unsigned quantities of both legs: a share of the capital in A, |beta| times its notional in B."""
+    """Unsigned quantities of both legs: a share of the capital in A, |beta| times its notional in B. A hedge ratio that is
+    zero or undefined raises: the trade would have one leg."""
     a = capital * fraction / price_a
-    return a, F.abs(beta) * a * price_a / price_b
+    hedged = F.when(F.abs(beta) > 0, F.abs(beta)).otherwise(F.raise_error(F.lit("a trade's hedge ratio must be finite and not zero")).cast("double"))
+    return a, hedged * a * price_a / price_b
 
 
 def annualised(final: Column, initial: Column, bars: Column, per_year: Column | float) -> Column:
@@ -93,6 +95,17 @@ def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(a, b) if np.isfinite(a) and b > 0 else None for a, b in zip(t, df, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def expected_best(trials: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([expected_best_sharpe(int(a), int(b)) for a, b in zip(trials, n, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def normal_tail(z: pd.Series) -> pd.Series:
+    """One-sided, upper."""
+    return z.map(lambda v: None if pd.isna(v) else NORMAL.cdf(-v)).astype("float64")
+
+
 @F.pandas_udf(DoubleType())
 def normal_p_value(z: pd.Series) -> pd.Series:
     """Two-sided."""

@@ -97,13 +97,13 @@ def trades(trips: DataFrame, rows: DataFrame) -> DataFrame:
     sign = F.when(F.col("direction") == "long_spread", 1.0).otherwise(-1.0)
     both = both.withColumns({"qty_a": sign * size_a, "qty_b": -sign * size_b})
     value: dict[str, Column] = {f"value{k}": F.col("qty_a") * F.col(f"a{k}") + F.col("qty_b") * F.col(f"b{k}") for k in (0, 1)}
-    value |= {f"cost{k}": (F.abs(F.col("qty_a") * F.col(f"a{k}")) + F.abs(F.col("qty_b") * F.col(f"b{k}"))) * F.col("rate") for k in (0, 1)}
-    both = both.withColumns(value)
+    value |= {f"notional{k}": F.abs(F.col("qty_a") * F.col(f"a{k}")) + F.abs(F.col("qty_b") * F.col(f"b{k}")) for k in (0, 1)}
+    both = both.withColumns(value).withColumns({f"cost{k}": F.col(f"notional{k}") * F.col("rate") for k in (0, 1)})
     gross, costs = F.col("value1") - F.col("value0"), F.col("cost0") + F.col("cost1")
     z_out = F.coalesce(F.when(F.col("exit_reason") == "end_of_data", F.col("z")).otherwise(F.col("z_before")), F.lit(0.0))
     return both.select(
         *KEYS, "trade", "direction", "entry_index", "exit_index", "entry_date", "exit_date", "entry_z", z_out.alias("exit_z"), gross.alias("pnl_gross"), costs.alias("costs"),
-        (gross - costs).alias("pnl_net"), "exit_reason", (F.col("exit_index") - F.col("entry_index")).alias("holding_bars"), "qty_a", "qty_b", "value0", "value1", "cost0", "cost1",
+        (gross - costs).alias("pnl_net"), "exit_reason", (F.col("exit_index") - F.col("entry_index")).alias("holding_bars"), "qty_a", "qty_b", "value0", "value1", "cost0", "cost1", "notional0", "notional1",
     )
 
 

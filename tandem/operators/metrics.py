@@ -76,7 +76,7 @@ def trade_metrics(done: DataFrame, capital: float, *keys: str) -> DataFrame:
         F.abs(part(~win)).alias("gross_loss"),
         F.avg("holding_bars").alias("avg_holding_bars"),
         F.sum("pnl_gross").alias("gross_pnl"),
-        (F.sum(F.abs(F.col("notional0")) + F.abs(F.col("notional1"))) / capital).alias("turnover"),
+        (F.sum(F.col("notional0") + F.col("notional1")) / capital).alias("turnover"),
         *(reason(r).alias(f"n_{r}") for r in ("stop_loss", "reversion", "max_holding", "end_of_data")),
     )
     ratio = lambda top, bottom: F.when(bottom == 0, F.lit(0.0)).otherwise(top / bottom)
@@ -90,15 +90,10 @@ def trade_metrics(done: DataFrame, capital: float, *keys: str) -> DataFrame:
     ).drop("gross_win", "gross_loss")
 
 
-def notionals(done: DataFrame, rate: float) -> DataFrame:
-    """Trades with the money turned over at either end."""
-    return done.withColumns({f"notional{k}": F.col(f"cost{k}") / rate if rate else F.lit(0.0) for k in (0, 1)})
-
-
 def metrics(bars: DataFrame, done: DataFrame, config: Config, *keys: str) -> DataFrame:
     """All metrics per key, one row; without trades their counts and sums are 0."""
     by_nav = nav_metrics(bars, config, *keys)
-    by_trade = trade_metrics(notionals(done, config.cost_rate), config.capital, *keys)
+    by_trade = trade_metrics(done, config.capital, *keys)
     return by_nav.join(by_trade, [*keys], "left").fillna(0)
 
 

@@ -100,14 +100,19 @@ def rates(rolling: DataFrame) -> DataFrame:
     rows = rolling.withColumns({"place": place, "n": F.count("*").over(w)})
     hit = F.col("is_cointegrated").cast("double")
     early = F.col("place") <= F.floor(F.col("n") / 2)
-    out = rows.groupBy("pair_id").agg(F.count("*").alias("n_windows"), F.avg(hit).alias("rate"), F.avg(F.when(early, hit)).alias("first_rate"), F.avg(F.when(~early, hit)).alias("second_rate"))
+    out = rows.groupBy("pair_id").agg(F.count("*").alias("n_windows"), F.avg(hit).alias("rate"), F.avg(F.when(early, hit)).alias("first_rate"), F.avg(F.when(~early, hit)).alias("second_rate"), F.avg("eg_pvalue").alias("mean_pvalue"), F.max("eg_pvalue").alias("max_pvalue"), F.min(F.when(~F.col("is_cointegrated"), F.col("end_index"))).alias("first_failure"))
     return out.withColumn("deterioration", F.col("first_rate") - F.col("second_rate"))
 
 
 def analyse(bars: DataFrame, window: int = 504, step: int = 21) -> DataFrame:
     """One row per pair; stable means no crossing and no decline by DETERIORATION or more."""
     out = cusum_summary(cusum(bars)).join(half_betas(bars), "pair_id", "left").join(rates(rolling_engle_granger(bars, window, step)), "pair_id", "left")
-    return out.withColumn("is_stable", ~F.col("crossed") & (F.coalesce("deterioration", F.lit(0.0)) < DETERIORATION))
+    out = out.fillna(0, ["n_windows"])
+    drift = F.abs(F.col("beta_second") - F.col("beta_first"))
+    stable = ~F.col("crossed") & (F.coalesce("deterioration", F.lit(0.0)) < DETERIORATION)
+    crossing = F.when(F.col("crossed"), F.format_string("residuals leave their bounds at bar %d", "break_index"))
+    decline = F.when(F.col("deterioration") >= DETERIORATION, F.format_string("cointegrated windows fall from %.0f %% to %.0f %%", F.col("first_rate") * 100, F.col("second_rate") * 100))
+    return out.withColumns({"drift": drift, "is_stable": stable, "verdict": F.when(stable, "no sign of a break").otherwise(F.concat_ws("; ", crossing, decline))})
 
 
 def robustness(bars: DataFrame, windows: tuple[int, ...] = SWEEP, step: int = 21) -> DataFrame:

@@ -210,6 +210,7 @@ ORACLE_SQL: dict[str, str] = {
     "variance_ratio_z": sql(RATIOS, "SELECT pair_id, horizon, round((vr - 1) / plain, 4) + 0.0::DOUBLE AS z_homoskedastic, round(CASE WHEN theta > 0 THEN (vr - 1) / sqrt(theta) END, 4) + 0.0::DOUBLE AS z_robust FROM ratios"),
     "t_test_inputs": sql(RUN, f"SELECT pair_id, n_trades, {ms('mean_pnl')}, {r('t_stat', 4)} FROM (SELECT pair_id, count(*) AS n_trades, avg(pnl_net) AS mean_pnl, avg(pnl_net) / (stddev_samp(pnl_net) / sqrt(count(*))) AS t_stat FROM trades GROUP BY pair_id HAVING count(*) >= 2)"),
     "sharpe_lo_interval": sql(RUN, f"SELECT pair_id, n, {rs('sharpe_ratio', 'sharpe_se')} FROM (SELECT pair_id, n, sr * sqrt(252) AS sharpe_ratio, sqrt((1 + sr * sr / 2) / n) * sqrt(252) AS sharpe_se FROM (SELECT pair_id, count(*) AS n, {SHARPE} AS sr FROM {MOVED} GROUP BY pair_id))"),
+    "sharpe_shaped_error": sql(RUN, f"SELECT pair_id, {r('skewness', 4)}, {r('kurtosis', 4)}, {rs('sharpe_se_shaped')} FROM (SELECT *, sqrt(greatest((1 - skewness * sr + (kurtosis - 1) / 4 * sr * sr) / (n - 1), 1e-12)) * sqrt(252) AS sharpe_se_shaped FROM (SELECT pair_id, count(*) AS n, {SHARPE} AS sr, avg(pow(ret - mean, 3)) / pow(avg(pow(ret - mean, 2)), 1.5) AS skewness, avg(pow(ret - mean, 4)) / pow(avg(pow(ret - mean, 2)), 2) AS kurtosis FROM (SELECT *, avg(ret) OVER (PARTITION BY pair_id) AS mean FROM {MOVED}) GROUP BY pair_id))"),
     "walk_forward_split": sql("", "SELECT pair_id, part, count(*) AS n_bars, min(idx) AS first_idx FROM (SELECT *, CASE WHEN idx < floor(count(*) OVER (PARTITION BY pair_id) * 0.6::DOUBLE) THEN 'in' ELSE 'out' END AS part FROM bars) GROUP BY 1, 2"),
 }
 

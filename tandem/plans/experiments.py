@@ -180,4 +180,7 @@ def walk_forward(bars: DataFrame, share: float = 0.6, multiple: float = 5.0) ->
 
 def walk_forward_summary(rows: DataFrame) -> DataFrame:
     n = F.count("sharpe_ratio")
-    return rows.agg(F.avg("sharpe_ratio").alias("mean_sharpe"), F.when(n >= 2, F.stddev_samp("sharpe_ratio") / F.sqrt(n)).alias("se"), F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_dropped"))
+    out = rows.agg(F.avg("sharpe_ratio").alias("mean_sharpe"), F.when(n >= 2, F.stddev_samp("sharpe_ratio") / F.sqrt(n)).alias("se"), F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_dropped"))
+    few = F.format_string("%d of %d pairs kept; their mean Sharpe ratio of %+.3f can't tell an edge from noise", "n_kept", F.col("n_kept") + F.col("n_dropped"), "mean_sharpe")
+    enough = F.format_string("%d of %d pairs kept; mean Sharpe ratio %+.3f, error %.3f", "n_kept", F.col("n_kept") + F.col("n_dropped"), "mean_sharpe", "se")
+    return out.withColumn("verdict", F.when(F.col("n_kept") == 0, "no pair kept, so nothing is known out of sample").when(F.col("n_kept") < 3, few).otherwise(enough))

@@ -168,8 +168,7 @@ def metrics_nav(spark, d):
 
 @query
 def metrics_trades(spark, d):
-    done = metrics.notionals(base_run(spark, d)[1], CONFIG.cost_rate)
-    per = metrics.trade_metrics(done, CONFIG.capital, "pair_id")
+    per = metrics.trade_metrics(base_run(spark, d)[1], CONFIG.capital, "pair_id")
     return per.select("pair_id", "n_trades", "n_wins", "n_losses", r("win_rate"), r("avg_holding_bars"), money("avg_win"), money("avg_loss"), r("profit_factor"), money("gross_pnl"), r("turnover", 4), "n_stop_loss", "n_reversion", "n_max_holding", "n_end_of_data")
 
 
@@ -301,6 +300,28 @@ def sharpe_lo_interval(spark, d):
     return significance.sharpe_intervals(metrics.returns(base_run(spark, d)[2], "pair_id"), CONFIG, "pair_id").select("pair_id", "n", r("sharpe_ratio"), r("sharpe_se"))
 
 
+@query
+def sharpe_shaped_error(spark, d):
+    per = significance.sharpe_intervals(metrics.returns(base_run(spark, d)[2], "pair_id"), CONFIG, "pair_id")
+    return per.select("pair_id", r("skewness", 4), r("kurtosis", 4), r("sharpe_se_shaped"))
+
+
+@query
+def significance_report(spark, d):
+    _, done, bars = base_run(spark, d)
+    return significance.assess(bars, done, CONFIG)
+
+
+@query
+def stability_report(spark, d):
+    return stability.analyse(pairs.derived(spark, d))
+
+
+@query
+def walk_forward_report(spark, d):
+    return experiments.walk_forward_summary(experiments.walk_forward(pairs.derived(spark, d)))
+
+
 @query
 def walk_forward_split(spark, d):
     return experiments.split(pairs.derived(spark, d)).groupBy("pair_id", "part").agg(F.count("*").alias("n_bars"), F.min("idx").alias("first_idx"))
@@ -323,7 +344,7 @@ def cusum(spark, d):
 
 @query
 def rolling_eg(spark, d):
-    return stability.rolling_engle_granger(pairs.derived(spark, d), 252, 21)
+    return stability.rolling_engle_granger(pairs.derived(spark, d))
 
 
 @query
@@ -348,8 +369,11 @@ def deflated_sharpe(spark, d):
     swept = experiments.sweep(pairs.derived(spark, d))
     best = swept.groupBy("pair_id").agg(F.max("sharpe_ratio").alias("observed"), F.count("*").alias("trials"))
     n = pairs.derived(spark, d).groupBy("pair_id").agg((F.count("*") - 1).alias("n_obs"))
-    rows = [(x.pair_id, x.trials, *scalars.deflated_sharpe(x.observed, x.trials, x.n_obs).values()) for x in best.join(n, "pair_id").collect()]
-    return spark.createDataFrame(rows, "pair_id string, trials long, observed double, expected_best double, excess double, statistic double, p_value double, survives boolean")
+    year = F.sqrt(F.lit(CONFIG.bars_per_year))
+    rows = best.join(n, "pair_id").withColumn("expected_best", scalars.expected_best("trials", "n_obs"))
+    error = F.sqrt((1 + F.pow(F.col("observed") / year, F.lit(2.0)) / 2) / (F.col("n_obs") - 1)) * year
+    rows = rows.withColumn("excess", F.col("observed") - F.col("expected_best")).withColumn("statistic", F.col("excess") / error)
+    return rows.select("pair_id", "trials", "observed", "expected_best", "excess", "statistic", scalars.normal_tail("statistic").alias("p_value"), (F.col("excess") > 0).alias("survives"))
 
 
 @query

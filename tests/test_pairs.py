@@ -144,11 +144,74 @@ def test_price_files(spark, tmp_path):
     good = tmp_path / "good.csv"
     good.write_text("date,price_a,price_b\n2020-01-01,1.5,2\n2020-01-02,1.6,2.1\n")
     assert pairs.read_prices(spark, str(good)).count() == 2
-    for k, text in enumerate(("date,a,b\n2020-01-01,1,2\n", "date,price_a,price_b\n2020-01-01,x,2\n", "date,price_a,price_b\n2020-01-01,1,-2\n", "date,price_a,price_b\n2020-01-02,1,2\n2020-01-01,1,2\n", "date,price_a,price_b\n")):
+    head, fine = "date,price_a,price_b\n", "2020-01-01,1,2\n"
+    faults = {
+        "line 0: file is empty": "\n\n",
+        "line 1: expected header": "date,a,b\n" + fine,
+        "line 1: no data rows": head,
+        "line 3: price_a: 'x' is not a number": head + fine + "\n2020-01-02,x,2\n2020-01-03,y,2\n",
+        "line 3: price_b must be positive and finite, got -2": head + fine + "2020-01-02,1,-2\n",
+        "line 2: price_a must be positive and finite, got 0": head + "2020-01-02,0,2\n",
+        "line 3: expected 3 fields, got 4": head + fine + "2020-01-02,1,2,3\n",
+        "line 2: date is empty": head + ",1,2\n",
+        "line 3: dates must be strictly increasing: '2020-01-01' does not follow '2020-01-02'": head + "2020-01-02,1,2\n" + fine,
+    }
+    for k, (message, text) in enumerate(faults.items()):
         bad = tmp_path / f"bad{k}.csv"
         bad.write_text(text)
-        with pytest.raises((DataError, Exception)):
-            pairs.read_prices(spark, str(bad)).collect()
+        with pytest.raises(DataError, match=message):
+            pairs.read_prices(spark, str(bad))
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    days = [str(x.date()) for x in pd.bdate_range("2020-01-01", periods=200)]
+    for name, part in (("a.csv", days[:30]), ("b.csv", days[30:170]), ("c.csv", days[170:])):
+        (tmp_path / name).write_text("date,price_a,price_b\n\n" + "".join(f"{x},1,2\n" for x in part))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        got = pairs.read_prices(spark, str(tmp_path)).orderBy("idx").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got.date.tolist() == days and got.idx.tolist() == list(range(200))
+
+
+def test_tables_come_back(spark, tmp_path):
+    rows = bars(spark, 40)
+    pairs.write_prices(rows, str(tmp_path / "prices"))
+    back = pairs.read_prices(spark, str(tmp_path / "prices")).orderBy("idx").toPandas()
+    want = rows.orderBy("idx").toPandas()
+    np.testing.assert_allclose(back[["price_a", "price_b"]], want[["price_a", "price_b"]])
+    assert back.date.tolist() == want.date.astype(str).tolist()
+    table = spark.createDataFrame([("p", 1, 0.125, None), ("q", 2, None, "x")], "pair_id string, idx long, value double, note string")
+    pairs.write_table(table, str(tmp_path / "table"))
+    assert sorted(map(tuple, pairs.read_table(spark, str(tmp_path / "table"), "pair_id string, idx long, value double, note string").collect())) == [("p", 1, 0.125, None), ("q", 2, None, "x")]
+    pairs.write_summary(table.where("idx = 1"), str(tmp_path / "summary"))
+    assert spark.read.json(str(tmp_path / "summary")).first().value == 0.125
+
+
+def test_a_trade_needs_two_legs(spark):
+    sizes = lambda beta: spark.range(1).select(scalars.quantities(F.lit(100.0), F.lit(0.5), F.lit(beta).cast("double") + F.col("id"), F.lit(10.0), F.lit(5.0))[1].alias("b"))
+    assert sizes(-2.0).first().b == 20.0
+    for beta in (0.0, None):
+        with pytest.raises(Exception, match="hedge ratio must be"):
+            sizes(beta).collect()
+
+
+def test_reports(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "derived", lambda spark, d: bars(spark, 1100))
+    got = QUERIES["significance_report"](spark, "").first()
+    tested = QUERIES["t_test_p_values"](spark, "").first()
+    assert (got.n_trades, got.p_value, got.reps) == (tested.n_trades, tested.p_value, 2000) and got.ci_low < got.sharpe_ratio < got.ci_high
+    assert got.is_significant == (got.p_value < 0.05) and f"p = {got.p_value:.3f}" in got.verdict
+    got = QUERIES["stability_report"](spark, "").first()
+    assert got.n_windows == (1100 - 504) // 21 + 1 and got.drift == pytest.approx(abs(got.beta_second - got.beta_first)) and got.mean_pvalue <= got.max_pvalue
+    assert got.is_stable == (got.verdict == "no sign of a break")
+
+
+def test_turnover_without_costs(spark):
+    config = Config(commission_bps=0.0, slippage_bps=0.0)
+    _, done, _ = backtest.run(signals.signals(bars(spark), config), config)
+    assert metrics.trade_metrics(done, config.capital, "pair_id").first().turnover > 0.5
 
 
 @pytest.mark.parametrize("name", ["bars_daily", "zscore_lagged", "trades", "metrics_nav", "variance_ratio_levels", "kalman_path", "timing_shift_curve", "outcome_filter_curve"])
@@ -172,5 +235,5 @@ def test_stability_and_bootstrap_queries_do_the_whole_job(spark, monkeypatch):
     monkeypatch.setattr(pairs, "derived", lambda spark, d: bars(spark, 1100))
     swept = {r.window: r.n_windows for r in QUERIES["break_robustness"](spark, "").collect()}
     assert swept == {w: (1100 - w) // 21 + 1 for w in (252, 378, 504, 630, 756, 882, 1008)}
-    assert sorted(r.start_index for r in QUERIES["rolling_eg"](spark, "").collect()) == list(range(0, 1100 - 252 + 1, 21))
+    assert sorted(r.start_index for r in QUERIES["rolling_eg"](spark, "").collect()) == list(range(0, 1100 - 504 + 1, 21))
     assert [r.reps for r in QUERIES["bootstrap_ci"](spark, "").collect()] == [2000]
