@@ -46,9 +46,9 @@ def resampled(ret: np.ndarray, rng: np.random.Generator, block: float = BLOCK) -
 
 def bootstrap(moves: DataFrame, config: Config, reps: int = 2000, seed: int = 12345, block: float = BLOCK, parts: int = 16) -> DataFrame:
     """Resampled Sharpe ratios, ``reps`` per pair_id. Replicates are dealt over tasks; each has a stream of its own, so the
-    draws differ from one sequential stream but not in distribution."""
+    draws differ from one sequential stream but not in distribution. Undefined returns (of a value at or below zero) are left out."""
     year, rate = np.sqrt(config.bars_per_year), config.rate
-    series = moves.groupBy("pair_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ret"))), lambda x: x["ret"]).alias("rets"))
+    series = moves.where("ret is not null").groupBy("pair_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ret"))), lambda x: x["ret"]).alias("rets"))
     dealt = series.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tandem.config import Config, ConfigError, DataError
 from tandem.functions import scalars, windows
-from tandem.operators import backtest, kalman, metrics, signals, stability, variance_ratio
+from tandem.operators import backtest, kalman, metrics, significance, signals, stability, variance_ratio
 from tandem.operators.cointegration import mackinnon_p
 from tandem.oracles import ORACLE_SQL
 from tandem.queries import QUERIES
@@ -208,6 +208,13 @@ def test_reports(spark, monkeypatch):
     assert got.is_stable == (got.verdict == "no sign of a break")
 
 
+def test_bootstrap_leaves_out_undefined_returns(spark):
+    moves = series(spark, ret=np.random.default_rng(1).normal(0.001, 0.01, 100))
+    gap = spark.createDataFrame([("p", 100, None)], "pair_id string, idx long, ret double")
+    a, b = (significance.bootstrap_intervals(significance.bootstrap(x, Config(), 50)).first() for x in (moves, moves.unionByName(gap)))
+    assert a == b and a.ci_low < a.ci_high
+
+
 def test_turnover_without_costs(spark):
     config = Config(commission_bps=0.0, slippage_bps=0.0)
     _, done, _ = backtest.run(signals.signals(bars(spark), config), config)
