@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .class_lm import op8_brown_lm
 from .decontamination import op7_decontamination
+from .divergence import op12_source_divergence
 from .language_id import op4_crf_language
 from .mixing import op1_source_mixing
 from .near_dups import op5_ngram_jaccard_join
@@ -26,6 +27,7 @@ QUERIES = {
         op8_brown_lm,
         op9_token_output,
         op10_weak_pii,
+        op12_source_divergence,
     )
 }
 
@@ -55,4 +57,37 @@ FROM sets JOIN reach ON reach.node = sets.doc_id
 GROUP BY sets.doc_id, len(s)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_ngram_jaccard_join": NEAR_DUPLICATES}
+#: Every pair of sources over every kept term, without grouping.
+DIVERGENCE = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), words AS (
+    SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+    SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 3
+), langs AS (
+    SELECT lang, sum(n) AS total, CAST(count(*) AS HUGEINT) AS size FROM kept GROUP BY lang
+), groups AS (
+    SELECT DISTINCT lang, source FROM docs
+), counts AS (
+    SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), totals AS (
+    SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source
+), shares AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (coalesce(t.total, 0) + l.size) AS p, 1 + 1000000000 * (k.n + 1) // (l.total + l.size) AS whole
+    FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN totals t USING (lang, source) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), sums AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), ranked AS (
+    SELECT lang, source, 'pair' AS part, item, value FROM pairs
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - whole) * (p - whole) // whole FROM shares WHERE n > 0 AND p > whole
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM ranked)
+WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_ngram_jaccard_join": NEAR_DUPLICATES, "op12_source_divergence": DIVERGENCE}
