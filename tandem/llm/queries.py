@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_tokenizer_alignment
 from .class_lm import op8_brown_lm
 from .decontamination import op7_decontamination
 from .divergence import op12_source_divergence
@@ -28,6 +29,7 @@ QUERIES = {
         op9_token_output,
         op10_weak_pii,
         op12_source_divergence,
+        op13_tokenizer_alignment,
     )
 }
 
