@@ -14,6 +14,7 @@ from .quality import op3_mcd_quality
 from .secrets import op6_secret_scan
 from .token_output import op9_token_output
 from .toxicity import op2_toxicity
+from .vectors import op11_vector_links
 
 QUERIES = {
     f.__name__: f
@@ -28,6 +29,7 @@ QUERIES = {
         op8_brown_lm,
         op9_token_output,
         op10_weak_pii,
+        op11_vector_links,
         op12_source_divergence,
         op13_tokenizer_alignment,
     )
