@@ -5,7 +5,7 @@ both end cut the text into groups; an A and a B token are linked where they shar
 ids is how many documents hold it linked; a link is a best one where no other partner of its A id has a higher
 count anywhere.
 
-1. A task encodes texts, aligns some megabytes of them at a time by arrays over byte offsets, and packs
+1. A task encodes texts, aligns some hundred kilobytes of them at a time by arrays over byte offsets, and packs
    blocks of documents: digests, and the postings, which are each document's distinct pairs of ids with how often they
    are linked in it (multiplicities). Blocks are written to the shared folder once.
 2. Counts of pairs: each task merges the pairs of several blocks before its rows are shuffled; sums by pair, then the
@@ -43,9 +43,9 @@ from .common import documents, raw, written
 PARTS = 64
 #: Postings of a block, about, and bytes of text that are aligned at a time.
 BLOCK = 150_000
-CHUNK = 2_000_000
+CHUNK = 300_000
 #: Distinct pairs that a task merges before it hands on their counts.
-MERGED = 3_000_000
+MERGED = 1_500_000
 #: Postings of a part that stay in one task: so many at least, and SPREAD for each of its counts.
 TOGETHER = 4_000_000
 SPREAD = 32
@@ -282,6 +282,11 @@ def postings(salts: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A sorted stream, per part and salt its counts (without block) and then its postings, to sums per document."""
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["block", "docs", "best", "total"])
+
     at, pairs, counts, waiting = None, np.empty(0, np.uint32), np.empty(0, np.int64), []
     for batch in batches:
         out: list[tuple] = []
@@ -299,8 +304,11 @@ def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
             best, total = np.add.reduceat(times * (found > 0), starts), np.add.reduceat(times * np.abs(found), starts)
             out.append((block, doc[starts].tobytes(), best.tobytes(), total.tobytes()))
+            if len(out) == 200:
+                yield rows(out)
+                out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "docs", "best", "total"])
+            yield rows(out)
 
 
 def summed(digests: pa.Table, found: pa.Table) -> pa.Table:
