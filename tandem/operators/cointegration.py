@@ -13,10 +13,10 @@ from ..functions.scalars import half_life
 from ..sources.pairs import log_prices
 
 #: MacKinnon's response surfaces for the constant case, per number of series:
-#: (switch point, coefficients below it, coefficients above it).
+#: (least and largest statistic they hold for, switch point, coefficients below it, coefficients above it).
 MACKINNON = {
-    1: (-1.61, (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)),
-    2: (-2.62, (2.92, 1.5012, 0.039796), (2.1945, 0.64695, -0.29198, -0.042377)),
+    1: (-18.83, 2.74, -1.61, (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)),
+    2: (-16.18, 0.92, -2.62, (2.92, 1.5012, 0.039796), (2.1945, 0.64695, -0.29198, -0.042377)),
 }
 #: Johansen's trace test, no cointegration, two series, 95 %.
 TRACE_95 = 15.4943
@@ -24,7 +24,10 @@ LEAST_BARS = 30
 
 
 def mackinnon_p(tau: float, series: int) -> float:
-    switch, small, large = MACKINNON[series]
+    """0 below the surface's range and 1 above it, where the polynomials turn back."""
+    least, most, switch, small, large = MACKINNON[series]
+    if tau != tau or tau < least or tau > most:
+        return tau if tau != tau else float(tau > most)
     poly = small if tau <= switch else large
     return NormalDist().cdf(sum(c * tau**k for k, c in enumerate(poly)))
 
@@ -57,11 +60,17 @@ def adf(y: np.ndarray, constant: bool = True) -> tuple[float, int]:
     return float(b[0] / np.sqrt(e @ e / (len(d) - x.shape[1]) * inverse[0, 0])), lags
 
 
-def engle_granger_p(log_a: np.ndarray, log_b: np.ndarray) -> tuple[float, float]:
-    """(p value, hedge ratio)."""
+def engle_granger(log_a: np.ndarray, log_b: np.ndarray) -> tuple[float, float, float]:
+    """(statistic, p value, hedge ratio)."""
     x = np.column_stack([np.ones(len(log_b)), log_b])
     b, e, _ = least_squares(x, log_a)
-    return mackinnon_p(adf(e, constant=False)[0], 2), float(b[1])
+    tau = adf(e, constant=False)[0]
+    return tau, mackinnon_p(tau, 2), float(b[1])
+
+
+def engle_granger_p(log_a: np.ndarray, log_b: np.ndarray) -> tuple[float, float]:
+    """(p value, hedge ratio)."""
+    return engle_granger(log_a, log_b)[1:]
 
 
 def johansen_trace(log_a: np.ndarray, log_b: np.ndarray) -> float:
