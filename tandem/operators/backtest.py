@@ -56,11 +56,14 @@ def round_trips(idx: np.ndarray, z: np.ndarray, entry: float, leave: float, stop
         yield direction, since, int(idx[-1]), "end_of_data"
 
 
+def config_table(spark, configs: list[dict]) -> DataFrame:
+    """Parameter sets (few; they're literals of the plan), to be broadcast."""
+    return F.broadcast(spark.createDataFrame(pd.DataFrame(configs).astype({c: "float64" for c in ("entry", "exit", "stop", "capital", "fraction")})))
+
+
 def with_config(rows: DataFrame, configs: list[dict]) -> DataFrame:
-    """Each row once for each parameter set (few; they're literals of the plan)."""
-    spark = rows.sparkSession
-    table = spark.createDataFrame(pd.DataFrame(configs).astype({c: "float64" for c in ("entry", "exit", "stop", "capital", "fraction")}))
-    return rows.crossJoin(F.broadcast(table))
+    """Each row once for each parameter set."""
+    return rows.crossJoin(config_table(rows.sparkSession, configs))
 
 
 def path(rows: DataFrame) -> DataFrame:

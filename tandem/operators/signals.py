@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.windows import MIN_STDDEV, ordered, regression, zscore
+from ..functions import spans
+from ..functions.windows import MIN_STDDEV, MIN_VARIANCE, ordered, regression, zscore
 from ..sources.pairs import log_prices
 
 
@@ -29,6 +30,23 @@ def signals(bars: DataFrame, config: Config, current: bool = False) -> DataFrame
     return rows.join(dense.select("pair_id", "idx", "z"), ["pair_id", "idx"], "left")
 
 
+def signals_by(bars: DataFrame, keys: tuple[str, ...] = ("pair_id", "label"), hedge: str = "hedge_window", standard: str = "zscore_window") -> DataFrame:
+    """signals() where the windows of each series are columns: one plan for all lengths. ``idx`` counts the bars of a series from 0."""
+    rows = spans.moments(log_prices(bars), hedge, "log_b", "log_a", keys, place="idx")
+    fit = F.when(F.col("span.var_x") >= MIN_VARIANCE, F.col("span.cov") / F.col("span.var_x"))
+    flat = F.col("span.var_y") * F.col(hedge) < MIN_VARIANCE
+    rows = rows.withColumn("beta", fit).withColumn("alpha", F.col("span.mean_y") - F.col("beta") * F.col("span.mean_x"))
+    rows = rows.withColumn("r2", F.when(F.col("beta").isNotNull(), F.when(flat, F.lit(0.0)).otherwise(F.col("beta") * F.col("span.cov") / F.col("span.var_y"))))
+    rows = rows.withColumn("spread", F.col("log_a") - F.col("alpha") - F.col("beta") * F.col("log_b")).drop("span")
+    dense = spans.numbered(rows.where(F.col("spread").isNotNull()).select(*keys, "idx", standard, "spread"), keys)
+    known = spans.moments(dense, standard, "spread", None, keys)
+    sd = F.sqrt(F.col("span.var_x") * F.col(standard) / (F.col(standard) - 1))
+    # each bar gets the z of the spread before its own
+    last = known.select(*keys, (F.col("place") + 1).alias("place"), F.when(sd >= MIN_STDDEV, (F.col("spread") - F.col("span.mean_x")) / sd).alias("z"))
+    placed = dense.select(*keys, "idx", "place").join(last, [*keys, "place"]).select(*keys, "idx", "z")
+    return rows.join(placed, [*keys, "idx"], "left")
+
+
 def leaky(rows: DataFrame, peek: int, weight: float = 1.0) -> DataFrame:
     """Of ``rows`` from signals(), z mixed with the z that comes ``peek`` spreads later. On purpose
     not causal: it measures what reading ahead would bring. Where the later z is missing, z stays."""
@@ -38,4 +56,4 @@ def leaky(rows: DataFrame, peek: int, weight: float = 1.0) -> DataFrame:
     return rows.join(mixed, ["pair_id", "idx"], "left")
 
 
-__all__ = ["MIN_STDDEV", "leaky", "signals", "spreads"]
+__all__ = ["MIN_STDDEV", "leaky", "signals", "signals_by", "spreads"]

@@ -293,10 +293,20 @@ remembered AS (SELECT t.*, z FROM tracked t LEFT JOIN scored USING (pair_id, idx
     + SUMMED
 )
 
+#: The pairs, and pairs of trailing averages of their prices.
+BOTH = """,
+averages AS (
+  SELECT pair_id || '_20' AS pair_id, idx - 19 AS idx, date, price_a, price_b FROM (
+    SELECT pair_id, idx, date, avg(price_a) OVER w AS price_a, avg(price_b) OVER w AS price_b FROM bars WINDOW w AS (PARTITION BY pair_id ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
+  ) WHERE idx >= 19
+),
+every AS (SELECT pair_id, idx, date, price_a, price_b, log_a, log_b FROM bars UNION ALL SELECT *, ln(price_a), ln(price_b) FROM averages)"""
+
 #: Window of five half-lives of the first part, results in the second.
 WALK = (
-    """,
-halves AS (SELECT *, idx < floor(count(*) OVER (PARTITION BY pair_id) * 0.6::DOUBLE) AS inside FROM bars),
+    BOTH
+    + """,
+halves AS (SELECT *, idx < floor(count(*) OVER (PARTITION BY pair_id) * 0.6::DOUBLE) AS inside FROM every),
 fitted AS (SELECT pair_id, regr_intercept(log_a, log_b) AS alpha, regr_slope(log_a, log_b) AS beta FROM halves WHERE inside GROUP BY pair_id),
 reverting AS (
   SELECT pair_id, regr_slope(x - before, before) AS slope, count(before) AS n FROM (
@@ -316,6 +326,26 @@ outside AS (SELECT pair_id, idx - first_out AS idx, date, price_a, price_b, log_
     + SUMMED
 )
 
+#: Windows of several half-lives of each pair's residual.
+RATIO = (
+    BOTH
+    + """,
+fitted AS (SELECT pair_id, regr_intercept(log_a, log_b) AS alpha, regr_slope(log_a, log_b) AS beta FROM every GROUP BY pair_id),
+reverting AS (
+  SELECT pair_id, regr_slope(x - before, before) AS slope FROM (
+    SELECT pair_id, x, lag(x) OVER (PARTITION BY pair_id ORDER BY idx) AS before FROM (SELECT e.pair_id, idx, log_a - alpha - beta * log_b AS x FROM every e JOIN fitted USING (pair_id))
+  ) GROUP BY pair_id
+),
+ratios AS (
+  SELECT pair_id, half_life, ratio, CAST(round(half_life * ratio) AS INTEGER) AS k
+  FROM (SELECT pair_id, -ln(2) / ln(1 + slope) AS half_life FROM reverting WHERE slope < 0 AND slope > -1) CROSS JOIN (SELECT unnest([2.0, 3.0, 4.5, 6.0, 9.0, 12.5])::DOUBLE AS ratio)
+),
+spread_out AS (SELECT e.pair_id || '|' || ratio AS pair_id, e.* EXCLUDE (pair_id), k FROM every e JOIN ratios USING (pair_id) WHERE k >= 3)"""
+    + signal_chain("spread_out", "k")
+    + accounts()
+    + SUMMED
+)
+
 METRICS = """,
 facts AS (
   SELECT pair_id, count(*)::DOUBLE AS n_bars, arg_min(nav, idx) AS initial_nav, arg_max(nav, idx) AS final_nav, sum(costs_this_bar) AS total_costs, sum(interest_this_bar) AS total_interest,
@@ -350,5 +380,12 @@ ORACLE_SQL |= {
     "calibration_union": sql(SIGNALS, "SELECT leak_type, pair AS pair_id, count(*) AS n_doses, max(n_trades) AS most_trades FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS leak_type, pair, n_trades FROM (WITH RECURSIVE {chain[2:]} SELECT * FROM summed)" for name, chain in (("timing_shift", SHIFTED), ("outcome_filter", FILTERED))) + ") GROUP BY 1, 2"),
     "kalman_path": sql(", filters AS (SELECT '' AS name, 1e-5::DOUBLE AS q)" + FILTER, f"SELECT split_part(pair_id, '|', 1) AS pair_id, idx, {rs('alpha', 'beta', 'innovation')} FROM states WHERE idx >= 0"),
     "kalman_sweep": sql(MEMORIES, f"SELECT pair AS pair_id, label::DOUBLE AS memory_ratio, label::DOUBLE * 15 AS memory_bars, {rs('sharpe_ratio')}, n_trades, {ms('final_nav')} FROM summed"),
+    "window_ratio_sensitivity": sql(RATIO, f'SELECT pair_id, ratio AS window_ratio, k AS "window", {r("half_life", 4)}, {r("sharpe_ratio", 4)}, n_trades, {rs("win_rate")}, {ms("final_nav")} FROM ratios JOIN summed ON pair = pair_id AND label::DOUBLE = ratio'),
+    "walk_forward_report": sql(WALK, f"""SELECT {r("mean_sharpe", 4)}, {r("se", 4)}, n_kept, n_dropped,
+        CASE WHEN n_kept = 0 THEN 'no pair kept, so nothing is known out of sample'
+             WHEN n_kept < 3 THEN printf('%d of %d pairs kept; their mean Sharpe ratio of %+.3f can''t tell an edge from noise', n_kept, n_kept + n_dropped, mean_sharpe)
+             ELSE printf('%d of %d pairs kept; mean Sharpe ratio %+.3f, error %.3f', n_kept, n_kept + n_dropped, mean_sharpe, se) END AS verdict
+      FROM (SELECT avg(sharpe_ratio) AS mean_sharpe, CASE WHEN count(sharpe_ratio) >= 2 THEN stddev_samp(sharpe_ratio) / sqrt(count(sharpe_ratio)) END AS se, count(*) FILTER (kept) AS n_kept, count(*) FILTER (NOT kept) AS n_dropped
+            FROM planned LEFT JOIN summed ON pair = pair_id)"""),
     "walk_forward": sql(WALK, f'SELECT pair_id, {rs("half_life")}, k AS "window", kept, {rs("sharpe_ratio")}, n_trades FROM planned LEFT JOIN summed ON pair = pair_id'),
 }

@@ -57,20 +57,32 @@ def together(frames: list[tuple[str, DataFrame]], config: Config) -> DataFrame:
     return cut(results(cut(backtest.audit(placed, done, config)), done, config))
 
 
+def accounted(rows: DataFrame, config: Config) -> DataFrame:
+    """Summary per pair and label of signals that have their label, and perhaps windows of their own."""
+    own = rows.drop("hedge_window", "zscore_window")
+    placed = cut(own.join(backtest.config_table(rows.sparkSession, [config.row("")]).drop("label")))
+    done = cut(backtest.trades(backtest.path(placed), placed))
+    return results(cut(backtest.audit(placed, done, config)), done, config)
+
+
 def doses(spark, values: list[tuple], names: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(values, names))
 
 
 def sweep(bars: DataFrame, cells: list[tuple[str, Config]] | None = None) -> DataFrame:
-    """The grid over all pairs: signals once per window, folds per cell."""
+    """The grid over all pairs, in one plan: signals once per pair of windows, folds per cell. Cells are literals of the plan."""
     cells = cells or grid()[0]
-    windows = sorted({c.hedge_window for _, c in cells})
-    out = []
-    for w in windows:
-        own = [(label, c) for label, c in cells if c.hedge_window == w]
-        out.append(compared(signals.signals(bars, own[0][1]), own))
-    table = bars.sparkSession.createDataFrame(pd.DataFrame([{"label": label, "window": c.hedge_window, "entry": c.entry, "exit": c.exit} for label, c in cells]))
-    return union(out).join(F.broadcast(table), "label")
+    spark = bars.sparkSession
+    sizes = sorted({(c.hedge_window, c.zscore_window) for _, c in cells})
+    series = bars.join(F.broadcast(spark.createDataFrame([(f"{h}/{z}", h, z) for h, z in sizes], "label string, hedge_window int, zscore_window int")))
+    rows = signals.signals_by(series).drop("hedge_window", "zscore_window").withColumnRenamed("label", "windows")
+    table = [c.row(label) | {"windows": f"{c.hedge_window}/{c.zscore_window}"} for label, c in cells]
+    placed = cut(rows.join(backtest.config_table(spark, table), "windows").drop("windows"))
+    done = cut(backtest.trades(backtest.path(placed), placed))
+    base = cells[0][1]
+    found = results(cut(backtest.audit(placed, done, base)), done, base)
+    named = spark.createDataFrame(pd.DataFrame([{"label": label, "window": c.hedge_window, "entry": c.entry, "exit": c.exit} for label, c in cells]))
+    return found.join(F.broadcast(named), "label")
 
 
 def pivoted(swept: DataFrame) -> DataFrame:
@@ -145,8 +157,16 @@ def kalman_sweep(bars: DataFrame, config: Config, half_life: float, ratios: tupl
     return found.join(doses(bars.sparkSession, [(label, r, f.memory, f.signal_to_noise) for label, r, f in filters], "label string, memory_ratio double, memory_bars double, signal_to_noise double"), "label")
 
 
-def window_sensitivity(bars: DataFrame, windows: tuple[int, ...] = (40, 60, 90, 120, 180, 250), base: Config | None = None) -> DataFrame:
-    return sweep(bars, [(f"w{w}", (base or Config()).but(hedge_window=w, zscore_window=w)) for w in windows])
+def window_sensitivity(bars: DataFrame, ratios: tuple[float, ...] = (2.0, 3.0, 4.5, 6.0, 9.0, 12.5), base: Config | None = None) -> DataFrame:
+    """The backtest with windows of so many half-lives of each pair's own residual, all pairs and ratios in one plan. Pairs without
+    mean reversion have no rows, nor have windows under three bars."""
+    config = base or Config()
+    half = cointegration.half_lives(cointegration.residuals(bars), "pair_id").where("is_mean_reverting").select("pair_id", "half_life")
+    labels = doses(bars.sparkSession, [(f"ratio_{r:g}", r) for r in ratios], "label string, window_ratio double")
+    plan = half.join(labels).withColumn("window", F.round(F.col("half_life") * F.col("window_ratio")).cast("int")).where("window >= 3")
+    series = bars.join(plan.select("pair_id", "label", F.col("window").alias("hedge_window"), F.col("window").alias("zscore_window")), "pair_id")
+    found = accounted(signals.signals_by(series), config)
+    return plan.join(found, ["pair_id", "label"])
 
 
 def half_life_sensitivity(spark, half_lives: tuple[float, ...] = (5.0, 10.0, 15.0, 20.0, 30.0), n: int = 2520, seed: int = 7, config: Config | None = None) -> DataFrame:
@@ -170,12 +190,9 @@ def walk_forward(bars: DataFrame, share: float = 0.6, multiple: float = 5.0) ->
     size = outer.groupBy("pair_id").agg(F.count("*").alias("n_out"), F.min("idx").alias("first"))
     plan = half.join(size, "pair_id").select("pair_id", "half_life", "n_out", "first", F.round(F.coalesce("half_life", F.lit(200.0)) * multiple).cast("int").alias("window"))
     plan = plan.withColumn("window", F.greatest("window", F.lit(3))).withColumn("kept", F.col("window") <= F.floor(F.col("n_out") / 4))
-    # one row per pair: the windows differ by pair, and a frame's length is part of the plan
-    chosen = [r.window for r in plan.where("kept").select("window").distinct().orderBy("window").collect()]
-    moved = outer.join(plan.where("kept").select("pair_id", "first", "window"), "pair_id").withColumn("idx", F.col("idx") - F.col("first"))
-    out = [compared(signals.signals(moved.where(F.col("window") == w).drop("first", "window"), c), [("out_of_sample", c)]) for w in chosen for c in [Config(hedge_window=w, zscore_window=max(2, w))]]
-    cols = plan.select("pair_id", "half_life", "window", "kept")
-    return cols.join(union(out).select("pair_id", "sharpe_ratio", "n_trades"), "pair_id", "left") if out else cols.withColumns({"sharpe_ratio": F.lit(None).cast("double"), "n_trades": F.lit(None).cast("bigint")})
+    series = outer.join(plan.where("kept").select("pair_id", "first", F.lit("out_of_sample").alias("label"), F.col("window").alias("hedge_window"), F.col("window").alias("zscore_window")), "pair_id")
+    found = accounted(signals.signals_by(series.withColumn("idx", F.col("idx") - F.col("first")).drop("first")), Config())
+    return plan.select("pair_id", "half_life", "window", "kept").join(found.select("pair_id", "sharpe_ratio", "n_trades"), "pair_id", "left")
 
 
 def walk_forward_summary(rows: DataFrame) -> DataFrame:

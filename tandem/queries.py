@@ -317,9 +317,22 @@ def stability_report(spark, d):
     return stability.analyse(pairs.derived(spark, d))
 
 
+def with_smoothed(spark, d):
+    """The derived pairs, and pairs of their trailing averages, which revert slowly."""
+    bars = pairs.derived(spark, d)
+    return bars.unionByName(pairs.smoothed(bars))
+
+
 @query
 def walk_forward_report(spark, d):
-    return experiments.walk_forward_summary(experiments.walk_forward(pairs.derived(spark, d)))
+    out = experiments.walk_forward_summary(experiments.walk_forward(with_smoothed(spark, d)))
+    return out.select(r("mean_sharpe", 4), r("se", 4), "n_kept", "n_dropped", "verdict")
+
+
+@query
+def window_ratio_sensitivity(spark, d):
+    found = experiments.window_sensitivity(with_smoothed(spark, d))
+    return found.select("pair_id", "window_ratio", "window", r("half_life", 4), r("sharpe_ratio", 4), "n_trades", r("win_rate"), money("final_nav"))
 
 
 @query
@@ -329,7 +342,7 @@ def walk_forward_split(spark, d):
 
 @query
 def walk_forward(spark, d):
-    return experiments.walk_forward(pairs.derived(spark, d)).select("pair_id", r("half_life"), "window", "kept", r("sharpe_ratio"), "n_trades")
+    return experiments.walk_forward(with_smoothed(spark, d)).select("pair_id", r("half_life"), "window", "kept", r("sharpe_ratio"), "n_trades")
 
 
 @query
