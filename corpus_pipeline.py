@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``docs``. Extra
 columns come along under any name. Null texts count as empty, empty tables pass through, long texts
-are worked on whole. Rows without a doc_id are never near duplicates; of rows repeated under one doc_id
-one stays after that stage, that of the least hash of its text.
+are worked on whole. Near duplicates are judged by doc_id and text: of rows that repeat both one stays, unlike texts under one
+doc_id both do, and rows without a doc_id are documents like others.
 """
 
 from __future__ import annotations
@@ -31,14 +31,20 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest doc_id."""
-    (keep,) = spare(docs, "keep")
-    found = near_duplicates(docs)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(keep)).distinct()
-    kept = docs.join(stay, F.col("doc_id") == F.col(keep), "left_semi")
-    # of the rows of one doc_id each task hands on one at most
-    once = kept.groupBy(F.col("doc_id").alias(keep)).agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), "text")).alias("row"))
-    return once.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
+    """Of each group of near duplicates the document of the smallest doc_id, those without one last.
+
+    A document is a doc_id and a text, so unlike texts under one doc_id are judged apart; a hash of both names it. Should two
+    documents share that hash, none is lost for it: rows of a chosen name are told apart by doc_id and a second hash.
+    """
+    name, other, order = spare(docs, "name", "other", "order")
+    hashed, again = F.xxhash64("doc_id", "text"), F.xxhash64(F.lit("again"), "text")
+    found = near_duplicates(docs.select(hashed.alias("doc_id"), "text")).select(F.col("doc_id").alias(name), "component_id").distinct()
+    ids = docs.select(hashed.alias(name), F.struct(F.col("doc_id").isNull(), "doc_id", hashed).alias(order)).distinct()
+    stay = found.join(ids, name).groupBy("component_id").agg(F.min_by(name, order).alias(name)).select(name)
+    kept = docs.withColumn(name, hashed).join(stay, name, "left_semi").withColumn(other, again)
+    # repeated rows: each task hands on one at most, that whose other columns come first
+    rest = F.to_json(F.struct(F.lit(1).alias(order), *(c for c in docs.columns if c not in ("doc_id", "text"))))
+    return kept.groupBy(name, "doc_id", other).agg(F.min_by(F.struct(*docs.columns), rest).alias("row")).select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -445,6 +445,17 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
         assert corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
+def test_unlike_texts_under_one_id_both_stay(spark):
+    other = "a text like no other at all, of more words than five and with nothing in common with the first one"
+    rows = [(1, BASE, "a"), (8, other, "a"), (8, BASE + " indeed", "a"), (8, BASE + " indeed", "b"), (9, other + " either", "a"), (None, other, "a"), (None, "quite alone here without any id or a text near it", "a"), (2, None, "a"), (2, "", "a"), (2, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    got = [tuple(r) for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([rows[0], rows[1], rows[6], rows[7], rows[8]], key=str)
+    # one doc_id whose texts are near each other is one group
+    got = corpus_pipeline.without_near_duplicates(spark, spark.createDataFrame([(3, BASE, "a"), (3, BASE + " indeed", "a"), (4, BASE, "a")], docs.schema), "").collect()
+    assert len(got) == 1 and got[0].doc_id == 3
+
+
 def test_pipeline_by_hand(spark, tmp_path):
     """Planted cases through all stages: toxic texts, near copies and test items go, others stay, and the files hold what stayed."""
     rng = np.random.default_rng(11)
