@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tandem.config import Config
 from tandem.functions import spans
-from tandem.operators import signals
+from tandem.operators import signals, stability
+from tandem.operators.cointegration import engle_granger
 from tandem.plans import experiments
 from test_pairs import bars
 
@@ -68,3 +69,35 @@ def test_walk_forward_is_one_plan(spark, small, monkeypatch):
     assert len(by_ratio) == 4 and all(r.window == round(r.half_life * r.window_ratio) for r in by_ratio)
 
 
+
+
+def test_rolling_tests_equal_refits(spark):
+    two = bars(spark, 700).unionByName(bars(spark, 433, seed=8).withColumn("pair_id", F.lit("q")))
+    windows = (60, 126, 252)
+    # stretches of 252 starts, so that windows reach over their ends
+    got = stability.rolled(two, windows, 21, segment=256).toPandas()
+    for name, n in (("p", 700), ("q", 433)):
+        own = two.where(F.col("pair_id") == name).orderBy("idx").toPandas()
+        a, b = np.log(own.price_a.to_numpy()), np.log(own.price_b.to_numpy())
+        for w in windows:
+            rows = got[(got.pair_id == name) & (got.window == w)].sort_values("start_index")
+            assert rows.start_index.tolist() == list(range(0, n - w + 1, 21)) and (rows.end_index - rows.start_index == w - 1).all()
+            for r in rows.itertuples():
+                tau, p, beta = engle_granger(a[r.start_index : r.end_index + 1], b[r.start_index : r.end_index + 1])
+                assert (r.statistic, r.eg_pvalue, r.hedge_ratio) == pytest.approx((tau, p, beta), abs=1e-8)
+
+
+def test_rolling_tests_of_flat_and_exact_legs(spark):
+    rng = np.random.default_rng(1)
+    b = np.exp(np.cumsum(rng.normal(0, 0.01, 120)))
+    frame = lambda name, a: pd.DataFrame({"pair_id": name, "idx": range(120), "price_a": a, "price_b": b})
+    rows = spark.createDataFrame(pd.concat([frame("flat", np.full(120, 5.0)), frame("exact", 3 * b**2)]))
+    got = stability.rolled(rows, (60,), 20).toPandas()
+    assert set(got.pair_id) == {"exact"} and got.hedge_ratio.to_numpy() == pytest.approx(2.0)
+
+
+def test_robustness_counts_changes_of_sign(spark):
+    got = stability.robustness(bars(spark, 700), (63, 126, 252)).orderBy("window").collect()
+    signs = [np.sign(r.deterioration) for r in got]
+    changes = sum(x != y for x, y in zip(signs, signs[1:], strict=False))
+    assert [r.window for r in got] == [63, 126, 252] and {r.sign_changes for r in got} == {changes} == {sum(r.sign_change for r in got)}
