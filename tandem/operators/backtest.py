@@ -3,6 +3,11 @@
 Only the path of positions is sequential: sizes depend on the initial capital, and decisions on z,
 on the position and on how long it's held. So a fold over (idx, z), one per pair and parameter
 set, yields round trips; prices, costs, cash, interest and value follow by joins and windows.
+
+The fold's state is finite: flat or in a trade of an age up to the longest holding, and what the last bar asked for. So a long series
+is cut into segments. Each segment after the first is first mapped from every state it may be entered in to the state it
+leaves, all states side by side; the maps are composed in order, a row for each segment; then each segment is folded from
+its own state. No task holds more bars than a segment has.
 """
 
 from __future__ import annotations
@@ -17,9 +22,9 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.cut import cut
 from ..functions.scalars import quantities
+from ..functions.spans import numbered
 
 KEYS = ("pair_id", "label")
-PATH = "pair_id string, label string, trade bigint, direction string, entry_index bigint, exit_index bigint, exit_reason string"
 
 
 def decide(z: float, direction: int, held: int, entry: float, leave: float, stop: float, longest: int) -> str:
@@ -35,27 +40,86 @@ def decide(z: float, direction: int, held: int, entry: float, leave: float, stop
     return "reversion" if abs(z) <= leave else "hold"
 
 
-def round_trips(idx: np.ndarray, z: np.ndarray, entry: float, leave: float, stop: float, longest: int, skip: frozenset[int] = frozenset()) -> Iterator[tuple[int, int, int, str]]:
-    """(direction, entry bar, exit bar, reason); fills come a bar after the decision.
+#: direction, bar of the entry, what the last bar asked for, and whether a refused entry waits for z to leave the band.
+State = tuple[int, int, str, bool]
+START: State = (0, -1, "hold", False)
+INTENTS = ("hold", "long", "short", "stop_loss", "max_holding", "reversion")
+#: Bars of a series that one task folds.
+SEGMENT = 8192
+
+
+def replay(idx: np.ndarray, z: np.ndarray, entry: float, leave: float, stop: float, longest: int, skip: frozenset[int] = frozenset(), state: State = START) -> tuple[list[tuple[int, int, int, str]], State]:
+    """Trips (direction, entry bar, exit bar, reason) that end within these bars, and the state after them; fills come a bar after
+    the decision.
 
     An entry at a bar of ``skip`` isn't taken, nor any other until z has left the entry band.
     """
-    direction, since, pending, waiting = 0, -1, "hold", False
+    (direction, since, pending, waiting), trips = state, []
     for t, value in zip(idx.tolist(), z.tolist(), strict=True):
         if pending in ("long", "short") and (waiting or t in skip):
             waiting = True
         elif pending in ("long", "short"):
             direction, since = (1 if pending == "long" else -1), t
         elif pending != "hold":
-            yield direction, since, t, pending
+            trips.append((direction, since, t, pending))
             direction = 0
         if waiting and value == value and abs(value) < entry:
             waiting = False
         pending = decide(value, direction, t - since, entry, leave, stop, longest)
+    return trips, (direction, since, pending, waiting)
+
+
+def round_trips(idx: np.ndarray, z: np.ndarray, entry: float, leave: float, stop: float, longest: int, skip: frozenset[int] = frozenset()) -> Iterator[tuple[int, int, int, str]]:
+    """All trips of a whole series; one that is open at its end is closed there."""
+    trips, (direction, since, _, _) = replay(idx, z, entry, leave, stop, longest, skip)
+    yield from trips
     if direction:
         yield direction, since, int(idx[-1]), "end_of_data"
 
 
+def states(longest: int, border: int) -> list[State]:
+    """Every state that bars before ``border`` can leave, by what it means for later ones: a trade older than ``longest`` bars counts as
+    so old, and one that is about to end has no age."""
+    flat = [(0, -1, asked, waiting) for asked in INTENTS[:3] for waiting in (False, True)]
+    held = [(d, border - age, "hold", False) for d in (1, -1) for age in range(longest + 1)]
+    return flat + held + [(d, border, asked, False) for d in (1, -1) for asked in INTENTS[3:]]
+
+
+def place_of(state: State, longest: int, border: int) -> int:
+    """Number in states() of a state that bars before ``border`` have left."""
+    direction, since, asked, waiting = state
+    if not direction:
+        return 2 * INTENTS.index(asked) + waiting
+    side = direction < 0
+    if asked == "hold":
+        return 6 + side * (longest + 1) + min(border - since, longest)
+    return 6 + 2 * (longest + 1) + 3 * side + INTENTS.index(asked) - 3
+
+
+def transitions(idx: np.ndarray, z: np.ndarray, entry: float, leave: float, stop: float, longest: int, skip: frozenset[int], border: int) -> list[State | None]:
+    """For each of states() the state after these bars, all at once; the entry bar of a trade that came in is given as None."""
+    first = states(longest, border)
+    direction, since, asked, waiting = (np.array(x) for x in zip(*((d, s, INTENTS.index(a), w) for d, s, a, w in first), strict=True))
+    came = direction != 0
+    for t, value in zip(idx.tolist(), z.tolist(), strict=True):
+        enters = (asked == 1) | (asked == 2)
+        refused = enters & (waiting | (t in skip))
+        waiting = waiting | refused
+        taken, left = enters & ~refused, asked > 2
+        direction = np.where(taken, np.where(asked == 1, 1, -1), np.where(left, 0, direction))
+        since = np.where(taken, t, since)
+        came &= ~(taken | left)
+        if value != value:
+            asked = np.zeros_like(asked)
+            continue
+        if abs(value) < entry:
+            waiting = np.zeros_like(waiting)
+        outside = 1 if value <= -entry else 2 if value >= entry else 0
+        inside = np.where(direction * value <= -stop, 3, np.where(t - since >= longest, 4, 5 if abs(value) <= leave else 0))
+        asked = np.where(direction == 0, outside, inside)
+    return [(d, None if c else s, INTENTS[a], w) for d, s, a, w, c in zip(direction.tolist(), since.tolist(), asked.tolist(), waiting.tolist(), came.tolist(), strict=True)]
+
+
 def config_table(spark, configs: list[dict]) -> DataFrame:
     """Parameter sets (few; they're literals of the plan), to be broadcast."""
     return F.broadcast(spark.createDataFrame(pd.DataFrame(configs).astype({c: "float64" for c in ("entry", "exit", "stop", "capital", "fraction")})))
@@ -66,23 +130,60 @@ def with_config(rows: DataFrame, configs: list[dict]) -> DataFrame:
     return rows.crossJoin(config_table(rows.sparkSession, configs))
 
 
-def path(rows: DataFrame) -> DataFrame:
+PIECE = "pair_id string, label string, part bigint, longest bigint, last_index bigint, kind string, sign bigint, entry_index bigint, exit_index bigint, asked string, waiting boolean"
+PIECES = [c.split()[0] for c in PIECE.split(", ")]
+
+
+def path(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Round trips of every pair and parameter set; rows have idx, z, entry, exit, stop, max_holding and, perhaps, skip."""
 
-    def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx")
+    def arguments(group: pd.DataFrame) -> tuple:
         p = group.iloc[0]
         skip = frozenset(group.idx[group["skip"]].tolist()) if "skip" in group else frozenset()
-        trips = list(round_trips(group.idx.to_numpy(), group.z.to_numpy(float), p.entry, p.exit, p.stop, int(p.max_holding), skip))
-        out = pd.DataFrame(trips, columns=["sign", "entry_index", "exit_index", "exit_reason"])
-        out.insert(0, "pair_id", key[0])
-        out.insert(1, "label", key[1])
-        out.insert(2, "trade", range(len(out)))
-        out["direction"] = np.where(out.sign == 1, "long_spread", "short_spread")
-        return out[[c.split()[0] for c in PATH.split(", ")]]
+        return group.idx.to_numpy(), group.z.to_numpy(float), p.entry, p.exit, p.stop, int(p.max_holding), skip
+
+    def pieces(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        """The first segment's trips and the state after it; of the others the state after each state, in the order of states()."""
+        group = group.sort_values("idx")
+        values = arguments(group)
+        name = (key[0], key[1], key[2], values[5], int(values[0][-1]))
+        if key[2] == 0:
+            trips, state = replay(*values)
+            out = [(*name, "trip", d, a, b, reason, False) for d, a, b, reason in trips] + [(*name, "state", state[0], state[1], None, state[2], state[3])]
+        else:
+            out = [(*name, "state", s[0], s[1], None, s[2], s[3]) for s in transitions(*values, border=key[2] * segment)]
+        return pd.DataFrame(out, columns=PIECES).astype({"entry_index": "Int64", "exit_index": "Int64"})
+
+    def compose(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        """The state that each segment is entered in, the first one's trips, and the trip that the end of the data closes."""
+        out, state, last = [group[group.kind == "trip"]], START, None
+        for part, own in group[group.kind == "state"].groupby("part", sort=True):
+            longest, border = int(own.longest.iloc[0]), int(part) * segment
+            if part:
+                out.append(pd.DataFrame([(*key, part, longest, None, "state", state[0], state[1], None, state[2], state[3])], columns=PIECES))
+            r = own.iloc[place_of(state, longest, border) if part else 0]
+            state = (int(r.sign), state[1] if pd.isna(r.entry_index) else int(r.entry_index), r.asked, bool(r.waiting))
+            last = int(r.last_index)
+        if state[0]:
+            out.append(pd.DataFrame([(*key, 0, 0, last, "trip", state[0], state[1], last, "end_of_data", False)], columns=PIECES))
+        return pd.concat([x.astype({"last_index": "Int64", "entry_index": "Int64", "exit_index": "Int64"}) for x in out])
+
+    def fold(key: tuple, group: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        if group.empty:
+            return pd.DataFrame(columns=TRIP)
+        s = state.iloc[0]
+        trips, _ = replay(*arguments(group.sort_values("idx")), (int(s.sign), int(s.entry_index), s.asked, bool(s.waiting)))
+        return pd.DataFrame([(key[0], key[1], *t) for t in trips], columns=TRIP)
 
+    TRIP = ["pair_id", "label", "sign", "entry_index", "exit_index", "exit_reason"]  # noqa: N806
     cols = [*KEYS, "idx", "z", "entry", "exit", "stop", "max_holding", *(["skip"] if "skip" in rows.columns else [])]
-    return rows.select(*cols).groupBy(*KEYS).applyInPandas(fold, PATH)
+    cut_up = rows.select(*cols, F.floor(F.col("idx") / segment).cast("long").alias("part"))
+    composed = cut_up.groupBy(*KEYS, "part").applyInPandas(pieces, PIECE).groupBy(*KEYS).applyInPandas(compose, PIECE)
+    first = composed.where("kind = 'trip'").select(*KEYS, "sign", "entry_index", "exit_index", F.col("asked").alias("exit_reason"))
+    entered = composed.where("kind = 'state'").select(*KEYS, "part", "sign", "entry_index", "asked", "waiting")
+    later = cut_up.where("part > 0").groupBy(*KEYS, "part").cogroup(entered.groupBy(*KEYS, "part")).applyInPandas(fold, "pair_id string, label string, sign bigint, entry_index bigint, exit_index bigint, exit_reason string")
+    trips = numbered(first.unionByName(later), KEYS, "trade", "entry_index")
+    return trips.select(*KEYS, "trade", F.when(F.col("sign") == 1, "long_spread").otherwise("short_spread").alias("direction"), "entry_index", "exit_index", "exit_reason")
 
 
 def trades(trips: DataFrame, rows: DataFrame) -> DataFrame:

@@ -5,11 +5,13 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tandem.config import Config
 from tandem.functions import spans
-from tandem.operators import signals, stability
+from tandem.operators import backtest, signals, stability
 from tandem.operators.cointegration import engle_granger
 from tandem.plans import experiments
 from test_pairs import bars
@@ -101,3 +103,38 @@ def test_robustness_counts_changes_of_sign(spark):
     signs = [np.sign(r.deterioration) for r in got]
     changes = sum(x != y for x, y in zip(signs, signs[1:], strict=False))
     assert [r.window for r in got] == [63, 126, 252] and {r.sign_changes for r in got} == {changes} == {sum(r.sign_change for r in got)}
+
+
+Z = st.lists(st.one_of(st.floats(-5, 5), st.sampled_from([math.nan, 0.0, 2.5, -2.5, 4.0])), min_size=1, max_size=60)
+
+
+@settings(max_examples=300, deadline=None)
+@given(Z, st.integers(0, 60), st.integers(1, 9), st.sets(st.integers(0, 60)), st.integers(0, 3))
+def test_a_segment_maps_every_state_as_the_fold_does(z, cut, longest, skip, gap):
+    z, rule = np.array(z), (2.0, 0.5, 3.5, longest)
+    border = len(z) + gap
+    _, state = backtest.replay(np.arange(len(z)), z, *rule, frozenset(skip))
+    later = np.array([2.5, 2.5, 0.1, -2.2, np.nan, -2.2, 1.0, -4.0] * 2)[: 3 + cut % 13]
+    idx = np.arange(len(later)) + border
+    want, left = backtest.replay(idx, later, *rule, frozenset(skip), state)
+    found = backtest.transitions(idx, later, *rule, frozenset(skip), border)[backtest.place_of(state, longest, border)]
+    since = state[1] if found[1] is None else found[1]
+    assert (found[0], found[2], found[3]) == (left[0], left[2], left[3]) and (not left[0] or since == left[1])
+    assert len(backtest.states(longest, border)) == 6 + 2 * (longest + 1) + 6
+
+
+@pytest.mark.parametrize("segment", [7, 50, 1000])
+def test_trips_don_t_hang_on_the_cuts(spark, segment):
+    rng = np.random.default_rng(6)
+    frames, want = [], []
+    for name, n, hold in (("a", 400, 6), ("b", 333, 20), ("c", 5, 3)):
+        z = np.convolve(rng.normal(size=n + 4), np.ones(5) / 1.5, "valid")[:n]
+        z[rng.random(n) < 0.05] = np.nan
+        skip = rng.random(n) < 0.1
+        # idx has gaps, so that a cut may fall into one
+        idx = np.cumsum(rng.integers(1, 3, n)) - 1
+        frames.append(pd.DataFrame({"pair_id": name, "label": "x", "idx": idx, "z": z, "entry": 1.5, "exit": 0.4, "stop": 3.0, "max_holding": hold, "skip": skip}))
+        trips = backtest.round_trips(idx, z, 1.5, 0.4, 3.0, hold, frozenset(idx[skip].tolist()))
+        want += [(name, k, "long_spread" if d == 1 else "short_spread", a, b, reason) for k, (d, a, b, reason) in enumerate(trips)]
+    got = backtest.path(spark.createDataFrame(pd.concat(frames)), segment).select("pair_id", "trade", "direction", "entry_index", "exit_index", "exit_reason").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20
