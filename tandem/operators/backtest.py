@@ -189,14 +189,17 @@ def path(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
 def trades(trips: DataFrame, rows: DataFrame) -> DataFrame:
     """Round trips with sizes, prices, z and results. ``rows``: bars with beta, z and parameters by pair and label.
 
-    Leg B is sized by the hedge ratio of the bar that decided, at the prices of the bar that fills.
+    Leg B is sized by the hedge ratio of the bar that decided, at the prices of the bar that fills. The four bars that matter to
+    a trip are looked up in one join, by their numbers.
     """
-    w = Window.partitionBy(*KEYS).orderBy("idx")
-    seen = rows.withColumns({"beta_before": F.lag("beta").over(w), "z_before": F.lag("z").over(w)})
     rate = (F.col("commission_bps") + F.col("slippage_bps")) / 10_000
-    first = seen.select(*KEYS, F.col("idx").alias("entry_index"), F.col("date").alias("entry_date"), F.col("price_a").alias("a0"), F.col("price_b").alias("b0"), F.coalesce("z_before", F.lit(0.0)).alias("entry_z"), F.col("beta_before").alias("hedge"), "capital", "fraction", rate.alias("rate"))
-    last = seen.select(*KEYS, F.col("idx").alias("exit_index"), F.col("date").alias("exit_date"), F.col("price_a").alias("a1"), F.col("price_b").alias("b1"), "z_before", "z")
-    both = trips.join(first, [*KEYS, "entry_index"]).join(last, [*KEYS, "exit_index"])
+    wanted = F.array(*(F.struct(F.lit(k).alias("at"), i.alias("idx")) for k, i in (("entry", F.col("entry_index")), ("asked", F.col("entry_index") - 1), ("exit", F.col("exit_index")), ("left", F.col("exit_index") - 1))))
+    looked = trips.select(*KEYS, "trade", F.explode(wanted).alias("w")).select(*KEYS, "trade", "w.*")
+    values = ("date", "price_a", "price_b", "beta", "z", "capital", "fraction")
+    met = looked.join(rows.select(*KEYS, "idx", *values, rate.alias("rate")), [*KEYS, "idx"])
+    of = lambda at, c: F.max(F.when(F.col("at") == at, F.col(c)))
+    names = {"entry_date": ("entry", "date"), "exit_date": ("exit", "date"), "a0": ("entry", "price_a"), "b0": ("entry", "price_b"), "a1": ("exit", "price_a"), "b1": ("exit", "price_b"), "hedge": ("asked", "beta"), "z_asked": ("asked", "z"), "z_left": ("left", "z"), "z_last": ("exit", "z"), "capital": ("entry", "capital"), "fraction": ("entry", "fraction"), "rate": ("entry", "rate")}
+    both = trips.join(met.groupBy(*KEYS, "trade").agg(*(of(*v).alias(k) for k, v in names.items())), [*KEYS, "trade"])
     size_a, size_b = quantities(F.col("capital"), F.col("fraction"), F.col("hedge"), F.col("a0"), F.col("b0"))
     sign = F.when(F.col("direction") == "long_spread", 1.0).otherwise(-1.0)
     both = both.withColumns({"qty_a": sign * size_a, "qty_b": -sign * size_b})
@@ -204,52 +207,101 @@ def trades(trips: DataFrame, rows: DataFrame) -> DataFrame:
     value |= {f"notional{k}": F.abs(F.col("qty_a") * F.col(f"a{k}")) + F.abs(F.col("qty_b") * F.col(f"b{k}")) for k in (0, 1)}
     both = both.withColumns(value).withColumns({f"cost{k}": F.col(f"notional{k}") * F.col("rate") for k in (0, 1)})
     gross, costs = F.col("value1") - F.col("value0"), F.col("cost0") + F.col("cost1")
-    z_out = F.coalesce(F.when(F.col("exit_reason") == "end_of_data", F.col("z")).otherwise(F.col("z_before")), F.lit(0.0))
+    z_out = F.coalesce(F.when(F.col("exit_reason") == "end_of_data", F.col("z_last")).otherwise(F.col("z_left")), F.lit(0.0))
     return both.select(
-        *KEYS, "trade", "direction", "entry_index", "exit_index", "entry_date", "exit_date", "entry_z", z_out.alias("exit_z"), gross.alias("pnl_gross"), costs.alias("costs"),
+        *KEYS, "trade", "direction", "entry_index", "exit_index", "entry_date", "exit_date", F.coalesce("z_asked", F.lit(0.0)).alias("entry_z"), z_out.alias("exit_z"), gross.alias("pnl_gross"), costs.alias("costs"),
         (gross - costs).alias("pnl_net"), "exit_reason", (F.col("exit_index") - F.col("entry_index")).alias("holding_bars"), "qty_a", "qty_b", "value0", "value1", "cost0", "cost1", "notional0", "notional1",
     )
 
 
-def audit(rows: DataFrame, done: DataFrame, config: Config) -> DataFrame:
-    """One row per bar: position, cash, value, costs, interest and events.
+#: Bars over which cash is summed in closed form.
+BLOCK = 1024
+
+
+def with_cash(rows: DataFrame, accrual: float, block: int = BLOCK) -> DataFrame:
+    """``rows`` (capital, flow by pair, label and idx) with cash after each bar: that of the bar before with interest, and the flow.
 
-    Interest accrues on the cash of the bar before, ahead of fills; so cash after bar t is
-    (1 + r)^t * (capital + sum over bars s <= t of flow_s * (1 + r)^-s).
+    A block of bars turns the cash it starts with into growth * cash + sum; these pairs are carried through in order, a row for
+    each block, and inside a block running sums do. So powers stay small, however long a series is.
     """
+    placed = rows.withColumn("_block", F.floor(F.col("idx") / block).cast("long"))
+    # bars since the cash that a block starts with: of the last bar before it, or of the first bar, which earns nothing yet
+    since = F.col("idx") - F.greatest(F.col("_block") * block - 1, F.lit(0))
+    grown = lambda n: F.pow(F.lit(1 + accrual), n)
+    sums = placed.groupBy(*KEYS, "_block").agg(F.sum(F.col("flow") * grown(F.col("_block") * block + (block - 1) - F.col("idx"))).alias("total"), F.max("capital").alias("capital"))
+
+    def carry(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        out, cash, last = [], None, -1
+        for number, total, capital in group.sort_values("_block")[["_block", "total", "capital"]].itertuples(index=False):
+            # a series may begin late, or lack whole blocks
+            cash = capital if cash is None else cash * (1 + accrual) ** ((number - last - 1) * block)
+            out.append((*key, number, cash))
+            cash = cash * (1 + accrual) ** (block - (number == 0)) + total
+            last = number
+        return pd.DataFrame(out, columns=[*KEYS, "_block", "_start"])
+
+    starts = sums.groupBy(*KEYS).applyInPandas(carry, "pair_id string, label string, _block bigint, _start double")
+    w = Window.partitionBy(*KEYS, "_block").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    within = F.col("idx") - F.col("_block") * block
+    cash = F.col("_start") * grown(since) + grown(within) * F.sum(F.col("flow") * grown(-within)).over(w)
+    return placed.join(starts, [*KEYS, "_block"]).withColumn("cash", cash).drop("_block", "_start")
+
+
+def audit(rows: DataFrame, done: DataFrame, config: Config) -> DataFrame:
+    """One row per bar: position, cash, value, costs, interest and events. Interest accrues on the cash of the bar before, ahead of
+    fills. A bar whose value doesn't follow from the one before raises when its value is read."""
     at = lambda end, flow, cost, event: done.select(*KEYS, F.col(end).alias("idx"), flow.alias("flow"), cost.alias("cost"), event.alias("event"), F.lit(end).alias("kind"))
     opened = at("entry_index", -F.col("value0") - F.col("cost0"), F.col("cost0"), F.concat(F.lit("entry:"), "direction"))
     closed = at("exit_index", F.col("value1") - F.col("cost1"), F.col("cost1"), F.concat(F.lit("exit:"), "exit_reason"))
     # at most an exit and an entry per bar; events in the order in which they happen
     events = opened.unionByName(closed).groupBy(*KEYS, "idx").agg(F.sum("flow").alias("flow"), F.sum("cost").alias("costs_this_bar"), F.array_join(F.array_sort(F.collect_list("event")), ";").alias("trade_event"))
     held = done.where("exit_index > entry_index").select(*KEYS, "direction", "qty_a", "qty_b", F.explode(F.sequence("entry_index", F.col("exit_index") - 1)).alias("idx"))
-    r = F.lit(1 + config.accrual)
-    w = Window.partitionBy(*KEYS).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     out = rows.select(*KEYS, "idx", "date", "price_a", "price_b", "beta", "spread", "z", "capital").join(events, [*KEYS, "idx"], "left").join(held, [*KEYS, "idx"], "left")
     out = out.fillna(0.0, ["flow", "costs_this_bar", "qty_a", "qty_b"]).fillna("", ["trade_event"]).fillna("flat", ["direction"])
-    cash = F.pow(r, F.col("idx")) * (F.col("capital") + F.sum(F.col("flow") * F.pow(r, -F.col("idx"))).over(w))
-    out = out.withColumn("cash", cash)
-    before = F.lag("cash").over(Window.partitionBy(*KEYS).orderBy("idx"))
+    out = with_cash(out, config.accrual)
+    before = F.when(F.col("idx") > 0, (F.col("cash") - F.col("flow")) / (1 + config.accrual))
     value = F.col("qty_a") * F.col("price_a") + F.col("qty_b") * F.col("price_b")
-    return out.select(
+    return reconciled(out.select(
         *KEYS, "idx", "date", "price_a", "price_b", F.col("beta").alias("hedge_ratio"), "spread", F.col("z").alias("zscore"), F.col("direction").alias("position"), "qty_a", "qty_b", "cash", value.alias("position_value"),
         (F.col("cash") + value).alias("nav"), "costs_this_bar", F.coalesce(before * F.lit(config.accrual), F.lit(0.0)).alias("interest_this_bar"), "trade_event",
-    )
+    ))
 
 
-def run(signal_rows: DataFrame, config: Config, label: str = "base") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, trades, audit) of one parameter set over all pairs of ``signal_rows``."""
-    rows = cut(with_config(signal_rows, [config.row(label)]))
+def with_gap(bars: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``bars`` with ``gap``: by how much the value of a bar differs from that of the one before and what came of positions held into
+    it, interest and costs; 0 at the first. Blocks of bars are looked at apart, each with the last bar of the one before."""
+    number = F.floor(F.col("idx") / block).cast("long")
+    twice = bars.withColumn("_block", F.explode(F.when(F.pmod(F.col("idx"), F.lit(block)) == block - 1, F.array(number, number + 1)).otherwise(F.array(number))))
+    w = Window.partitionBy(*KEYS, "_block").orderBy("idx")
+    moved = F.lag("qty_a").over(w) * (F.col("price_a") - F.lag("price_a").over(w)) + F.lag("qty_b").over(w) * (F.col("price_b") - F.lag("price_b").over(w))
+    gap = F.col("nav") - F.lag("nav").over(w) - moved - F.col("interest_this_bar") + F.col("costs_this_bar")
+    return twice.withColumn("gap", F.coalesce(gap, F.lit(0.0))).where(F.col("_block") == number).drop("_block")
+
+
+def broken(tolerance: float = 1e-6) -> Column:
+    """Whether a bar's accounts don't add up; large values are allowed their last digits."""
+    allowed = F.greatest(F.lit(tolerance), F.abs("nav") * 1e-12)
+    return (F.abs("gap") > allowed) | (F.abs(F.col("nav") - F.col("cash") - F.col("position_value")) > allowed)
+
+
+def reconciled(bars: DataFrame) -> DataFrame:
+    """``bars`` whose value raises where the accounts don't add up: a part of the plan that reads or writes them, not a job of its own."""
+    message = F.format_string("accounts of %s %s don't add up at bar %d: %.6f too much", "pair_id", "label", "idx", "gap")
+    return with_gap(bars).withColumn("nav", F.when(broken(), F.raise_error(message).cast("double")).otherwise(F.col("nav"))).drop("gap")
+
+
+def run(signal_rows: DataFrame, config: Config, label: str = "base", keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, trades, audit) of one parameter set over all pairs of ``signal_rows``. Only the trades are computed at once; with ``keep``
+    also the audit, for those who read it several times."""
+    rows = with_config(signal_rows, [config.row(label)])
     done = cut(trades(path(rows), rows))
-    return rows, done, cut(audit(rows, done, config))
+    bars = audit(rows, done, config)
+    return rows, done, cut(bars) if keep else bars
 
 
 def identity_violations(bars: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Bars whose value isn't cash plus position, or doesn't follow from the bar before."""
-    w = Window.partitionBy(*KEYS).orderBy("idx")
-    moved = F.lag("qty_a").over(w) * (F.col("price_a") - F.lag("price_a").over(w)) + F.lag("qty_b").over(w) * (F.col("price_b") - F.lag("price_b").over(w))
-    gap = F.col("nav") - F.lag("nav").over(w) - moved - F.col("interest_this_bar") + F.col("costs_this_bar")
-    return bars.withColumn("gap", F.coalesce(gap, F.lit(0.0))).where((F.abs("gap") > tolerance) | (F.abs(F.col("nav") - F.col("cash") - F.col("position_value")) > tolerance)).select(*KEYS, "idx", "gap")
+    return with_gap(bars).where(broken(tolerance)).select(*KEYS, "idx", "gap")
 
 
 def next_bar_violations(bars: DataFrame, done: DataFrame, entry: float) -> DataFrame:

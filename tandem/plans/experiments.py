@@ -98,7 +98,7 @@ def spread_of(swept: DataFrame) -> DataFrame:
 def cash_interest(bars: DataFrame, config: Config) -> DataFrame:
     """The same trades with and without interest on cash."""
     rows = cut(signals.signals(bars, config))
-    return union([results(ran[2], ran[1], c) for c in (config, config.but(cash_interest=False)) for ran in [backtest.run(rows, c, "interest_on" if c.cash_interest else "interest_off")]])
+    return union([results(ran[2], ran[1], c) for c in (config, config.but(cash_interest=False)) for ran in [backtest.run(rows, c, "interest_on" if c.cash_interest else "interest_off", keep=True)]])
 
 
 def timing_shift(bars: DataFrame, config: Config, shifts: tuple[int, ...] = SHIFTS, weight: float = 1.0, compat: bool = False) -> DataFrame:
@@ -146,7 +146,7 @@ def calibration(bars: DataFrame, config: Config) -> DataFrame:
 
 
 def kalman_backtest(bars: DataFrame, config: Config, f: kalman.Filter, label: str) -> DataFrame:
-    _, done, bars_ = backtest.run(kalman.kalman_signals(bars, f, config.zscore_window), config, label)
+    _, done, bars_ = backtest.run(kalman.kalman_signals(bars, f, config.zscore_window), config, label, keep=True)
     return results(bars_, done, config)
 
 

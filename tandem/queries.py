@@ -37,8 +37,8 @@ def base_signals(spark: SparkSession, d: str) -> DataFrame:
     return signals.signals(pairs.derived(spark, d), CONFIG)
 
 
-def base_run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return backtest.run(base_signals(spark, d), CONFIG)
+def base_run(spark: SparkSession, d: str, keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return backtest.run(base_signals(spark, d), CONFIG, keep=keep)
 
 
 @query
@@ -148,7 +148,7 @@ def drawdown_series(spark, d):
 
 @query
 def max_drawdown(spark, d):
-    return metrics.max_drawdown(base_run(spark, d)[2], "pair_id").select("pair_id", r("max_drawdown"), "max_drawdown_duration")
+    return metrics.max_drawdown(base_run(spark, d, keep=True)[2], "pair_id").select("pair_id", r("max_drawdown"), "max_drawdown_duration")
 
 
 @query
@@ -163,7 +163,7 @@ def exit_reason_share(spark, d):
 
 @query
 def metrics_nav(spark, d):
-    return metrics.nav_metrics(base_run(spark, d)[2], CONFIG, "pair_id").select("pair_id", "n_bars", "n_trading_bars", money("final_nav"), r("total_return"), r("annualized_return"), r("max_drawdown"), r("calmar_ratio", 4), r("exposure_frac"))
+    return metrics.nav_metrics(base_run(spark, d, keep=True)[2], CONFIG, "pair_id").select("pair_id", "n_bars", "n_trading_bars", money("final_nav"), r("total_return"), r("annualized_return"), r("max_drawdown"), r("calmar_ratio", 4), r("exposure_frac"))
 
 
 @query
@@ -174,7 +174,7 @@ def metrics_trades(spark, d):
 
 @query
 def metrics_full(spark, d):
-    _, done, bars = base_run(spark, d)
+    _, done, bars = base_run(spark, d, keep=True)
     return metrics.long_form(metrics.metrics(bars, done, CONFIG, "pair_id"), "pair_id").select("pair_id", "metric", r("value", 4))
 
 
@@ -308,7 +308,7 @@ def sharpe_shaped_error(spark, d):
 
 @query
 def significance_report(spark, d):
-    _, done, bars = base_run(spark, d)
+    _, done, bars = base_run(spark, d, keep=True)
     return significance.assess(bars, done, CONFIG)
 
 

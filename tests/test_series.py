@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tandem.config import Config
 from tandem.functions import spans
-from tandem.operators import backtest, signals, stability
+from tandem.operators import backtest, kalman, signals, stability
 from tandem.operators.cointegration import engle_granger
 from tandem.plans import experiments
 from test_pairs import bars
@@ -138,3 +138,69 @@ def test_trips_don_t_hang_on_the_cuts(spark, segment):
         want += [(name, k, "long_spread" if d == 1 else "short_spread", a, b, reason) for k, (d, a, b, reason) in enumerate(trips)]
     got = backtest.path(spark.createDataFrame(pd.concat(frames)), segment).select("pair_id", "trade", "direction", "entry_index", "exit_index", "exit_reason").collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20
+
+
+@pytest.mark.parametrize("f", [kalman.Filter(), kalman.Filter(state=0.0), kalman.Filter(observation=1e-2, state=1e-3, alpha=2.0, beta=-1.0, start=50.0)])
+def test_filter_by_segments(spark, f):
+    whole = bars(spark, 500)
+    frame = whole.orderBy("idx").toPandas()
+    want = kalman.filtered(np.log(frame.price_a.to_numpy()), np.log(frame.price_b.to_numpy()), f)
+    for segment in (1, 64, 10_000) if f.state else (77,):
+        got = kalman.kalman(whole, f, segment).orderBy("idx").toPandas()
+        np.testing.assert_allclose(got[["alpha", "beta", "prediction", "innovation", "innovation_variance"]].to_numpy(), want, atol=1e-9)
+
+
+def test_elements_can_be_joined_in_any_grouping():
+    rng = np.random.default_rng(2)
+    e = kalman.steps(rng.normal(4, 0.1, 21), rng.normal(3, 0.1, 21), kalman.Filter())
+    at = lambda k: tuple(x[k] for x in e)
+    one = at(0)
+    for k in range(1, 21):
+        one = kalman.joined(one, at(k))
+    for x, y in zip(one, kalman.reduced(e), strict=True):
+        np.testing.assert_allclose(x, y, rtol=1e-8, atol=1e-10)
+
+
+def test_nearest_ranks_over_ranges(spark):
+    rng = np.random.default_rng(3)
+    values = np.round(rng.normal(size=501), 1)
+    rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(5)
+    got = {r.share: r.value for r in kalman.nearest_rank(rows, "v", (0.0, 0.1, 0.5, 0.99, 1.0)).collect()}
+    assert got == {s: np.sort(values)[math.floor(s * 500)] for s in (0.0, 0.1, 0.5, 0.99, 1.0)}
+    assert [r.value for r in kalman.nearest_rank(rows.where("v is null"), "v").collect()] == [None] * 5
+
+
+def test_cash_of_a_million_bars(spark):
+    n, r = 1_000_000, Config().rate
+    rng = np.random.default_rng(7)
+    flow = np.where(rng.random(n) < 0.01, rng.normal(0, 2e4, n), 0.0)
+    rows = spark.range(n, numPartitions=8).select(F.lit("p").alias("pair_id"), F.lit("x").alias("label"), F.col("id").alias("idx"), F.lit(1e5).alias("capital"))
+    flows = spark.createDataFrame(pd.DataFrame({"idx": np.flatnonzero(flow), "flow": flow[flow != 0]}))
+    got = backtest.with_cash(rows.join(flows, "idx", "left").fillna(0.0, ["flow"]), r).select("idx", "cash")
+    # the value of money grows by e^155 over a million bars, so digits are compared
+    cash, want, shown = 1e5, {}, set(range(0, n, 50_021)) | {0, 1, 1023, 1024, 1025, n - 1}
+    for t in range(n):
+        cash = (cash * (1 + r) if t else cash) + flow[t]
+        if t in shown:
+            want[t] = cash
+    found = {x.idx: x.cash for x in got.where(F.col("idx").isin(sorted(shown))).collect()}
+    assert found.keys() == want.keys() and all(found[t] == pytest.approx(want[t], rel=1e-9, abs=0.01) for t in want)
+    # with interest off a cent is a cent
+    plain = backtest.with_cash(rows.join(flows, "idx", "left").fillna(0.0, ["flow"]), 0.0).where(F.col("idx") == n - 1).first().cash
+    assert plain == pytest.approx(1e5 + flow.sum(), abs=0.01)
+
+
+def test_a_broken_account_stops_the_run(spark, tmp_path):
+    config = Config(hedge_window=20, zscore_window=20, entry=1.0, exit=0.2, stop=4.0)
+    rows, done, audit = backtest.run(signals.signals(bars(spark, 1500), config), config)
+    assert audit.count() == 1500 and backtest.identity_violations(audit).isEmpty()
+    # a position that isn't what was paid for
+    planted = done.withColumn("qty_b", F.when(F.col("trade") == 1, F.col("qty_b") * 1.5).otherwise(F.col("qty_b")))
+    with pytest.raises(Exception, match="don't add up at bar"):
+        backtest.audit(rows, planted, config).write.parquet(f"{tmp_path}/audit")
+    # the check is in the plan that writes: nothing is scanned again for it
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD")
+    assert scans(backtest.reconciled(done.sparkSession.createDataFrame([], audit.schema))) == 1
+    # across the borders of blocks too
+    one = audit.withColumn("nav", F.when(F.col("idx") >= 1024, F.col("nav") + 1.0).otherwise(F.col("nav"))).withColumn("cash", F.col("nav") - F.col("position_value"))
+    assert [r.idx for r in backtest.identity_violations(one).collect()] == [1024]
