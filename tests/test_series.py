@@ -7,10 +7,12 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tandem.config import Config
-from tandem.functions import spans
+from tandem.functions import spans, windows
+from tandem.functions.cut import cut
 from tandem.operators import backtest, kalman, signals, stability
 from tandem.operators.cointegration import engle_granger
 from tandem.plans import experiments
@@ -204,3 +206,38 @@ def test_a_broken_account_stops_the_run(spark, tmp_path):
     # across the borders of blocks too
     one = audit.withColumn("nav", F.when(F.col("idx") >= 1024, F.col("nav") + 1.0).otherwise(F.col("nav"))).withColumn("cash", F.col("nav") - F.col("position_value"))
     assert [r.idx for r in backtest.identity_violations(one).collect()] == [1024]
+
+
+def test_reading_ahead_is_found_anywhere_in_a_plan(spark):
+    rows = spark.createDataFrame([("p", k, float(k)) for k in range(9)], "pair_id string, idx long, x double")
+    w = windows.ordered()
+    wide = rows.withColumns({f"m{k}": windows.mean("x", k + 2) for k in range(40)})
+    assert windows.assert_causal(wide) is wide
+    ahead = {
+        "after 40 others": wide.withColumn("bad", F.lead("x").over(w)),
+        "among 40 others": rows.withColumn("bad", F.lead("x").over(w)).withColumns({f"m{k}": windows.mean("x", k + 2) for k in range(40)}),
+        "dropped again": wide.withColumn("bad", F.lag("x", -2).over(w)).withColumn("y", F.col("bad") + 1).drop("bad"),
+        "backwards": rows.withColumn("bad", F.lag("x").over(Window.partitionBy("pair_id").orderBy(F.desc("idx")))),
+        "backwards sum": rows.withColumn("bad", F.sum("x").over(Window.partitionBy("pair_id").orderBy(F.desc("idx")).rowsBetween(-3, 0))),
+        "no order": rows.withColumn("bad", F.avg("x").over(Window.partitionBy("pair_id"))),
+        "by value": rows.withColumn("bad", F.row_number().over(Window.partitionBy("pair_id").orderBy("x"))),
+        "by range": rows.withColumn("bad", F.sum("x").over(w)),
+        "in a joined side": rows.join(rows.select("idx", F.lead("x").over(w).alias("bad")), "idx"),
+        "a fold": rows.groupBy("pair_id").applyInPandas(lambda g: g, rows.schema),
+    }
+    for name, df in ahead.items():
+        with pytest.raises(windows.LookaheadError):
+            windows.assert_causal(df)
+        with pytest.raises(windows.LookaheadError):
+            windows.assert_causal(cut(df).withColumn("m", windows.mean("x", 2)))
+        assert name
+    # backwards twice is forwards
+    windows.assert_causal(rows.withColumn("fine", F.lead("x").over(Window.partitionBy("pair_id").orderBy(F.desc("idx")))))
+    windows.assert_causal(cut(wide).withColumn("again", windows.mean("m3", 4)))
+    with pytest.raises(windows.LookaheadError, match="unknown plan"):
+        windows.assert_causal(wide.checkpoint())
+
+    def fold(g):
+        return g
+
+    windows.assert_causal(rows.groupBy("pair_id").applyInPandas(fold, rows.schema), trusted=("fold",))
