@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,19 +142,91 @@ def analyse(bars: DataFrame, alpha: float = 0.05) -> DataFrame:
     return out.withColumns({"is_cointegrated": F.coalesce(joint, F.lit(False))}).withColumn("is_tradeable", F.col("is_cointegrated") & F.coalesce(F.col("half_life").between(1, 120), F.lit(False)))
 
 
-def correlation_matrix(universe: DataFrame) -> DataFrame:
-    """Correlation of log returns of all pairs of assets, a before b; only days on which all have one."""
+#: Assets and days of a block of returns.
+SIDE, DAYS = 128, 512
+BLOCK = "block int, days long, names array<string>, rets binary"
+SUMS = "x int, y int, names_x array<string>, names_y array<string>, sums binary"
+
+
+def blocked(moves: DataFrame, side: int = SIDE, days: int = DAYS) -> DataFrame:
+    """Returns (asset, idx, ret) as matrices of some assets by some days, undefined where an asset has none."""
+    assets = moves.select("asset").distinct()
+    blocks = max(1, -(-assets.count() // side))
+    placed = assets.withColumn("block", F.pmod(F.xxhash64("asset"), F.lit(blocks)).cast("int"))
+    slot = F.row_number().over(Window.partitionBy("block").orderBy("asset")) - 1
+    # every block knows all its assets, so that its matrices fit together whoever traded on a day
+    names = placed.groupBy("block").agg(F.sort_array(F.collect_list("asset")).alias("names"))
+    rows = moves.join(placed.withColumn("slot", slot), "asset").select("block", F.floor(F.col("idx") / days).cast("long").alias("days"), "slot", F.pmod("idx", F.lit(days)).cast("int").alias("day"), "ret")
+
+    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        matrix = np.full((int(group.slot.max()) + 1, days), np.nan)
+        matrix[group.slot.to_numpy(), group.day.to_numpy()] = group.ret.to_numpy()
+        return pd.DataFrame({"block": [key[0]], "days": [key[1]], "rets": [matrix.tobytes()]})
+
+    packed = rows.groupBy("block", "days").applyInPandas(pack, "block int, days long, rets binary")
+    return packed.join(names, "block").select("block", "days", "names", "rets")
+
+
+def correlation_matrix(universe: DataFrame, least: float = 0.0, side: int = SIDE, days: int = DAYS) -> DataFrame:
+    """Correlation of log returns of all pairs of assets, a before b, over the days on which both have one; undefined where either is
+    flat. With ``least`` only pairs that correlate so much, by size, leave the blocks.
+
+    Every two blocks of assets meet once for each block of days and are multiplied as matrices, with and without squares, and with
+    ones for the days that are there; sums over days come as a sorted stream, one pair of blocks at a time.
+    """
     w = Window.partitionBy("asset").orderBy("idx")
     moves = universe.withColumn("ret", F.log("price") - F.log(F.lag("price").over(w))).where(F.col("ret").isNotNull()).select("asset", "idx", "ret")
-    x, y = moves.alias("x"), moves.alias("y")
-    both = x.join(y, (F.col("x.idx") == F.col("y.idx")) & (F.col("x.asset") < F.col("y.asset")))
-    scale = F.sqrt(F.var_pop("x.ret") * F.var_pop("y.ret"))
-    return both.groupBy(F.col("x.asset").alias("asset_a"), F.col("y.asset").alias("asset_b")).agg(F.count("*").alias("n_obs"), F.when(scale > 1e-15, F.covar_pop("x.ret", "y.ret") / scale).alias("corr"))
+    blocks = blocked(moves, side, days)
+    left = blocks.select(F.col("block").alias("x"), "days", F.col("names").alias("names_x"), F.col("rets").alias("rets_x"))
+    right = blocks.select(F.col("block").alias("y"), "days", F.col("names").alias("names_y"), F.col("rets").alias("rets_y"))
+    both = left.join(right, "days").where("x <= y")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                r, s = (np.frombuffer(row[f"rets_{k}"]).reshape(-1, days) for k in "xy")
+                m, n = (~np.isnan(v) * 1.0 for v in (r, s))
+                r, s = np.nan_to_num(r), np.nan_to_num(s)
+                sums = np.zeros((6, len(row["names_x"]), len(row["names_y"])))
+                sums[:, : len(r), : len(s)] = m @ n.T, r @ n.T, m @ s.T, r**2 @ n.T, m @ (s**2).T, r @ s.T
+                cols = [pa.array([row[c]], t) for c, t in (("x", pa.int32()), ("y", pa.int32()), ("names_x", pa.list_(pa.string())), ("names_y", pa.list_(pa.string())))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([sums.tobytes()], pa.binary())], names=["x", "y", "names_x", "names_y", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                sums = np.frombuffer(row["sums"]).reshape(6, len(row["names_x"]), len(row["names_y"]))
+                if (row["x"], row["y"]) != at:
+                    if held:
+                        yield pairs(*held)
+                    at, held = (row["x"], row["y"]), [row["names_x"], row["names_y"], np.zeros_like(sums), row["x"] == row["y"]]
+                held[2] += sums
+        if held:
+            yield pairs(*held)
+
+    def pairs(names_x: list[str], names_y: list[str], sums: np.ndarray, same: bool) -> pa.RecordBatch:
+        n, sx, sy, sxx, syy, sxy = sums
+        with np.errstate(invalid="ignore", divide="ignore"):
+            var = np.maximum((sxx - sx**2 / n) * (syy - sy**2 / n), 0) / n**2
+            corr = np.where(np.sqrt(var) > 1e-15, (sxy - sx * sy / n) / n / np.sqrt(var), np.nan)
+            keep = (n > 0) & ((np.abs(corr) >= least) if least > 0 else True)
+        if same:
+            keep &= np.triu(np.ones_like(keep), 1)
+        i, j = np.nonzero(keep)
+        a, b = np.array(names_x, object)[i], np.array(names_y, object)[j]
+        turned = a > b
+        a, b = np.where(turned, b, a), np.where(turned, a, b)
+        value = corr[i, j]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n[i, j].astype(np.int64)), pa.array(value, mask=np.isnan(value))], names=["asset_a", "asset_b", "n_obs", "corr"])
+
+    parts = both.mapInArrow(multiply, SUMS).repartition("x", "y").sortWithinPartitions("x", "y")
+    return parts.mapInArrow(add, "asset_a string, asset_b string, n_obs long, corr double")
 
 
 def screen(universe: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs whose returns move together, tested; the cheap filter comes first, by hand, as none moves through a grouped task."""
-    chosen = correlation_matrix(universe).where(F.abs("corr") >= least).select("asset_a", "asset_b")
+    chosen = correlation_matrix(universe, least).where(F.abs("corr") >= least).select("asset_a", "asset_b")
     a = universe.select(F.col("asset").alias("asset_a"), "idx", F.col("price").alias("price_a"))
     b = universe.select(F.col("asset").alias("asset_b"), "idx", F.col("price").alias("price_b"))
     bars = chosen.join(a, "asset_a").join(b, ["asset_b", "idx"]).withColumn("pair_id", F.concat_ws("|", "asset_a", "asset_b"))

@@ -14,7 +14,7 @@ from tandem.config import Config
 from tandem.functions import spans, windows
 from tandem.functions.cut import cut
 from tandem.operators import backtest, kalman, signals, stability
-from tandem.operators.cointegration import engle_granger
+from tandem.operators.cointegration import correlation_matrix, engle_granger
 from tandem.plans import experiments
 from test_pairs import bars
 
@@ -241,3 +241,38 @@ def test_reading_ahead_is_found_anywhere_in_a_plan(spark):
         return g
 
     windows.assert_causal(rows.groupBy("pair_id").applyInPandas(fold, rows.schema), trusted=("fold",))
+
+
+def test_correlations_by_blocks(spark):
+    rng = np.random.default_rng(5)
+    n, days = 30, 90
+    price = np.exp(np.cumsum(rng.normal(0, 0.01, (n, days)) + rng.normal(0, 0.01, days), axis=1))
+    rows = [(f"a{k:02d}", t, float(price[k, t])) for k in range(n) for t in range(days) if k != 7 or t < 60]
+    rows += [("flat", t, 5.0) for t in range(days)] + [("late", t, float(t + 1)) for t in range(60, days)]
+    frame = pd.DataFrame(rows, columns=["asset", "idx", "price"]).pivot(index="idx", columns="asset", values="price")
+    moves = np.log(frame).diff()
+    table = spark.createDataFrame(rows, "asset string, idx long, price double")
+    got = {(r.asset_a, r.asset_b): r for r in correlation_matrix(table, side=8, days=25).collect()}
+    for i, a in enumerate(frame.columns):
+        for b in frame.columns[i + 1 :]:
+            both = moves[[a, b]].dropna()
+            if both.empty:
+                assert (a, b) not in got
+                continue
+            r = got.pop((a, b))
+            assert r.n_obs == len(both)
+            assert r.corr is None if "flat" in (a, b) else r.corr == pytest.approx(both[a].corr(both[b]), abs=1e-9)
+    assert not got
+    some = correlation_matrix(table, 0.6, side=8, days=25).collect()
+    assert some and all(abs(r.corr) >= 0.6 for r in some)
+
+
+def test_five_thousand_assets_meet_in_blocks(spark):
+    n, days = 5000, 12
+    noise = F.randn(3)
+    table = spark.range(n * days, numPartitions=4).select(F.format_string("a%04d", F.floor(F.col("id") / days).cast("int")).alias("asset"), (F.col("id") % days).alias("idx"), F.exp(noise).alias("price"))
+    found = correlation_matrix(table, 0.99)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join" in x]
+    assert joins and not any("idx" in x for x in joins)
+    assert all(abs(r.corr) >= 0.99 and r.asset_a < r.asset_b for r in found.collect())
