@@ -186,6 +186,50 @@ def path(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
     return trips.select(*KEYS, "trade", F.when(F.col("sign") == 1, "long_spread").otherwise("short_spread").alias("direction"), "entry_index", "exit_index", "exit_reason")
 
 
+def executed(intents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(round trips, events) of intents that come from anywhere: per bar of a series (pair_id, label, idx, intent) what it asks for at
+    the next one: ``enter:<direction>``, ``exit:<reason>``, ``flip:<direction>``, or anything else to hold.
+
+    An entry while a position is open is ignored, and shown as such; an exit while flat does nothing. A flip closes what is open, with the
+    reason reversion, and opens the other at the same fill; while flat it is an entry. What is open at the last bar is closed there.
+
+    Exits and flips leave a state that doesn't hang on the one before, so they cut a series into runs. A run starts flat or, after a
+    flip, in its direction; one that starts flat is entered by its first entry. So positions are running counts and firsts of runs,
+    without a fold.
+    """
+    w = Window.partitionBy(*KEYS).orderBy("idx")
+    asked = F.coalesce(F.lag("intent").over(w), F.lit("hold"))
+    kind, side = F.split_part("asked", F.lit(":"), F.lit(1)), F.split_part("asked", F.lit(":"), F.lit(2))
+    rows = intents.select(*KEYS, "idx", asked.alias("asked")).withColumns({"kind": kind, "side": side})
+    rows = rows.withColumn("run", F.count_if(F.col("kind").isin("exit", "flip")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = Window.partitionBy(*KEYS, "run").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    # the direction that the run starts in, or else that of its first entry
+    opened = F.first(F.when(F.col("kind").isin("enter", "flip"), F.col("side")), ignorenulls=True).over(so_far)
+    rows = rows.withColumn("position", F.coalesce(opened, F.lit("flat")))
+    rows = rows.withColumn("before", F.coalesce(F.lag("position").over(w), F.lit("flat")))
+    flat = F.col("before") == "flat"
+    entered = flat & F.col("kind").isin("enter", "flip")
+    event = F.when(entered, F.concat(F.lit("entry:"), "side")).when(~flat & (F.col("kind") == "enter"), "ignored_enter_while_open").when(~flat & (F.col("kind") == "flip"), F.concat(F.lit("flip:"), "side")).when(~flat & (F.col("kind") == "exit"), F.col("asked"))
+    rows = rows.withColumns({"event": event, "opens": entered | (~flat & (F.col("kind") == "flip")), "closes": ~flat & F.col("kind").isin("exit", "flip")})
+    reason = F.when(F.col("kind") == "flip", "reversion").otherwise(F.col("side"))
+    # fills alternate: the fill after one that opens closes it
+    fills = rows.where("opens or closes").withColumns({"exit_index": F.lead("idx").over(w), "exit_reason": F.lead(reason).over(w)}).where("opens")
+    last = intents.groupBy(*KEYS).agg(F.max("idx").alias("last"))
+    trips = numbered(fills.select(*KEYS, F.col("side").alias("direction"), F.col("idx").alias("entry_index"), "exit_index", "exit_reason").join(last, [*KEYS]), KEYS, "trade", "entry_index")
+    trips = trips.select(*KEYS, "trade", "direction", "entry_index", F.coalesce("exit_index", "last").alias("exit_index"), F.coalesce("exit_reason", F.lit("end_of_data")).alias("exit_reason"))
+    ends = trips.where("exit_reason = 'end_of_data'").select(*KEYS, F.col("exit_index").alias("idx"), F.lit("exit:end_of_data").alias("closing"))
+    happened = rows.join(ends, [*KEYS, "idx"], "left").withColumn("trade_event", F.concat_ws(";", "event", "closing")).where("trade_event != ''")
+    return trips, happened.select(*KEYS, "idx", "trade_event")
+
+
+def run_intents(rows: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, trades, audit) where the decisions are the column ``intent`` of ``rows`` (bars with beta, z, pair_id and label)."""
+    placed = rows.join(config_table(rows.sparkSession, [config.row("")]).drop("label"))
+    trips, happened = executed(placed)
+    done = cut(trades(trips, placed))
+    return placed, done, audit(placed, done, config).drop("trade_event").join(happened, [*KEYS, "idx"], "left").fillna("", ["trade_event"])
+
+
 def trades(trips: DataFrame, rows: DataFrame) -> DataFrame:
     """Round trips with sizes, prices, z and results. ``rows``: bars with beta, z and parameters by pair and label.
 

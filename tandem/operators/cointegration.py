@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_life
-from ..sources.pairs import log_prices
+from ..sources.pairs import LEAST_DATES, joined, log_prices, outcomes
 
 #: MacKinnon's response surfaces for the constant case, per number of series:
 #: (least and largest statistic they hold for, switch point, coefficients below it, coefficients above it).
@@ -231,3 +231,15 @@ def screen(universe: DataFrame, least: float = 0.5) -> DataFrame:
     b = universe.select(F.col("asset").alias("asset_b"), "idx", F.col("price").alias("price_b"))
     bars = chosen.join(a, "asset_a").join(b, ["asset_b", "idx"]).withColumn("pair_id", F.concat_ws("|", "asset_a", "asset_b"))
     return analyse(bars.select("pair_id", "idx", "price_a", "price_b")).orderBy("eg_pvalue", "pair_id")
+
+
+def screen_outcomes(closes: DataFrame, candidates: DataFrame, least: float = 0.5, dates: int = LEAST_DATES) -> DataFrame:
+    """What the screen does with each candidate: ``tested``, ``correlation below``, ``flat leg``, or why it can't be used; pairs that
+    are passed over are rows like the others, so they can be counted."""
+    w = Window.partitionBy("pair_id").orderBy("idx")
+    moves = joined(closes, candidates, dates).withColumns({k: F.log(f"price_{k}") - F.log(F.lag(f"price_{k}").over(w)) for k in "ab"})
+    scale = F.sqrt(F.var_pop("a") * F.var_pop("b"))
+    corr = moves.groupBy("pair_id").agg(F.when(scale > 1e-15, F.covar_pop("a", "b") / scale).alias("corr"))
+    every = outcomes(closes, candidates, dates).withColumn("pair_id", F.concat_ws("|", "asset_a", "asset_b")).join(corr, "pair_id", "left")
+    tested = F.when(F.col("corr").isNull(), "flat leg").when(F.abs("corr") < least, "correlation below").otherwise("tested")
+    return every.select("asset_a", "asset_b", F.when(F.col("ok"), tested).otherwise(F.col("reason")).alias("outcome"), "n_dates", "corr")

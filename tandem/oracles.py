@@ -346,6 +346,61 @@ spread_out AS (SELECT e.pair_id || '|' || ratio AS pair_id, e.* EXCLUDE (pair_id
     + SUMMED
 )
 
+#: Intents by bands of z, filled one bar at a time.
+INTENTS = (
+    SIGNALS
+    + """,
+asks AS (
+  SELECT *, CASE WHEN z <= -2 THEN 'enter:long_spread' WHEN z >= 2 THEN 'enter:short_spread' WHEN abs(z) <= 0.1 THEN 'exit:reversion'
+                 WHEN z BETWEEN -1.3 AND -1.2 THEN 'flip:long_spread' WHEN z BETWEEN 1.2 AND 1.3 THEN 'flip:short_spread' ELSE 'hold' END AS intent FROM sig
+),
+steps AS (
+  SELECT DISTINCT pair_id, CAST(-1 AS BIGINT) AS idx, 'flat' AS position, 'hold' AS asked, '' AS event FROM asks
+  UNION ALL
+  SELECT s.pair_id, a.idx,
+         CASE WHEN s.asked LIKE 'flip:%' OR s.asked LIKE 'enter:%' AND s.position = 'flat' THEN split_part(s.asked, ':', 2) WHEN s.asked LIKE 'exit:%' THEN 'flat' ELSE s.position END,
+         a.intent,
+         CASE WHEN s.position = 'flat' AND (s.asked LIKE 'enter:%' OR s.asked LIKE 'flip:%') THEN 'entry:' || split_part(s.asked, ':', 2)
+              WHEN s.position <> 'flat' AND s.asked LIKE 'enter:%' THEN 'ignored_enter_while_open' WHEN s.position <> 'flat' AND (s.asked LIKE 'flip:%' OR s.asked LIKE 'exit:%') THEN s.asked ELSE '' END
+  FROM steps s JOIN asks a ON a.pair_id = s.pair_id AND a.idx = s.idx + 1
+),
+ended AS (SELECT pair_id, max(idx) AS last_idx FROM asks GROUP BY pair_id),
+filled AS (SELECT pair_id, idx, position, event, idx = last_idx AND position <> 'flat' AS open_end FROM steps JOIN ended USING (pair_id)),
+fills AS (SELECT pair_id, idx, position, event FROM filled WHERE event LIKE 'entry:%' OR event LIKE 'flip:%' OR event LIKE 'exit:%'),
+rounds AS (
+  SELECT * FROM (SELECT pair_id, idx AS entry_index, position AS direction, lead(idx) OVER w AS exit_index, lead(event) OVER w AS closed FROM fills WINDOW w AS (PARTITION BY pair_id ORDER BY idx)) WHERE direction <> 'flat'
+),
+deals AS (
+  SELECT r.pair_id, direction, entry_index, coalesce(exit_index, last_idx) AS exit_index, CASE WHEN closed IS NULL THEN 'end_of_data' WHEN closed LIKE 'flip:%' THEN 'reversion' ELSE split_part(closed, ':', 2) END AS exit_reason
+  FROM rounds r JOIN ended USING (pair_id)
+),
+worth AS (
+  SELECT *, qty_a * (a1 - a0) + qty_b * (b1 - b0) AS pnl_gross, 3e-4 * (abs(qty_a) * (a0 + a1) + abs(qty_b) * (b0 + b1)) AS costs FROM (
+    SELECT d.*, sign * 25000.0 / a0 AS qty_a, -sign * abs(hedge) * 25000.0 / b0 AS qty_b FROM (
+      SELECT d.*, CASE WHEN direction = 'long_spread' THEN 1 ELSE -1 END AS sign, e.price_a AS a0, e.price_b AS b0, x.price_a AS a1, x.price_b AS b1, p.beta AS hedge
+      FROM deals d JOIN asks e ON e.pair_id = d.pair_id AND e.idx = d.entry_index JOIN asks x ON x.pair_id = d.pair_id AND x.idx = d.exit_index JOIN asks p ON p.pair_id = d.pair_id AND p.idx = d.entry_index - 1
+    ) d
+  )
+)"""
+)
+
+CANDIDATES = """
+orders_of AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS p, day(o_orderdate) = 1 AS opening, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders),
+closes AS (
+  SELECT asset, date, CAST(sum(cents) AS DOUBLE) / (count(*) * 100.0::DOUBLE) AS close FROM (SELECT p AS asset, date, cents FROM orders_of UNION ALL SELECT p || '/first', date, cents FROM orders_of WHERE opening) GROUP BY 1, 2
+),
+names AS (SELECT DISTINCT p FROM orders_of),
+wanted AS (SELECT a.p AS asset_a, b.p AS asset_b FROM names a JOIN names b ON a.p < b.p UNION ALL SELECT p, p || '/first' FROM names UNION ALL SELECT p, p || '/none' FROM names),
+common AS (SELECT asset_a, asset_b, a.date, a.close AS price_a, b.close AS price_b FROM wanted JOIN closes a ON a.asset = asset_a JOIN closes b ON b.asset = asset_b AND b.date = a.date),
+results AS (
+  SELECT *, reason = '' AS ok FROM (
+    SELECT asset_a, asset_b, n_dates,
+           CASE WHEN asset_a NOT IN (SELECT asset FROM closes) THEN 'no closes of ' || asset_a WHEN asset_b NOT IN (SELECT asset FROM closes) THEN 'no closes of ' || asset_b
+                WHEN n_dates < 200 THEN n_dates || ' dates in common, 200 needed' WHEN bad > 0 THEN bad || ' dates without positive prices' ELSE '' END AS reason
+    FROM (SELECT asset_a, asset_b, count(c.date) AS n_dates, count(*) FILTER (price_a <= 0 OR price_b <= 0) AS bad FROM wanted LEFT JOIN common c USING (asset_a, asset_b) GROUP BY 1, 2)
+  )
+)"""
+
 METRICS = """,
 facts AS (
   SELECT pair_id, count(*)::DOUBLE AS n_bars, arg_min(nav, idx) AS initial_nav, arg_max(nav, idx) AS final_nav, sum(costs_this_bar) AS total_costs, sum(interest_this_bar) AS total_interest,
@@ -387,5 +442,13 @@ ORACLE_SQL |= {
              ELSE printf('%d of %d pairs kept; mean Sharpe ratio %+.3f, error %.3f', n_kept, n_kept + n_dropped, mean_sharpe, se) END AS verdict
       FROM (SELECT avg(sharpe_ratio) AS mean_sharpe, CASE WHEN count(sharpe_ratio) >= 2 THEN stddev_samp(sharpe_ratio) / sqrt(count(sharpe_ratio)) END AS se, count(*) FILTER (kept) AS n_kept, count(*) FILTER (NOT kept) AS n_dropped
             FROM planned LEFT JOIN summed ON pair = pair_id)"""),
+    "intent_events": sql(INTENTS, "SELECT pair_id, idx, concat_ws(';', nullif(event, ''), CASE WHEN open_end THEN 'exit:end_of_data' END) AS trade_event FROM filled WHERE event <> '' OR open_end"),
+    "intent_trades": sql(INTENTS, f"SELECT pair_id, direction, entry_index, exit_index, exit_reason, {ms('pnl_gross', 'costs')}, round(pnl_gross - costs, 2) + 0.0::DOUBLE AS pnl_net FROM worth"),
+    "candidate_outcomes": sql("", "SELECT asset_a, asset_b, ok, n_dates, reason FROM results", CANDIDATES),
+    "screen_outcomes": sql("", f"""SELECT asset_a, asset_b, CASE WHEN NOT ok THEN reason WHEN corr IS NULL THEN 'flat leg' WHEN abs(corr) < 0.02 THEN 'correlation below' ELSE 'tested' END AS outcome, n_dates, {r('corr', 4)}
+      FROM results LEFT JOIN (
+        SELECT asset_a, asset_b, covar_pop(a, b) / nullif(sqrt(var_pop(a) * var_pop(b)), 0) AS corr FROM (
+          SELECT asset_a, asset_b, ln(price_a) - ln(lag(price_a) OVER w) AS a, ln(price_b) - ln(lag(price_b) OVER w) AS b FROM common SEMI JOIN (SELECT * FROM results WHERE ok) USING (asset_a, asset_b) WINDOW w AS (PARTITION BY asset_a, asset_b ORDER BY date)
+        ) WHERE a IS NOT NULL GROUP BY 1, 2) USING (asset_a, asset_b)""", CANDIDATES),
     "walk_forward": sql(WALK, f'SELECT pair_id, {rs("half_life")}, k AS "window", kept, {rs("sharpe_ratio")}, n_trades FROM planned LEFT JOIN summed ON pair = pair_id'),
 }

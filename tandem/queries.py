@@ -123,6 +123,25 @@ def bar_audit(spark, d):
     return bars.select("pair_id", "idx", "date", r("hedge_ratio"), r("spread"), r("zscore"), "position", r("qty_a", 4), r("qty_b", 4), money("cash"), money("position_value"), money("nav"), money("costs_this_bar"), money("interest_this_bar"), "trade_event")
 
 
+def asked_by_bands(rows: DataFrame) -> DataFrame:
+    """``rows`` with intents read from z: far out enter, near the middle leave, in a narrow band on either side turn round. Unlike the
+    rule of the backtest these don't look at the position, so some entries come while one is open."""
+    z = F.col("z")
+    intent = F.when(z <= -2, "enter:long_spread").when(z >= 2, "enter:short_spread").when(F.abs(z) <= 0.1, "exit:reversion").when(z.between(-1.3, -1.2), "flip:long_spread").when(z.between(1.2, 1.3), "flip:short_spread")
+    return rows.withColumns({"label": F.lit("bands"), "intent": F.coalesce(intent, F.lit("hold"))})
+
+
+@query
+def intent_events(spark, d):
+    return backtest.executed(asked_by_bands(base_signals(spark, d)))[1].select("pair_id", "idx", "trade_event")
+
+
+@query
+def intent_trades(spark, d):
+    done = backtest.run_intents(asked_by_bands(base_signals(spark, d)), CONFIG)[1]
+    return done.select("pair_id", "direction", "entry_index", "exit_index", "exit_reason", money("pnl_gross"), money("costs"), money("pnl_net"))
+
+
 @query
 def nav_identity_violations(spark, d):
     return backtest.identity_violations(base_run(spark, d)[2]).select("pair_id", "idx", "gap")
@@ -249,6 +268,17 @@ def universe_screen(spark, d):
     return cointegration.screen(pairs.universe(spark, d), 0.0)
 
 
+@query
+def candidate_outcomes(spark, d):
+    return pairs.outcomes(pairs.closes(spark, d), pairs.candidates(spark, d)).select("asset_a", "asset_b", "ok", "n_dates", "reason")
+
+
+@query
+def screen_outcomes(spark, d):
+    closes = pairs.closes(spark, d)
+    return cointegration.screen_outcomes(closes, pairs.candidates(spark, d), 0.02).select("asset_a", "asset_b", "outcome", "n_dates", r("corr", 4))
+
+
 @query
 def full_sample_ols(spark, d):
     return cointegration.full_ols(pairs.derived(spark, d)).select("pair_id", r("alpha"), r("beta"))
