@@ -29,6 +29,11 @@ def so_far(*keys: str) -> WindowSpec:
     return ordered(*keys).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def visible(x: str, *keys: str, k: int | None = None) -> Column:
+    """The values up to the current row, oldest first, all or the last k; an array, so it grows with the series unless k is given."""
+    return F.collect_list(x).over(trailing(k, *keys) if k else so_far(*keys))
+
+
 def full(x: Column | str, value: Column, k: int, w: WindowSpec) -> Column:
     """``value`` where the frame holds k values of x, else null."""
     return F.when(F.count(x).over(w) == k, value)

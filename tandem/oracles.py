@@ -401,6 +401,57 @@ results AS (
   )
 )"""
 
+def phi(x: str) -> str:
+    """The normal distribution function, by its series over odd double factorials; 0 or 1 in ten digits and more beyond 8."""
+    return f"(CASE WHEN abs({x}) > 8 THEN ({x} > 0)::INTEGER ELSE 0.5 + sign({x}) * exp(-{x} * {x} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda k: exp((2 * k + 1) * ln(abs({x}) + 1e-300::DOUBLE) - (k + 1) * ln(2) - lgamma(k + 1.5::DOUBLE) + 0.5 * ln(pi())))) END)"
+
+
+def t_tail(t: str, df: str) -> str:
+    """Two-sided tail of Student's distribution, by Simpson's rule over the angle."""
+    area = lambda lo: f"list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(cos({lo} + (pi() / 2 - {lo}) * i / 2000), 0), {df} - 1))) * (pi() / 2 - {lo})"
+    return f"({area(f'atan(abs({t}) / sqrt({df}))')} / ({area('0.0::DOUBLE')}))"
+
+
+#: Recursive least squares of the change of a on the change of b and the last gap, one bar at a time: coefficients and the inverse.
+CUSUM = (
+    RESIDUALS
+    + """,
+design AS (
+  SELECT pair_id, idx AS n, idx, log_a - lag(log_a) OVER w AS y, log_b - lag(log_b) OVER w AS u, lag(x) OVER w AS g
+  FROM bars JOIN residuals USING (pair_id, idx) WINDOW w AS (PARTITION BY pair_id ORDER BY idx) QUALIFY u IS NOT NULL
+),
+three AS (SELECT pair_id, max(u) FILTER (n = 1) AS u1, max(u) FILTER (n = 2) AS u2, max(u) FILTER (n = 3) AS u3, max(g) FILTER (n = 1) AS g1, max(g) FILTER (n = 2) AS g2, max(g) FILTER (n = 3) AS g3, max(y) FILTER (n = 1) AS y1, max(y) FILTER (n = 2) AS y2, max(y) FILTER (n = 3) AS y3 FROM design GROUP BY pair_id),
+dets AS (SELECT *, u1 * (g2 - g3) - u2 * (g1 - g3) + u3 * (g1 - g2) AS det FROM three),
+inverted AS (
+  SELECT *, (u2 * g3 - u3 * g2) / det AS a1, (u3 * g1 - u1 * g3) / det AS a2, (u1 * g2 - u2 * g1) / det AS a3, (g2 - g3) / det AS b1, (g3 - g1) / det AS b2, (g1 - g2) / det AS b3, (u3 - u2) / det AS c1, (u1 - u3) / det AS c2, (u2 - u1) / det AS c3 FROM dets
+),
+recursed AS (
+  SELECT pair_id, CAST(3 AS BIGINT) AS n, a1 * y1 + a2 * y2 + a3 * y3 AS k0, b1 * y1 + b2 * y2 + b3 * y3 AS k1, c1 * y1 + c2 * y2 + c3 * y3 AS k2,
+         a1 * a1 + a2 * a2 + a3 * a3 AS p00, a1 * b1 + a2 * b2 + a3 * b3 AS p01, a1 * c1 + a2 * c2 + a3 * c3 AS p02, b1 * b1 + b2 * b2 + b3 * b3 AS p11, b1 * c1 + b2 * c2 + b3 * c3 AS p12, c1 * c1 + c2 * c2 + c3 * c3 AS p22, 0.0::DOUBLE AS w
+  FROM inverted
+  UNION ALL
+  SELECT pair_id, n, k0 + h0 * e / s, k1 + h1 * e / s, k2 + h2 * e / s, p00 - h0 * h0 / s, p01 - h0 * h1 / s, p02 - h0 * h2 / s, p11 - h1 * h1 / s, p12 - h1 * h2 / s, p22 - h2 * h2 / s, e / sqrt(s)
+  FROM (
+    SELECT *, 1 + h0 + u * h1 + g * h2 AS s FROM (
+      SELECT r.* EXCLUDE (n), d.n, d.u, d.g, d.y - k0 - k1 * d.u - k2 * d.g AS e, p00 + p01 * d.u + p02 * d.g AS h0, p01 + p11 * d.u + p12 * d.g AS h1, p02 + p12 * d.u + p22 * d.g AS h2
+      FROM recursed r JOIN design d ON d.pair_id = r.pair_id AND d.n = r.n + 1
+    )
+  )
+),
+pathed AS (
+  SELECT r.pair_id, d.idx, abs(sum(w) OVER (PARTITION BY r.pair_id ORDER BY r.n) / stddev_samp(w) OVER (PARTITION BY r.pair_id)) / (0.948::DOUBLE * (sqrt(m) + 2 * (r.n - 3) / sqrt(m))) AS excursion
+  FROM recursed r JOIN design d USING (pair_id, n) JOIN (SELECT pair_id, max(n) - 3 AS m FROM design GROUP BY pair_id) USING (pair_id) WHERE r.n > 3
+)"""
+)
+
+#: The quantile of the normal distribution at p, by halving.
+QUANTILE = f"""halved AS (
+  SELECT p, -9.0::DOUBLE AS lo, 9.0::DOUBLE AS hi, 0 AS i FROM wanted_p
+  UNION ALL
+  SELECT p, CASE WHEN {phi('((lo + hi) / 2)')} < p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {phi('((lo + hi) / 2)')} < p THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM halved WHERE i < 50
+),
+quantiles AS (SELECT p, lo AS q FROM halved WHERE i = 50)"""
+
 METRICS = """,
 facts AS (
   SELECT pair_id, count(*)::DOUBLE AS n_bars, arg_min(nav, idx) AS initial_nav, arg_max(nav, idx) AS final_nav, sum(costs_this_bar) AS total_costs, sum(interest_this_bar) AS total_interest,
@@ -450,5 +501,18 @@ ORACLE_SQL |= {
         SELECT asset_a, asset_b, covar_pop(a, b) / nullif(sqrt(var_pop(a) * var_pop(b)), 0) AS corr FROM (
           SELECT asset_a, asset_b, ln(price_a) - ln(lag(price_a) OVER w) AS a, ln(price_b) - ln(lag(price_b) OVER w) AS b FROM common SEMI JOIN (SELECT * FROM results WHERE ok) USING (asset_a, asset_b) WINDOW w AS (PARTITION BY asset_a, asset_b ORDER BY date)
         ) WHERE a IS NOT NULL GROUP BY 1, 2) USING (asset_a, asset_b)""", CANDIDATES),
+    "visible_days": sql("", "SELECT pair_id, idx, list_aggregate(list(idx) OVER (PARTITION BY pair_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 'string_agg', ',') AS last_five, count(*) OVER (PARTITION BY pair_id ORDER BY idx) AS n_visible FROM bars"),
+    "cusum": sql(CUSUM, f"SELECT pair_id, {r('max_excursion')}, break_index, crossed FROM (SELECT pair_id, max(excursion) AS max_excursion, min(idx) FILTER (excursion > 1) AS break_index, bool_or(excursion > 1) AS crossed FROM pathed GROUP BY pair_id)"),
+    "t_test_p_values": sql(RUN, f"SELECT pair_id, n_trades, {ms('mean_pnl', 'se_pnl')}, {r('t_stat', 4)}, round({t_tail('t_stat', '(n_trades - 1)')}, 5) + 0.0::DOUBLE AS p_value FROM (SELECT *, mean_pnl / se_pnl AS t_stat FROM (SELECT pair_id, count(*) AS n_trades, avg(pnl_net) AS mean_pnl, stddev_samp(pnl_net) / sqrt(count(*)) AS se_pnl FROM trades GROUP BY pair_id HAVING count(*) >= 2))"),
+    "variance_ratio_tests": sql(RATIOS, f"""SELECT pair_id, horizon, n_obs, round(vr, 6) + 0.0::DOUBLE AS variance_ratio, round(z, 4) + 0.0::DOUBLE AS z_homoskedastic, round(zr, 4) + 0.0::DOUBLE AS z_robust,
+        round(2 * (1 - {phi('abs(z)')}), 4) + 0.0::DOUBLE AS p_homoskedastic, round(2 * (1 - {phi('abs(zr)')}), 4) + 0.0::DOUBLE AS p_robust, 2 * (1 - {phi('abs(zr)')}) < 0.05 AS rejects_random_walk,
+        CASE WHEN vr IS NULL THEN 'undefined' WHEN vr < 0.95 THEN 'mean-reverting' WHEN vr > 1.05 THEN 'trending' ELSE 'random walk' END AS interpretation
+      FROM (SELECT *, (vr - 1) / plain AS z, CASE WHEN theta > 0 THEN (vr - 1) / sqrt(theta) END AS zr FROM ratios)"""),
+    "deflated_sharpe": sql(GRID + f""", best AS (SELECT pair, max(sharpe_ratio) AS observed, count(*) AS trials FROM summed GROUP BY pair),
+      wanted_p AS (SELECT DISTINCT 1 - 1.0::DOUBLE / trials AS p FROM best UNION SELECT DISTINCT 1 - 1 / (trials * exp(1.0::DOUBLE)) FROM best), {QUANTILE},
+      lucky AS (
+        SELECT b.*, n_obs, sqrt(252.0::DOUBLE / n_obs) * ((1 - 0.5772156649015329::DOUBLE) * x.q + 0.5772156649015329::DOUBLE * y.q) AS expected_best, sqrt((1 + pow(observed / sqrt(252), 2) / 2) / (n_obs - 1)) * sqrt(252) AS error
+        FROM best b JOIN (SELECT pair_id, count(*) - 1 AS n_obs FROM bars GROUP BY pair_id) ON pair_id = pair JOIN quantiles x ON x.p = 1 - 1.0::DOUBLE / trials JOIN quantiles y ON y.p = 1 - 1 / (trials * exp(1.0::DOUBLE))
+      )""", f"SELECT pair AS pair_id, trials, {rs('observed', 'expected_best')}, round(observed - expected_best, 6) + 0.0::DOUBLE AS excess, round(s, 4) + 0.0::DOUBLE AS statistic, round(1 - {phi('s')}, 5) + 0.0::DOUBLE AS p_value, observed > expected_best AS survives FROM (SELECT *, (observed - expected_best) / error AS s FROM lucky)"),
     "walk_forward": sql(WALK, f'SELECT pair_id, {rs("half_life")}, k AS "window", kept, {rs("sharpe_ratio")}, n_trades FROM planned LEFT JOIN summed ON pair = pair_id'),
 }

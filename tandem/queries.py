@@ -62,6 +62,13 @@ def rolling_mean_std(spark, d):
     return rows.select("pair_id", "idx", r(windows.mean("log_a", 20)).alias("mean_a"), r(F.sqrt(windows.variance("log_a", 20))).alias("sd_a"))
 
 
+@query
+def visible_days(spark, d):
+    """Of each bar the numbers of the last five that it may see, and how many it may see in all."""
+    rows = pairs.derived(spark, d)
+    return rows.select("pair_id", "idx", F.array_join(windows.visible("idx", k=5).cast("array<string>"), ",").alias("last_five"), F.count("idx").over(windows.so_far()).alias("n_visible"))
+
+
 @query
 def rolling_corr(spark, d):
     rows = pairs.log_prices(pairs.derived(spark, d))
@@ -311,7 +318,8 @@ def variance_ratio_z(spark, d):
 
 @query
 def variance_ratio_tests(spark, d):
-    return variance_ratio.variance_ratio_tests(residual_levels(spark, d))
+    found = variance_ratio.variance_ratio_tests(residual_levels(spark, d))
+    return found.select("pair_id", "horizon", "n_obs", r("variance_ratio"), r("z_homoskedastic", 4), r("z_robust", 4), r("p_homoskedastic", 4), r("p_robust", 4), "rejects_random_walk", "interpretation")
 
 
 @query
@@ -322,7 +330,8 @@ def t_test_inputs(spark, d):
 
 @query
 def t_test_p_values(spark, d):
-    return significance.with_p_values(significance.trade_tests(base_run(spark, d)[1], "pair_id"))
+    found = significance.with_p_values(significance.trade_tests(base_run(spark, d)[1], "pair_id"))
+    return found.select("pair_id", "n_trades", money("mean_pnl"), money("se_pnl"), r("t_stat", 4), r("p_value", 5))
 
 
 @query
@@ -382,7 +391,7 @@ def adf_eg_johansen(spark, d):
 
 @query
 def cusum(spark, d):
-    return stability.cusum_summary(stability.cusum(pairs.derived(spark, d)))
+    return stability.cusum_summary(stability.cusum(pairs.derived(spark, d))).select("pair_id", r("max_excursion"), "break_index", "crossed")
 
 
 @query
@@ -416,7 +425,8 @@ def deflated_sharpe(spark, d):
     rows = best.join(n, "pair_id").withColumn("expected_best", scalars.expected_best("trials", "n_obs"))
     error = F.sqrt((1 + F.pow(F.col("observed") / year, F.lit(2.0)) / 2) / (F.col("n_obs") - 1)) * year
     rows = rows.withColumn("excess", F.col("observed") - F.col("expected_best")).withColumn("statistic", F.col("excess") / error)
-    return rows.select("pair_id", "trials", "observed", "expected_best", "excess", "statistic", scalars.normal_tail("statistic").alias("p_value"), (F.col("excess") > 0).alias("survives"))
+    rows = rows.withColumn("p_value", scalars.normal_tail("statistic"))
+    return rows.select("pair_id", "trials", r("observed"), r("expected_best"), r("excess"), r("statistic", 4), r("p_value", 5), (F.col("excess") > 0).alias("survives"))
 
 
 @query
