@@ -24,6 +24,8 @@ blocks, however long. An empty table gives files without blocks; other columns a
 from __future__ import annotations
 
 import os
+import re
+import sys
 import uuid
 import zlib
 from array import array
@@ -96,57 +98,78 @@ class Encoder:
             raise ValueError(f"the vocabulary has more than {BASE} ids")
         self.line_end = as_bytes(self.tokenizer.encode("\n", add_special_tokens=False).ids)
         self.letters, self.model = byte_letters(), self.tokenizer.model
-        self.latin = LATIN if self.tokenizer.normalizer is None else "\x80"
+        latin = "".join(c for c in map(chr, range(ord(LATIN) if self.tokenizer.normalizer is None else 0x80)) if c.isalpha())
+        #: A line end or nothing, Latin letters, marks.
+        self.simple = re.compile(rf"(\n?)([{re.escape(latin)}]+)([{re.escape(MARKS)}]*)").fullmatch
+        self.id_bytes = [k.to_bytes(2, sys.byteorder) for k in range(BASE)]
         #: Ids by piece, empty where white space meets a cut; those of before are kept for one turn more.
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {"": b""}
+        self.ends: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [as_bytes(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces; one that starts a line has the line end before it, the others a space."""
+        """Ids of new pieces; one that starts a line has the line end before it, the others a space.
+
+        Most pieces are letters, perhaps with marks after them. The pre-tokenizer cuts letters from marks as well, and Latin
+        letters are one piece for it too, so they go to the model at once.
+        """
+        known, before, ends, tokenize, table = self.known, self.before, self.ends, self.model.tokenize, self.id_bytes
+        others = []
+        for p in pieces:
+            found = self.simple(p)
+            if found is None:
+                others.append(p)
+                continue
+            start, word, marks = found.groups()
+            head = start + word if marks else p
+            ids = known.get(head) if marks else None
+            if ids is None:
+                ids = before.get(head) if marks else None
+                if ids is None:
+                    spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                    ids = b"".join([table[x.id] for x in tokenize(spelled if start else SPACE + spelled)])
+                    ids = self.line_end + ids if start else ids
+                known[head] = ids
+            if marks:
+                end = ends.get(marks)
+                if end is None:
+                    end = ends[marks] = self.library([marks])[0]
+                known[p] = ids + end
+        if others:
+            self.learn_others(others)
+
+    def learn_others(self, pieces: list[str]) -> None:
         cut = []
         for p in pieces:
             body = p[1:] if p[0:1] == "\n" else p
             if not body or body[0].isspace() or body[-1].isspace():
                 self.known[p] = b""
             else:
-                # letters and the marks after them are cut apart by the pre-tokenizer as well
-                stem = body.rstrip(MARKS)
-                at = len(p) - len(body) + len(stem) if stem.isalpha() else len(p)
-                cut.append((p, p[:at], p[at:]))
-        heads = {h for _, h, _ in cut if h not in self.known}
-        self.known.update((h, self.before[h]) for h in heads if h in self.before)
-        others = []
-        for h in heads.difference(self.before):
-            starts = h[0] == "\n"
-            word = h[1:] if starts else h
-            if word.isalpha() and max(word) < self.latin:
-                # Latin letters are one piece for the pre-tokenizer too, so they go to the model at once
-                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-                ids = as_bytes([x.id for x in self.model.tokenize(spelled if starts else SPACE + spelled)])
-                self.known[h] = self.line_end + ids if starts else ids
-            else:
-                others.append(h)
-        for h, ids in zip(others, self.library([h[1:] if h[0] == "\n" else " " + h for h in others]), strict=True):
-            self.known[h] = self.line_end + ids if h[0] == "\n" else ids
-        ends = list({e for _, _, e in cut}.difference(self.ends))
-        self.ends.update(zip(ends, self.library(ends), strict=True))
-        self.known.update((p, self.known[h] + self.ends[e]) for p, h, e in cut if e)
+                cut.append(p)
+        for p, ids in zip(cut, self.library([p[1:] if p[0] == "\n" else " " + p for p in cut]), strict=True):
+            self.known[p] = self.line_end + ids if p[0] == "\n" else ids
 
     def ids_of(self, pieces: list[str]) -> list[bytes]:
         """Ids of different pieces."""
         if len(self.known) > CACHE:
-            self.before, self.known, self.ends = self.known, {}, {"": b""}
-        ids = list(map(self.known.get, pieces))
-        missing = [k for k, x in enumerate(ids) if x is None]
-        again = {p: x for k in missing if (x := self.before.get(p := pieces[k])) is not None}
-        self.known.update(again)
-        self.learn([p for k in missing if (p := pieces[k]) not in again])
-        for k in missing:
-            ids[k] = self.known[pieces[k]]
+            self.before, self.known, self.ends = self.known, {}, {}
+        known, before = self.known, self.before
+        ids = list(map(known.get, pieces))
+        new = []
+        for k, x in enumerate(ids):
+            if x is None:
+                p = pieces[k]
+                x = before.get(p)
+                if x is None:
+                    new.append(k)
+                else:
+                    known[p] = ids[k] = x
+        self.learn([pieces[k] for k in new])
+        for k in new:
+            ids[k] = known[pieces[k]]
         return ids
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
