@@ -8,7 +8,8 @@ LEXICON_RATE of all words on, so a lexicon has at most 1 / LEXICON_RATE words, w
 Transition scores are learnt as well.
 
 Training takes at most ROWS different texts per language, whole, in the order of a hash, of those with
-at most ROW_CHARS characters (a bounded sample of labelled rows). Their document's
+at most ROW_CHARS characters, and of these as many as have SAMPLE_CHARS together (a bounded sample of labelled rows); where all texts of
+a language are longer, it takes the shortest one. Their document's
 language labels all words at first; weights fitted to that relabel the words (a word goes to
 another language where its neighbourhood speaks for it), so passages in another language give
 transitions between labels; then the chain is fitted to the words' labels by its gradient, which
@@ -18,7 +19,7 @@ Prediction runs forward-backward over every whole text, however long, some texts
 numpy. A text's language is that with the largest sum of word probabilities; its share is the score.
 Of equal languages the first by name is taken.
 
-Texts that are null, or without a letter, are ``und`` with score 0. Null languages aren't learnt
+Features are hashed into BUCKETS weights; two that share one add up. Texts that are null, or without a letter, are ``und`` with score 0. Null languages aren't learnt
 from; all others are, however rare. Without any every text is ``und``.
 Rows repeated under one doc_id are labelled one by one, an empty table gives no rows, and columns
 other than doc_id, text and (in training) lang are never read, whatever their names.
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,7 @@ from .common import documents, fold, written
 
 ROWS = 200
 ROW_CHARS = 1_000_000
+SAMPLE_CHARS = 4_000_000
 LEXICON_SHARE = 0.9
 LEXICON_COUNT = 20
 LEXICON_RATE = 1e-5
@@ -54,7 +57,8 @@ SEGMENT = 200
 #: Texts side by side, and characters of texts that are labelled together (a longer text by itself).
 SIDE = 4096
 CHUNK = 4_000_000
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter by its category (L), so neither a fraction nor a number in a circle is one.
+LETTER = regex.compile(r"\p{L}")
 EDGE = ".,;:!?\"'()[]{}<>|/\\&%#*~`^=_-+$"
 
 
@@ -304,8 +308,13 @@ def learn(docs: DataFrame) -> Labeller | None:
     share = F.create_map(*(x for lang in langs for x in (F.lit(lang), F.lit(min(scale, int(1.3 * ROWS / sizes[lang] * scale) + 1)))))
     place = F.xxhash64("text", F.lit(7))
     near = train.where((F.length("text") <= ROW_CHARS) & (F.pmod(place, F.lit(scale)) < share[F.col("lang")])).groupBy("lang", place.alias("place")).agg(F.min("text").alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
-    picked = near.withColumn("rank", rank).where(F.col("rank") <= ROWS).select("lang", "place", "text").collect()
+    by_place = Window.partitionBy("lang").orderBy("place")
+    ranked = near.withColumn("rank", F.row_number().over(by_place)).where(F.col("rank") <= ROWS)
+    # the first always, then while the sum stays under the bound
+    before = F.sum(F.length("text")).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    picked = ranked.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("rank") == 1) | (F.col("before") + F.length("text") <= SAMPLE_CHARS)).select("lang", "place", "text").collect()
+    if lacking := [lang for lang in langs if lang not in {r.lang for r in picked}]:
+        picked += train.where(F.col("lang").isin(lacking)).groupBy("lang").agg(F.min_by("text", F.struct(F.length("text"), place)).alias("text")).select("lang", F.lit(0).alias("place"), "text").collect()
     texts = []
     for row in sorted(picked, key=lambda r: (r.place, r.lang)):
         if words := [w for w in map(plain, row.text.split()) if w]:
