@@ -181,6 +181,55 @@ def test_secret_entropy_by_window_and_piece():
         assert not entropy(word), word
 
 
+def test_random_keys_of_every_class_are_found(spark, small):
+    texts = spark.read.parquet(f"{small}/documents.parquet")
+    pairs = secrets.learn_pairs(texts)
+    rng = np.random.default_rng(9)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for name, symbols in {"lower": low, "upper": low.upper(), "low and digits": low + digits, "base32": low.upper() + "234567", "both cases": low + low.upper() + digits, "hex": digits + "abcdef", "base64": low + low.upper() + digits + "+/"}.items():
+        for n in (16, 20, 24, 40):
+            keys = ["".join(rng.choice(list(symbols), n)) for _ in range(300)]
+            found = sum(any(k >= 2 for _, k, _ in secrets.scan(f"see {key} there", pairs)) for key in keys)
+            assert found >= 0.9 * len(keys), (name, n, found)
+    # words of the texts themselves, run together or strung by hyphens, aren't keys
+    words = [w for r in texts.select("text").limit(50).collect() for w in re.findall(r"[a-z]{4,}", r.text or "")]
+    runs = ["".join(rng.choice(words, 4)) for _ in range(300)] + ["-".join(rng.choice(words, 5)) for _ in range(300)]
+    assert sum(any(k == 3 for _, k, _ in secrets.scan(x, pairs)) for x in runs) <= 6
+    # planted in the whole table: found there and nowhere else
+    keys = spark.createDataFrame([(9000 + k, "note " + "".join(rng.choice(list(low), 24)) + " end") for k in range(40)], "doc_id long, text string")
+    got = secrets.find_secrets(texts.select("doc_id", "text").unionByName(keys)).where("exists(spans, s -> s.kind = 'entropy')").collect()
+    assert sum(r.doc_id >= 9000 for r in got) >= 36 and sum(r.doc_id < 9000 for r in got) <= 2
+
+
+def test_windows_are_counted_by_steps_as_from_scratch():
+    rng = np.random.default_rng(12)
+    for symbols in ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCXYZ234567", "aB3+/_xYz", "aaab"):
+        run = "".join(rng.choice(list(symbols), 60))
+        above = []
+        for at in range(len(run) - secrets.WINDOW + 1):
+            window = run[at : at + secrets.WINDOW]
+            entropy = -sum(c / secrets.WINDOW * math.log2(c / secrets.WINDOW) for c in Counter(window).values())
+            kinds = [secrets.KIND_OF[c] for c in window]
+            most = secrets.MOST[secrets.symbols_of([kinds.count(k) for k in range(6)])]
+            if secrets.WINDOW * (math.log2(secrets.WINDOW) - entropy) <= most:
+                above.append(at)
+        assert secrets.windows_above(run) == ((above[0], above[-1] + secrets.WINDOW) if above else None)
+
+
+def test_a_fraction_is_no_letter(spark):
+    docs = spark.createDataFrame([(k, f"wort und satz nummer {k}", "de") for k in range(6)] + [(k, f"word and sentence number {k}", "en") for k in range(6, 12)] + [(20, "½ ² ① Ⅳ 12", "de"), (21, None, "de"), (22, "é", "fr")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.label_languages(docs, language_id.learn(docs.where("doc_id < 20"))).collect()}
+    assert got[20].lang_pred == got[21].lang_pred == "und" and got[20].score == 0 and got[22].lang_pred in ("de", "en")
+
+
+def test_a_language_of_long_texts_only_is_learnt(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "ROW_CHARS", 100)
+    rows = [(k, f"word and sentence number {k}", "en") for k in range(6)] + [(6, "wort und satz " * 30, "de"), (7, "wort und satz " * 40, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.label_languages(docs, language_id.learn(docs)).collect()}
+    assert got[6] == got[7] == "de" and got[0] == "en"
+
+
 def test_pii_base(docs, none):
     digits = lambda m: re.sub(r"[^0-9]", "", m[0])
     rules = [
