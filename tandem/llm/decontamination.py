@@ -4,19 +4,23 @@ The index holds the test items, the queries are all passages (overlapping window
 all training texts. Terms are words, A-Z lower-cased, without marks at their ends. A term's
 impact in an item is its BM25 weight; a passage's score for an item is the sum over its distinct
 terms; an item is retrieved when a passage reaches SHARE of the score the item gives to itself.
-As in block-max WAND (Ding and Suel 2011) upper bounds spare the work: a passage is dropped if the
-sum of its terms' largest impacts can't reach the least threshold; then the sum of their largest
-impacts within a block of items is held against the block's least threshold; only blocks that
-pass are scored item by item. Nothing above its threshold is lost. All passages of some texts
-are worked on at once in numpy.
+As in block-max WAND (Ding and Suel 2011) upper bounds spare the work. A passage's terms are put in the order
+of their largest impacts, and the pivot is where the sum of those below it first reaches the least threshold: an
+item that is retrieved has a term from the pivot on, so postings of the terms below, the frequent ones, are never
+gone through. Terms from the pivot on name the blocks of items; a block stays if what they give at most within it, and the
+others anywhere, reaches its least threshold, and then if all terms within it do. Only blocks that stay are
+scored item by item, and of each term only the postings in them are looked up. Nothing above its threshold is lost. All
+passages of some texts are worked on at once in numpy, their blocks LOOKED at a time.
 
 A retrieved pair is verified on the whole text: the share of the item's five-word shingles in it,
 for the question and for the answer. Where items have no separate answer, the last quarter of
 their words counts as the answer.
 
 The index is broadcast in parts of at most PART items and PART_WORDS words, one pass over the
-texts for each, so its size is bounded whatever the number of items. Null or empty texts and
-items match nothing; items under five words are matched as one shingle.
+texts for each, so an executor holds a bounded size whatever the number of items; the driver holds all parts. Null or empty texts and
+items match nothing; items under five words are matched as one shingle. Texts are read whole, however long, CHUNK words at a
+time. Rows repeated under one id are matched one by one, equal scores keep every pair, an empty table gives no rows, and columns
+other than doc_id and text (item_id, text and perhaps the answer) are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,8 +44,9 @@ WORDS = 5
 QUESTION_OVERLAP = 0.5
 ANSWER_OVERLAP = 0.5
 PART, PART_WORDS = 20_000, 4_000_000
-#: Words that are looked at together.
+#: Words that are looked at together, and terms of blocks, about.
 CHUNK = 200_000
+LOOKED = 2_000_000
 MARKS = b".,;:!?\"'()[]{}"
 
 
@@ -117,6 +122,9 @@ class Index:
         self.block_max = np.maximum.reduceat(self.impacts, starts) if len(starts) else np.empty(0)
         self.block_first = np.searchsorted(block_terms, np.arange(self.n_terms + 1))
         self.n_blocks = n // ITEMS_A_BLOCK + 1
+        # where a term's postings in a block are
+        self.block_code = block_terms * self.n_blocks + self.block_of
+        self.block_start, self.block_end = starts, np.append(starts[1:], len(code))[: len(starts)]
         self.block_threshold = np.full(self.n_blocks, np.inf)
         np.minimum.at(self.block_threshold, np.arange(n) // ITEMS_A_BLOCK, self.threshold)
         self.term_max = np.zeros(self.n_terms)
@@ -143,24 +151,55 @@ def retrieve(index: Index, numbers: np.ndarray, text: np.ndarray, place: np.ndar
     codes = np.unique(passages * index.n_terms + held)
     passages, held = codes // index.n_terms, codes % index.n_terms
     names, passages = np.unique(passages, return_inverse=True)
-    ok = (np.bincount(passages, index.term_max[held], len(names)) >= index.block_threshold.min(initial=np.inf))[passages]
+    least = index.block_threshold.min(initial=np.inf) - 1e-9
+    ok = (np.bincount(passages, index.term_max[held], len(names)) >= least)[passages]
     passages, held = passages[ok], held[ok]
-    which, at = spread(index.block_first, held)
-    codes = passages[which] * index.n_blocks + index.block_of[at]
+    if not len(held):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    # the pivot: terms in the order of their largest impacts, summed up within each passage
+    order = np.lexsort((index.term_max[held], passages))
+    passages, held = passages[order], held[order]
+    first = np.flatnonzero(np.append(True, passages[1:] != passages[:-1]))
+    size = np.diff(np.append(first, len(passages)))
+    summed = np.cumsum(index.term_max[held])
+    below = summed - np.repeat(summed[first] - index.term_max[held[first]], size)
+    upper = below >= least
+    rest = np.zeros(len(names))
+    np.maximum.at(rest, passages[~upper], below[~upper])
+    which, at = spread(index.block_first, held[upper])
+    codes = passages[upper][which] * index.n_blocks + index.block_of[at]
     pairs, inverse = np.unique(codes, return_inverse=True)
-    ok = np.bincount(inverse, index.block_max[at], len(pairs)) >= index.block_threshold[pairs % index.n_blocks]
-    pairs = pairs[ok]
-    busy = np.isin(passages, pairs // index.n_blocks)
-    passages, held = passages[busy], held[busy]
-    which, at = spread(index.first, held)
-    passage, piece = passages[which], index.pieces[at]
-    inside = np.isin(passage * index.n_blocks + piece // ITEMS_A_BLOCK, pairs)
-    codes = passage[inside] * len(index.threshold) + piece[inside]
+    bound = np.bincount(inverse, index.block_max[at], len(pairs)) + rest[pairs // index.n_blocks]
+    pairs = pairs[bound >= index.block_threshold[pairs % index.n_blocks] - 1e-9]
+    begins, count = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+    begins[passages[first]], count[passages[first]] = first, size
+    # every term of a passage in each of its blocks
+    work = np.cumsum(count[pairs // index.n_blocks]) // LOOKED
+    found = [scored(index, pairs[work == k], held, begins, count) for k in range(int(work[-1]) + 1)] if len(pairs) else []
+    passage, piece, scores = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    return names[passage] // span, piece, scores
+
+
+def scored(index: Index, pairs: np.ndarray, held: np.ndarray, begins: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, piece, score) above threshold in blocks of passages; of each passage ``held`` has ``count`` terms from ``begins`` on."""
+    passage, block = pairs // index.n_blocks, pairs % index.n_blocks
+    n = count[passage]
+    which = np.repeat(np.arange(len(pairs)), n)
+    term = held[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begins[passage], n)]
+    code = term * index.n_blocks + block[which]
+    at = np.minimum(np.searchsorted(index.block_code, code), len(index.block_code) - 1)
+    there = index.block_code[at] == code
+    which, at = which[there], at[there]
+    stays = np.bincount(which, index.block_max[at], len(pairs)) >= index.block_threshold[block] - 1e-9
+    which, at = which[stays[which]], at[stays[which]]
+    n = index.block_end[at] - index.block_start[at]
+    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(index.block_start[at], n)
+    codes = passage[np.repeat(which, n)] * len(index.threshold) + index.pieces[place]
     pairs, inverse = np.unique(codes, return_inverse=True)
-    scores = np.bincount(inverse, index.impacts[at[inside]], len(pairs))
-    passage, piece = pairs // max(1, len(index.threshold)), pairs % max(1, len(index.threshold))
+    scores = np.bincount(inverse, index.impacts[place], len(pairs))
+    passage, piece = pairs // len(index.threshold), pairs % len(index.threshold)
     ok = scores >= index.threshold[piece] - 1e-9
-    return names[passage[ok]] // span, piece[ok], scores[ok]
+    return passage[ok], piece[ok], scores[ok]
 
 
 def overlaps(index: Index, item: int, numbers: list[int]) -> tuple[float, float]:

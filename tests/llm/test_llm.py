@@ -181,6 +181,38 @@ def test_secret_entropy_by_window_and_piece():
         assert not entropy(word), word
 
 
+def test_retrieval_against_all_pairs(spark, small, monkeypatch):
+    rows = [(r.item_id, (r.text or "").encode(), None) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    texts = [(r.text or "").encode() for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
+    # texts that hold half of an item, or its words in another order
+    rng = np.random.default_rng(4)
+    texts += [b" ".join(rng.permutation(t.split())) for _, t, _ in rows[:40]] + [t[: len(t) // 2] + b" filler words here" for _, t, _ in rows[:40]]
+    index = decontamination.Index(rows)
+    weight = [dict() for _ in index.threshold]
+    for term, piece, impact in zip(index.terms.tolist(), index.pieces.tolist(), index.impacts.tolist(), strict=True):
+        weight[piece][term] = impact
+    numbers = [[n for t in decontamination.terms(text) for n in [index.number.get(t, -1)]] for text in texts]
+    want = {}
+    for at, own in enumerate(numbers):
+        strides = [own[k : k + decontamination.STRIDE] for k in range(0, len(own), decontamination.STRIDE)]
+        for k in range(len(strides)):
+            passage = {n for part in strides[k : k + 2] for n in part}
+            for piece, terms in enumerate(weight):
+                score = sum(w for t, w in terms.items() if t in passage)
+                if score >= index.threshold[piece] - 1e-9:
+                    want[at, piece] = max(want.get((at, piece), 0), score)
+    n = np.array([len(x) for x in numbers])
+    flat, which = np.array([x for own in numbers for x in own], np.int64), np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    for looked in (2_000_000, 500):
+        monkeypatch.setattr(decontamination, "LOOKED", looked)
+        got = {}
+        for t, piece, score in zip(*(x.tolist() for x in decontamination.retrieve(index, flat, which, place)), strict=True):
+            got[t, piece] = max(got.get((t, piece), 0), score)
+        assert got.keys() == want.keys() and len(want) > 40
+        assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_random_keys_of_every_class_are_found(spark, small):
     texts = spark.read.parquet(f"{small}/documents.parquet")
     pairs = secrets.learn_pairs(texts)
