@@ -5,7 +5,7 @@ all training texts. Terms are words, A-Z lower-cased, without marks at their end
 impact in an item is its BM25 weight; a passage's score for an item is the sum over its distinct
 terms; an item is retrieved when a passage reaches SHARE of the score the item gives to itself.
 As in block-max WAND (Ding and Suel 2011) upper bounds spare the work. A passage's terms are put in the order
-of their largest impacts, and the pivot is where the sum of those below it first reaches the least threshold: an
+of their largest impacts, and the pivot is where the sum of those below it first reaches PIVOT of the least threshold: an
 item that is retrieved has a term from the pivot on, so postings of the terms below, the frequent ones, are never
 gone through. Terms from the pivot on name the blocks of items; a block stays if what they give at most within it, and the
 others anywhere, reaches its least threshold, and then if all terms within it do. Only blocks that stay are
@@ -43,6 +43,8 @@ SHARE = 0.5
 WORDS = 5
 QUESTION_OVERLAP = 0.5
 ANSWER_OVERLAP = 0.5
+#: Terms below the pivot bring less than this share of the least threshold; with less, blocks are held against tighter bounds.
+PIVOT = 0.5
 PART, PART_WORDS = 20_000, 4_000_000
 #: Words that are looked at together, and terms of blocks, about.
 CHUNK = 200_000
@@ -129,6 +131,8 @@ class Index:
         np.minimum.at(self.block_threshold, np.arange(n) // ITEMS_A_BLOCK, self.threshold)
         self.term_max = np.zeros(self.n_terms)
         np.maximum.at(self.term_max, self.terms, self.impacts)
+        self.by_rank = np.argsort(self.term_max, kind="stable")
+        self.rank = np.argsort(self.by_rank)
 
 
 def spread(first: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,22 +152,21 @@ def retrieve(index: Index, numbers: np.ndarray, text: np.ndarray, place: np.ndar
     # a word is in the passage that starts at its stride and in the PASSAGE // STRIDE - 1 before
     passages = np.concatenate([one[window >= k] - k for k in range(PASSAGE // STRIDE)])
     held = np.concatenate([numbers[window >= k] for k in range(PASSAGE // STRIDE)])
-    codes = np.unique(passages * index.n_terms + held)
-    passages, held = codes // index.n_terms, codes % index.n_terms
+    # distinct terms of each passage in the order of their largest impacts
+    codes = np.unique(passages * index.n_terms + index.rank[held])
+    passages, held = codes // index.n_terms, index.by_rank[codes % index.n_terms]
     names, passages = np.unique(passages, return_inverse=True)
     least = index.block_threshold.min(initial=np.inf) - 1e-9
     ok = (np.bincount(passages, index.term_max[held], len(names)) >= least)[passages]
     passages, held = passages[ok], held[ok]
     if not len(held):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    # the pivot: terms in the order of their largest impacts, summed up within each passage
-    order = np.lexsort((index.term_max[held], passages))
-    passages, held = passages[order], held[order]
+    # the pivot: largest impacts summed up within each passage
     first = np.flatnonzero(np.append(True, passages[1:] != passages[:-1]))
     size = np.diff(np.append(first, len(passages)))
     summed = np.cumsum(index.term_max[held])
     below = summed - np.repeat(summed[first] - index.term_max[held[first]], size)
-    upper = below >= least
+    upper = below >= PIVOT * least
     rest = np.zeros(len(names))
     np.maximum.at(rest, passages[~upper], below[~upper])
     which, at = spread(index.block_first, held[upper])
