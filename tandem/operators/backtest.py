@@ -169,7 +169,7 @@ def path(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
         return pd.concat([x.astype({"last_index": "Int64", "entry_index": "Int64", "exit_index": "Int64"}) for x in out])
 
     def fold(key: tuple, group: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        if group.empty:
+        if group.empty or state.empty:
             return pd.DataFrame(columns=TRIP)
         s = state.iloc[0]
         trips, _ = replay(*arguments(group.sort_values("idx")), (int(s.sign), int(s.entry_index), s.asked, bool(s.waiting)))
@@ -181,7 +181,8 @@ def path(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
     composed = cut_up.groupBy(*KEYS, "part").applyInPandas(pieces, PIECE).groupBy(*KEYS).applyInPandas(compose, PIECE)
     first = composed.where("kind = 'trip'").select(*KEYS, "sign", "entry_index", "exit_index", F.col("asked").alias("exit_reason"))
     entered = composed.where("kind = 'state'").select(*KEYS, "part", "sign", "entry_index", "asked", "waiting")
-    later = cut_up.where("part > 0").groupBy(*KEYS, "part").cogroup(entered.groupBy(*KEYS, "part")).applyInPandas(fold, "pair_id string, label string, sign bigint, entry_index bigint, exit_index bigint, exit_reason string")
+    # first segments come along for nothing, but so both sides read one exchange, and signals are computed once
+    later = cut_up.groupBy(*KEYS, "part").cogroup(entered.groupBy(*KEYS, "part")).applyInPandas(fold, "pair_id string, label string, sign bigint, entry_index bigint, exit_index bigint, exit_reason string")
     trips = numbered(first.unionByName(later), KEYS, "trade", "entry_index")
     return trips.select(*KEYS, "trade", F.when(F.col("sign") == 1, "long_spread").otherwise("short_spread").alias("direction"), "entry_index", "exit_index", "exit_reason")
 
