@@ -38,7 +38,7 @@ from .common import documents, raw
 K1, B = 1.2, 0.75
 PASSAGE, STRIDE = 128, 64
 ITEM_WORDS = 64
-ITEMS_A_BLOCK = 16
+ITEMS_A_BLOCK = 4
 SHARE = 0.5
 WORDS = 5
 QUESTION_OVERLAP = 0.5
@@ -49,6 +49,8 @@ PART, PART_WORDS = 20_000, 4_000_000
 #: Words that are looked at together, and terms of blocks, about.
 CHUNK = 200_000
 LOOKED = 2_000_000
+#: Bounds that are held at a time.
+BOUNDS = 2_000_000
 MARKS = b".,;:!?\"'()[]{}"
 
 
@@ -169,11 +171,16 @@ def retrieve(index: Index, numbers: np.ndarray, text: np.ndarray, place: np.ndar
     upper = below >= PIVOT * least
     rest = np.zeros(len(names))
     np.maximum.at(rest, passages[~upper], below[~upper])
-    which, at = spread(index.block_first, held[upper])
-    codes = passages[upper][which] * index.n_blocks + index.block_of[at]
-    pairs, inverse = np.unique(codes, return_inverse=True)
-    bound = np.bincount(inverse, index.block_max[at], len(pairs)) + rest[pairs // index.n_blocks]
-    pairs = pairs[bound >= index.block_threshold[pairs % index.n_blocks] - 1e-9]
+    # bounds of passages by blocks, BOUNDS at a time
+    able, named = passages[upper], held[upper]
+    step, kept = max(1, BOUNDS // index.n_blocks), []
+    for lo in range(0, len(names), step):
+        some = slice(*np.searchsorted(able, [lo, lo + step]))
+        which, at = spread(index.block_first, named[some])
+        rows = min(step, len(names) - lo)
+        bound = np.bincount((able[some][which] - lo) * index.n_blocks + index.block_of[at], index.block_max[at], rows * index.n_blocks).reshape(rows, -1)
+        kept.append(np.flatnonzero((bound > 0) & (bound + rest[lo : lo + rows, None] >= index.block_threshold - 1e-9)) + lo * index.n_blocks)
+    pairs = np.concatenate(kept)
     begins, count = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
     begins[passages[first]], count[passages[first]] = first, size
     # every term of a passage in each of its blocks

@@ -206,6 +206,7 @@ def test_retrieval_against_all_pairs(spark, small, monkeypatch):
     place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
     for looked in (2_000_000, 500):
         monkeypatch.setattr(decontamination, "LOOKED", looked)
+        monkeypatch.setattr(decontamination, "BOUNDS", looked)
         got = {}
         for t, piece, score in zip(*(x.tolist() for x in decontamination.retrieve(index, flat, which, place)), strict=True):
             got[t, piece] = max(got.get((t, piece), 0), score)
