@@ -259,7 +259,15 @@ class Weights:
         self.weights, self.lm = weights, lm
         #: Every feature of a word begins with its first three letters.
         self.heads = {f[:3] for f in weights}
-        self.seen = Recent(lambda token: tuple((w, e) for w in restore(token, lm) if (e := self.of_word(w))))
+        self.seen = Recent(self.of_token)
+
+    def of_token(self, token: str) -> tuple[tuple[str, float], ...]:
+        """The words with evidence that a token stands for."""
+        core = token.lower().strip(EDGE)
+        # without a repeat among its first three letters, a word of letters keeps them in any reading
+        if core[:3] not in self.heads and core[:1] != core[1:2] != core[2:3] and core.isalpha():
+            return ()
+        return tuple((w, e) for w in restore(token, self.lm) if (e := self.of_word(w)))
 
     def of_word(self, word: str) -> float:
         if word[:3] not in self.heads:

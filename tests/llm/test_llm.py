@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -337,6 +338,17 @@ def runs(word):
     return [m[0] for m in re.finditer(r"(.)\1*", word)]
 
 
+def test_evidence_of_a_token_is_that_of_its_readings():
+    grams = Counter(g for w in ("idiot", "stupid", "book", "aardvark") for g in toxicity.trigrams(w))
+    lm = toxicity.Characters(grams)
+    weights = toxicity.Weights({"idiot": 3.0, "stu*": 2.0, "aar*": 1.5, "ab": 1.0, "boo*": 0.5}, lm)
+    rng = random.Random(5)
+    tokens = ["ab", "a", "", "!", "AB.", "iddiot", "idiooot", "1diot", "aaardvark", "aardvark", "(Stuupid)", "sstupid", "booook", "b00k", *("".join(rng.choices("abistudok10$.", k=rng.randint(0, 7))) for _ in range(3000))]
+    for token in tokens:
+        assert weights.of_token(token) == tuple((w, weights.of_word(w)) for w in toxicity.restore(token, lm) if weights.of_word(w)), token
+    assert sum(bool(weights.of_token(t)) for t in tokens) > 10
+
+
 def test_language(spark, docs, none):
     rng = np.random.default_rng(6)
     en, de = ["the", "quick", "thing", "with", "river", "over", "other"], ["der", "schnell", "über", "fluss", "nicht", "keit", "wald"]
