@@ -1,9 +1,8 @@
 """Brown class-based bigrams: P(w | before) = P(class of w | class before) * P(w | class of w).
 
-Clustered words are all that make up RATE of the training words or more (LEAST times at least), so
-there are 1 / RATE of them at most, whatever the corpus; all other words, known or not, form the
-class of rare words, and the end token has a class of its own. The number of classes grows with
-the square root of the clustered words. Exchange clustering (Kneser and Ney 1993, in parallel
+Clustered words are all that training has LEAST times or more, whatever the size of the corpus; all other
+words, known or not, form the class of rare words, and the end token has a class of its own. The number
+of classes grows with the square root of the clustered words. Exchange clustering (Kneser and Ney 1993, in parallel
 sweeps after Uszkoreit and Brants 2008):
 
 1. Spark counts the bigrams of all training texts and keeps them in blocks, each with all right
@@ -22,8 +21,9 @@ Class transitions are smoothed by adding ALPHA. A clustered word's emission is i
 class; so is a rare word's in the class of rare words, where one more event stands for all words that
 training doesn't have: it counts as often as there are words seen once (Good and Turing).
 Texts start from, and end in, the end token's class. Word counts cover all training texts and
-grow with them, so they are a table. The clustered words are broadcast with their counts; the
-others' counts are joined by word: a document sends one row for each distinct other word.
+grow with them, so they are a table. Of the clustered words only numbers are broadcast: a 64-bit hash, which names
+them, a count and a class, some 30 bytes a word, which grow with the vocabulary. The others' counts are joined by
+hash: a document sends one row for each distinct other word.
 
 Null text is empty: its only token is the end. Without training texts every probability comes
 from smoothing alone. Rows repeated under one doc_id are scored one by one; an empty table gives
@@ -46,7 +46,6 @@ from pyspark.sql import functions as F
 
 from .common import documents, fold, raw, written
 
-RATE = 5e-7
 LEAST = 3
 SEEDS = 700
 #: Classes for each square root of clustered words.
@@ -60,7 +59,7 @@ MOST_WORDS = 300_000
 #: Bigrams that a task gathers before it counts them, and tokens for each block of bigrams, about.
 GATHER = 1_000_000
 BLOCK = 1_000_000
-#: Entries (words x classes x classes) weighed at a time.
+#: Entries weighed at a time: of neighbours x classes, or of counts x classes x classes; words x classes are a quarter.
 ENTRIES = 2_000_000
 #: Seed of Spark's xxhash64.
 SPARK_SEED = 42
@@ -82,22 +81,47 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+class Head:
+    """Clustered words, by their hashes in order of frequency."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.size, self.places = len(hashes), np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.places]
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of words by frequency; -1 for others."""
+        if not self.size:
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), self.size - 1)
+        return np.where(self.hashes[at] == hashes, self.places[at], -1)
+
+
 class Index(dict):
-    """Numbers of words: clustered words in order of frequency, then others as they come."""
+    """Places of words as they come, their hashes and numbers: clustered words by frequency, then others by place."""
 
-    def __init__(self, head: list[bytes]):
-        super().__init__(zip(head, range(len(head)), strict=True))
-        self.n_head, self.others = len(head), []
+    def __init__(self, head: Head):
+        super().__init__()
+        self.head = head
+        self.reset()
 
     def reset(self) -> None:
-        for word in self.others:
-            del self[word]
-        self.others = []
+        self.clear()
+        self.new, self.hashes, self.found = [], np.empty(0, np.int64), np.empty(0, np.int64)
 
     def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.others.append(word)
-        return number
+        place = self[word] = len(self)
+        self.new.append(word)
+        return place
+
+    def numbers(self, words: list[int]) -> np.ndarray:
+        """Numbers of words by their places."""
+        if self.new:
+            hashes = np.array([xxhash.xxh64_intdigest(w, seed=SPARK_SEED) for w in self.new], np.uint64).view(np.int64)
+            found = self.head.numbers(hashes)
+            places = np.arange(len(self.hashes), len(self))
+            self.hashes, self.found = np.append(self.hashes, hashes), np.append(self.found, np.where(found < 0, self.head.size + places, found))
+            self.new = []
+        return self.found[np.array(words, np.int64)]
 
 
 def chunks(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -110,10 +134,10 @@ def chunks(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[tuple[li
             words += map(index.__getitem__, new)
             lengths.append(len(new))
             if len(words) >= CHUNK or k == len(ids) - 1:
-                yield ids[lo : k + 1], flags[lo : k + 1], np.array(words, np.int64), np.array(lengths)
+                yield ids[lo : k + 1], flags[lo : k + 1], index.numbers(words), np.array(lengths)
                 lo, words, lengths = k + 1, [], []
-        if len(index.others) > MOST_WORDS // 4:
-            index.reset()
+                if len(index) > MOST_WORDS:
+                    index.reset()
 
 
 def unit_runs(n_head: int, numbers: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,13 +212,13 @@ def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes[starts], np.add.reduceat(counts[order], starts) if len(starts) else counts[:0]
 
 
-def count_pairs(head: list[bytes], blocks: Blocks):
+def count_pairs(head: Head, blocks: Blocks):
     """Bigrams of a task's texts by slice of the first unit's block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, held, size = Index(head), [], 0
         for _, _, numbers, lengths in chunks(batches, index):
-            now, before = unit_runs(len(head), numbers, lengths)
+            now, before = unit_runs(head.size, numbers, lengths)
             held.append(before * blocks.units + now)
             size += len(now)
             if size >= GATHER:
@@ -226,7 +250,7 @@ def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [key[0]], "slice": [0 if len(key) == 1 else key[1]], "codes": [planes(np.diff(codes, prepend=0))], "counts": [planes(counts)]})
 
 
-def bigrams(train: DataFrame, head: list[bytes], counts: np.ndarray) -> DataFrame:
+def bigrams(train: DataFrame, head: Head, counts: np.ndarray) -> DataFrame:
     """A row per block with the right and the left neighbours of its units; ``counts`` is how often each unit comes."""
     blocks = Blocks(counts)
     slices = written(train.mapInArrow(count_pairs(head, blocks), BIGRAMS).groupBy("block", "slice").applyInPandas(merge, BIGRAMS), "bigrams")
@@ -257,42 +281,62 @@ def contexts(codes: np.ndarray, counts: np.ndarray, units: int, words: np.ndarra
     return np.bincount(at[ok] * classes + of[other[ok]], counts[ok], len(words) * classes).reshape(len(words), classes), alone
 
 
-def gains(table: np.ndarray, right: np.ndarray, left: np.ndarray, alone: np.ndarray, old: np.ndarray) -> np.ndarray:
+def raised(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What small counts (1 and on, by row) add to x log x of each column, and of each row, of the table."""
+    most = ENTRIES // table.size
+    return tuple(np.concatenate([np.empty((0, len(table))), *(xlogx(t + n) - xlogx(t) for n in range(1, most + 1))]) for t in (table.T, table))
+
+
+def gains(table: np.ndarray, right: np.ndarray, left: np.ndarray, alone: np.ndarray, old: np.ndarray, small: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
     """What moving each word from its class (-1: it has none) to each other adds to the likelihood, for each word by itself.
 
-    ``right`` and ``left`` count the classes of its neighbours, without itself.
+    ``right`` and ``left`` count the classes of its neighbours, without itself; ``small`` is what :func:`raised` gives.
     """
-    f, k, one = xlogx(table), len(table), np.arange(len(old))
+    f, k, together = xlogx(table), len(table), max(1, ENTRIES // len(table))
     out = np.zeros(right.shape)
-    for side, t, ft in ((right, table, f), (left, table.T, f.T)):
+    for side, t, ft, made in ((right, table.T, f.T, small and small[0]), (left, table, f, small and small[1])):
         # words' own counts fill some of a class's row: only those entries change
         word, other = np.nonzero(side)
-        if len(word):
-            change = xlogx(t.T[other] + side[word, other][:, None]) - ft.T[other]
-            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            out[word[first]] += np.add.reduceat(change, first, axis=0)
+        count = side[word, other]
+        few = count <= (0 if made is None else len(made) // k)
+        for of_few in (True, False):
+            some = np.flatnonzero(few == of_few)
+            for lo in range(0, len(some), together):
+                w, o, n = (x[some[lo : lo + together]] for x in (word, other, count))
+                change = made[(n.astype(np.int64) - 1) * k + o] if of_few else xlogx(t[o] + n[:, None]) - ft[o]
+                first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+                out[w[first]] += np.add.reduceat(change, first, axis=0)
     rows, cols, n_right, n_left = table.sum(axis=1), table.sum(axis=0), right.sum(axis=1) + alone, left.sum(axis=1) + alone
     at, f_at = np.diag(table), np.diag(f)
-    out += xlogx(at + right + left + alone[:, None]) - xlogx(at + right) - xlogx(at + left) + f_at
-    out -= xlogx(rows + n_right[:, None]) - xlogx(rows) + xlogx(cols + n_left[:, None]) - xlogx(cols)
+    # bigrams within the new class: without its own, a word needs neighbours of the class on both sides
+    w, c = np.nonzero(((right > 0) & (left > 0)) | (alone > 0)[:, None])
+    r, l, s = right[w, c], left[w, c], alone[w]
+    out[w, c] += xlogx(at[c] + r + l + s) - xlogx(at[c] + r) - xlogx(at[c] + l) + f_at[c]
+    for total, n in ((rows, n_right), (cols, n_left)):
+        values, place = np.unique(n, return_inverse=True)
+        for lo in range(0, len(values), together):
+            inside = np.flatnonzero((place >= lo) & (place < lo + together))
+            out[inside] -= (xlogx(total + values[lo : lo + together, None]) - xlogx(total))[place[inside] - lo]
     placed = old >= 0
     if not placed.any():
         return out
-    o, w = old[placed], one[placed]
-    r, l, s = right[placed], left[placed], alone[placed]
-    r_o, l_o = r[np.arange(len(o)), o][:, None], l[np.arange(len(o)), o][:, None]
-    t_row, t_col = table[o], table[:, o].T
-    f_row, f_col = f[o], f[:, o].T
-    less_row, less_col = xlogx(np.maximum(t_row - r, 0)), xlogx(np.maximum(t_col - l, 0))
-    leave = (less_row - f_row).sum(axis=1) + (less_col - f_col).sum(axis=1)
+    one = np.arange(int(placed.sum()))
+    o, r, l, s = old[placed], right[placed], left[placed], alone[placed]
+    r_o, l_o = r[one, o], l[one, o]
     both = table[o, o]
-    leave += xlogx(np.maximum(both - r_o[:, 0] - l_o[:, 0] - s, 0)) - xlogx(np.maximum(both - r_o[:, 0], 0)) - xlogx(np.maximum(both - l_o[:, 0], 0)) + f[o, o]
+    leave = xlogx(np.maximum(both - r_o - l_o - s, 0)) - xlogx(np.maximum(both - r_o, 0)) - xlogx(np.maximum(both - l_o, 0)) + f[o, o]
     leave -= xlogx(np.maximum(rows[o] - n_right[placed], 0)) - xlogx(rows[o]) + xlogx(np.maximum(cols[o] - n_left[placed], 0)) - xlogx(cols[o])
     # entries between the old class and the new one lose and win at once
-    cross = xlogx(np.maximum(t_col + r_o - l, 0)) - xlogx(t_col + r_o) - less_col + f_col
-    cross += xlogx(np.maximum(t_row + l_o - r, 0)) - xlogx(t_row + l_o) - less_row + f_row
-    out[w] += leave[:, None] + cross
-    out[w, o] = 0.0
+    cross = np.zeros(r.shape)
+    for side, t, ft, won in ((r, table, f, l_o), (l, table.T, f.T, r_o)):
+        w, c = np.nonzero(side)
+        n, x, fx = side[w, c], t[o[w], c], ft[o[w], c]
+        less = xlogx(np.maximum(x - n, 0)) - fx
+        leave += np.bincount(w, less, len(o))
+        cross[w, c] += xlogx(np.maximum(x + won[w] - n, 0)) - xlogx(x + won[w]) - less
+    at = np.flatnonzero(placed)
+    out[at] += leave[:, None] + cross
+    out[at, o] = 0.0
     return out
 
 
@@ -353,9 +397,10 @@ def class_table(blocks: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
 def propose(of: np.ndarray, table: np.ndarray):
     """Moves that raise the likelihood by themselves: words and their new classes, per block."""
     units, classes = len(of), len(table)
-    together = max(1, ENTRIES // classes**2)
+    together = max(1, ENTRIES // 4 // classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = raised(table)
         for codes, counts, left_codes, left_counts in sides(batches, "codes", "counts", "left_codes", "left_counts"):
             found, new = [np.empty(0, np.int32)], [np.empty(0, np.int16)]
             both = [unpacked(codes, counts), unpacked(left_codes, left_counts)]
@@ -367,7 +412,7 @@ def propose(of: np.ndarray, table: np.ndarray):
                 some = words[lo : lo + together]
                 cut = [slice(a[lo], b[lo + len(some) - 1]) for a, b in zip(first, last, strict=True)]
                 (right, alone), (left, _) = (contexts(c[x], n[x], units, some, of, classes) for (c, n), x in zip(both, cut, strict=True))
-                gain = gains(table, right, left, alone, of[some])[:, : classes - 2]
+                gain = gains(table, right, left, alone, of[some], small)[:, : classes - 2]
                 best = np.argmax(gain, axis=1)
                 better = gain[np.arange(len(some)), best] > 1e-6
                 # a word that nothing speaks for is dealt out by its number
@@ -430,27 +475,26 @@ def cluster(blocks: DataFrame, n_head: int) -> tuple[np.ndarray, np.ndarray, lis
 SCORED = "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, word long, n long"
 
 
-def score_texts(head: list[bytes], head_counts: np.ndarray, of: np.ndarray, step: np.ndarray, emit: np.ndarray, ends: int, unknown: float):
+def score_texts(head: Head, head_counts: np.ndarray, of: np.ndarray, step: np.ndarray, emit: np.ndarray, ends: int, unknown: float):
     """A row per text with what the clustered words and the end give, and a row (key, word, n) for each other word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, key = Index(head), TaskContext.get().partitionId() << 33
         log_count = np.log10(head_counts + 1.0)
         for ids, flags, numbers, lengths in chunks(batches, index):
-            k, is_head = len(ids), numbers < len(head)
+            k, is_head = len(ids), numbers < head.size
             text = np.repeat(np.arange(k), lengths)
             add = lambda values, where: np.bincount(where, values, k)
-            units, before = unit_runs(len(head), numbers, lengths)
+            units, before = unit_runs(head.size, numbers, lengths)
             every = np.repeat(np.arange(k), lengths + 1)
             model = add(step[of[before], of[units]] + emit[units], every)
             known = add(np.ones(int(is_head.sum())), text[is_head]) + (ends > 0)
             base = add(log_count[numbers[is_head]], text[is_head]) + np.log10(ends + 1.0) - (lengths + 1) * unknown
-            codes, n = np.unique((text[~is_head] << 40) | (numbers[~is_head] - len(head)), return_counts=True)
-            hashes = np.array([xxhash.xxh64_intdigest(w, seed=SPARK_SEED) for w in index.others], np.uint64).view(np.int64) if len(codes) else np.empty(0, np.int64)
+            codes, n = np.unique((text[~is_head] << 40) | (numbers[~is_head] - head.size), return_counts=True)
             keys = key + np.arange(k)
             key += k
             yield rows(keys, ids, flags, lengths + 1, known.astype(np.int64), base, model)
-            yield rows(keys[codes >> 40], word=hashes[codes & ((1 << 40) - 1)], n=n)
+            yield rows(keys[codes >> 40], word=index.hashes[codes & ((1 << 40) - 1)], n=n)
 
     def rows(key, doc_id=None, held_out=None, n_tokens=None, known=None, base=None, model=None, word=None, n=None) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
@@ -470,18 +514,17 @@ def class_lm(docs: DataFrame, held_out) -> DataFrame:
     counts = written(train.select("text").mapInArrow(count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
     words, distinct, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first() + (train.count(),)
     tokens, types = words + ends, distinct + (ends > 0)
-    least = max(LEAST, int(np.ceil(words * RATE)))
-    top = counts.where(F.col("c") >= least).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    head, head_counts = [bytes(w) for w in top.word], top.c.to_numpy(np.int64)
+    top = counts.where(F.col("c") >= LEAST).orderBy(F.desc("c"), "word").select(F.xxhash64("word").alias("hash"), "c").toArrow()
+    head, head_counts = Head(top["hash"].to_numpy()), top["c"].to_numpy()
     rare = words - int(head_counts.sum())
     once = max(1, counts.where("c = 1").count())
 
-    of, table, _ = cluster(bigrams(train, head, np.append(head_counts, [ends, rare])), len(head))
+    of, table, _ = cluster(bigrams(train, head, np.append(head_counts, [ends, rare])), head.size)
     table = table + ALPHA
     step = np.log10(table / table.sum(axis=1, keepdims=True))
-    sizes = np.bincount(of[: len(head)], head_counts, len(table))
+    sizes = np.bincount(of[: head.size], head_counts, len(table))
     # rare words: the logarithm of their count comes later
-    emit = np.concatenate([np.log10(head_counts / sizes[of[: len(head)]]), [0.0, -np.log10(rare + once)]])
+    emit = np.concatenate([np.log10(head_counts / sizes[of[: head.size]]), [0.0, -np.log10(rare + once)]])
     unknown = np.log10(tokens + types + 1)
 
     scored = written(texts.mapInArrow(score_texts(head, head_counts, of, step, emit, ends, unknown), SCORED), "scored")

@@ -466,6 +466,32 @@ def test_class_lm_scores_by_hand(spark, monkeypatch):
         assert got[i] == pytest.approx(score)
 
 
+def test_class_lm_clusters_seldom_words_of_large_corpora(spark, monkeypatch):
+    """A word seen three times has a class of its own right, among millions of words as among few."""
+    found = []
+    cluster = class_lm.cluster
+    monkeypatch.setattr(class_lm, "cluster", lambda blocks, n: found.append((n, cluster(blocks, n))) or found[-1][1])
+    few = spark.createDataFrame([(1, "seldom a b"), (2, "seldom a b"), (3, "a seldom b"), (4, "once a")], "doc_id long, text string")
+    many = few.unionAll(spark.range(10, 17).select(F.col("id").alias("doc_id"), F.expr("repeat('a b ', 500000)").alias("text")))
+    for docs in (few, many):
+        got = {r.doc_id: r.n_known for r in class_lm.class_lm(docs, F.lit(False)).collect()}
+        assert got[1] == 4 and found[-1][0] == 3
+    n, (of, table, _) = found[-1]
+    # all but the one rare word and the end stand in classes of clustered words
+    assert table[:, -1].sum() == 1 and table[:, -2].sum() == 11 and table.sum() == 7_000_011 + 11
+
+
+def test_gains_with_changes_of_small_counts_made_before(monkeypatch):
+    rng = np.random.default_rng(3)
+    table, old = rng.poisson(40, (5, 5)).astype(float), np.array([0, 1, 2, -1, 0, 1])
+    right, left, alone = rng.poisson(1.5, (6, 5)).astype(float), rng.poisson(1.5, (6, 5)).astype(float), np.array([0.0, 1, 0, 0, 2, 0])
+    want = class_lm.gains(table, right, left, alone, old)
+    monkeypatch.setattr(class_lm, "ENTRIES", 50)
+    small = class_lm.raised(table)
+    assert [x.shape for x in small] == [(10, 5)] * 2
+    np.testing.assert_allclose(class_lm.gains(table, right, left, alone, old, small), want, atol=1e-9)
+
+
 def test_decontamination(spark, docs, none):
     item = "which animal jumps over the lazy dog in the quiet morning answer it is the quick brown fox of course"
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "two words")], "item_id long, text string")
