@@ -38,6 +38,9 @@ MAX_LABELS = 20_000
 MOST_WORDS = 150_000
 #: Distinct words whose trigrams are counted together.
 PART = 20_000
+#: Texts that a task reads at a time, and distinct features that it counts at a time.
+ROWS = 500
+MOST_FEATURES = 100_000
 THRESHOLD = 0.7
 PREFIXES = (3, 4, 5, 6, 7, 8)
 LEAST_TOXIC = 5
@@ -171,6 +174,13 @@ def features(word: str) -> Iterator[str]:
     yield from (f"{word[:n]}*" for n in PREFIXES if len(word) > n)
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time: Spark's batches hold 10,000 whole texts."""
+    for batch in batches:
+        for lo in range(0, len(batch), ROWS):
+            yield batch.slice(lo, ROWS)
+
+
 def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter[str] = Counter()
     total: Counter[tuple[int, int, int]] = Counter()
@@ -190,7 +200,7 @@ def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for code, n in zip(codes.tolist(), times.tolist(), strict=True):
                 total[code] += int(n)
 
-    for batch in batches:
+    for batch in parts(batches):
         for text in batch.column("text").to_pylist():
             words.update(text.lower().split())
             if len(words) > MOST_WORDS:
@@ -224,7 +234,7 @@ def read_texts(lm: Characters):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Recent(lambda token: restore(token, lm))
-        for batch in batches:
+        for batch in parts(batches):
             words = []
             for text in batch.column("text").to_pylist():
                 own = set(unspaced(text, lm))
@@ -237,17 +247,25 @@ def read_texts(lm: Characters):
 
 
 def count_features(weights: dict[str, float]):
-    """Texts that have a feature, toxic and not, within a task; toxic texts with any of ``weights`` are left out."""
+    """Texts that have a feature, toxic or not, in some rows of a task; toxic texts with any of ``weights`` are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
-        for batch in batches:
+
+        def drain() -> Iterator[pa.RecordBatch]:
+            for toxic, own in counts.items():
+                n, none = pa.array(own.values(), pa.int64()), pa.array(np.zeros(len(own), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), *((n, none) if toxic else (none, n))], names=["feature", "n1", "n0"])
+                own.clear()
+
+        for batch in parts(batches):
             for words, toxic in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 own = {f for w in words for f in features(w)}
                 if not toxic or weights.keys().isdisjoint(own):
                     counts[toxic].update(own)
-        names = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[k][f] for f in names], pa.int64()) for k in (1, 0))], names=["feature", "n1", "n0"])
+                if len(counts[0]) + len(counts[1]) > MOST_FEATURES:
+                    yield from drain()
+        yield from drain()
 
     return run
 
@@ -330,7 +348,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Callable[[], Callable[[str], fl
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Weights(weights, lm)
-        for batch in batches:
+        for batch in parts(batches):
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(map(seen.of_words, batch.column("words").to_pylist()), pa.float64())], names=["toxic", "evidence"])
 
     rows = train.mapInArrow(weigh, "toxic int, evidence double").toPandas()
@@ -349,7 +367,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = maker()
-        for batch in batches:
+        for batch in parts(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(scorer, batch.column("text").to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return texts_of(docs).mapInArrow(run, "doc_id long, score double")
@@ -361,7 +379,7 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = maker()
-        for batch in batches:
+        for batch in parts(batches):
             yield batch.filter(pa.array([scorer(text or "") < threshold for text in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -316,6 +316,23 @@ def test_toxicity(spark, none):
     assert {r.score for r in toxicity.score(docs, labels.where("toxic = 0")).collect()} == {0.0}
 
 
+def test_toxicity_counts_features_in_parts(monkeypatch):
+    """A task never holds many more features than MOST_FEATURES, and all of them are counted."""
+    monkeypatch.setattr(toxicity, "ROWS", 3)
+    monkeypatch.setattr(toxicity, "MOST_FEATURES", 50)
+    texts = [[f"w{i}", f"longword{i % 7}"] for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i % 2 for i in range(200)], pa.int32()), pa.array(texts, pa.list_(pa.string()))], names=["toxic", "words"])
+    got, want = Counter(), Counter()
+    for out in toxicity.count_features({"w11": 1.0})(iter([batch])):
+        assert len(out) < 100
+        for f, n1, n0 in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            got.update({(f, 1): n1, (f, 0): n0})
+    for i, words in enumerate(texts):
+        if i != 11:
+            want.update((f, i % 2) for f in {f for w in words for f in toxicity.features(w)})
+    assert +got == want
+
+
 def test_toxicity_reads_repeats_and_marks():
     words = ["moron", "idiot", "river", "summer", "letter", "window", "garden", "morning", "paper"]
     grams = Counter(g for w in words for g in toxicity.trigrams(w) for _ in range(100))
