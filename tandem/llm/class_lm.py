@@ -287,12 +287,12 @@ def raised(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([np.empty((0, len(table))), *(xlogx(t + n) - xlogx(t) for n in range(1, most + 1))]) for t in (table.T, table))
 
 
-def gains(table: np.ndarray, right: np.ndarray, left: np.ndarray, alone: np.ndarray, old: np.ndarray, small: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+def gains(table: np.ndarray, right: np.ndarray, left: np.ndarray, alone: np.ndarray, old: np.ndarray, small: tuple[np.ndarray, ...] | None = None, f: np.ndarray | None = None) -> np.ndarray:
     """What moving each word from its class (-1: it has none) to each other adds to the likelihood, for each word by itself.
 
-    ``right`` and ``left`` count the classes of its neighbours, without itself; ``small`` is what :func:`raised` gives.
+    ``right`` and ``left`` count the classes of its neighbours, without itself; ``small`` is what :func:`raised` gives, ``f`` x log x of the table.
     """
-    f, k, together = xlogx(table), len(table), max(1, ENTRIES // len(table))
+    f, k, together = xlogx(table) if f is None else f, len(table), max(1, ENTRIES // len(table))
     out = np.zeros(right.shape)
     for side, t, ft, made in ((right, table.T, f.T, small and small[0]), (left, table, f, small and small[1])):
         # words' own counts fill some of a class's row: only those entries change
@@ -346,14 +346,14 @@ def exchange(pairs: np.ndarray, classes: int) -> np.ndarray:
     of = np.append(np.argsort(np.argsort(-pairs[:-2].sum(axis=1), kind="stable"), kind="stable") % free, [free, free + 1])
     member = np.eye(classes)[of]
     table = member.T @ pairs @ member
-    moved = True
+    f, moved = xlogx(table), True
     while moved:
         moved = False
         for u in range(units - 2):
             right, left, own = pairs[u] @ member, member.T @ pairs[:, u], pairs[u, u]
             right[of[u]] -= own
             left[of[u]] -= own
-            gain = gains(table, right[None], left[None], np.array([own]), of[u : u + 1])[0][:free]
+            gain = gains(table, right[None], left[None], np.array([own]), of[u : u + 1], f=f)[0][:free]
             new, old = int(np.argmax(gain)), of[u]
             if gain[new] <= 1e-6:
                 continue
@@ -361,6 +361,8 @@ def exchange(pairs: np.ndarray, classes: int) -> np.ndarray:
                 table[c] += sign * right
                 table[:, c] += sign * left
                 table[c, c] += sign * own
+            for c in (old, new):
+                f[c], f[:, c] = xlogx(table[c]), xlogx(table[:, c])
             member[u] = np.eye(classes)[new]
             of[u], moved = new, True
     return of
@@ -394,8 +396,13 @@ def class_table(blocks: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
     return table
 
 
-def propose(of: np.ndarray, table: np.ndarray):
-    """Moves that raise the likelihood by themselves: words and their new classes, per block."""
+def in_turn(words: np.ndarray, sweep: int, share: int) -> np.ndarray:
+    """Which words a sweep may move if it moves one of ``share``, by a hash."""
+    return (words.astype(np.int64) * 2654435761 // 64 + sweep) % share == 0
+
+
+def propose(of: np.ndarray, table: np.ndarray, sweep: int, share: int):
+    """Moves of the words in turn that raise the likelihood by themselves: words and their new classes, per block."""
     units, classes = len(of), len(table)
     together = max(1, ENTRIES // 4 // classes)
 
@@ -405,7 +412,7 @@ def propose(of: np.ndarray, table: np.ndarray):
             found, new = [np.empty(0, np.int32)], [np.empty(0, np.int16)]
             both = [unpacked(codes, counts), unpacked(left_codes, left_counts)]
             words = np.unique(np.concatenate([c // units for c, _ in both]))
-            words = words[words < units - 2]
+            words = words[(words < units - 2) & in_turn(words, sweep, share)]
             first = [np.searchsorted(c, words * units) for c, _ in both]
             last = [np.searchsorted(c, (words + 1) * units) for c, _ in both]
             for lo in range(0, len(words), together):
@@ -445,8 +452,8 @@ def cluster(blocks: DataFrame, n_head: int) -> tuple[np.ndarray, np.ndarray, lis
         pairs.ravel()[np.frombuffer(row.places, np.int32)] = np.frombuffer(row["counts"], np.int64)
     of[seeds] = exchange(pairs, classes)
 
-    def moved(of: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = blocks.mapInArrow(propose(of, table), "words binary, classes binary").collect()
+    def moved(of: np.ndarray, table: np.ndarray, sweep: int = 0, share: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        rows = blocks.mapInArrow(propose(of, table, sweep, share), "words binary, classes binary").collect()
         return tuple(np.concatenate([np.empty(0, kind), *(np.frombuffer(r[name], kind) for r in rows)]) for name, kind in (("words", np.int32), ("classes", np.int16)))
 
     words, new = moved(of, class_table(blocks, of, classes))
@@ -454,10 +461,10 @@ def cluster(blocks: DataFrame, n_head: int) -> tuple[np.ndarray, np.ndarray, lis
     table = class_table(blocks, of, classes)
     found, sweep = [likelihood(table)], 0
     while True:
-        words, new = moved(of, table)
-        share = 1 if sweep < ALL_MOVE else 2
-        while len(words) >= share:
-            some = (words.astype(np.int64) * 2654435761 // 64 + sweep) % share == 0
+        least = share = 1 if sweep < ALL_MOVE else 2
+        words, new = moved(of, table, sweep, share)
+        while len(words) * least >= share:
+            some = in_turn(words, sweep, share)
             tried = of.copy()
             tried[words[some]] = new[some]
             tried_table = class_table(blocks, tried, classes)
