@@ -7,7 +7,7 @@ count anywhere.
 
 1. A task encodes texts, aligns some hundred kilobytes of them at a time by arrays over byte offsets, and packs
    blocks of documents: digests, and the postings, which are each document's distinct pairs of ids with how often they
-   are linked in it (multiplicities). Blocks are written to the shared folder once.
+   are linked in it (multiplicities), seven bytes each as a rule. Blocks are written to the shared folder once.
 2. Counts of pairs: each task merges the pairs of several blocks before its rows are shuffled; sums by pair, then the
    maximum per A id (an id has at most as many partners as B has ids).
 3. Postings are shuffled by side id: part = A id mod PARTS. The counts of a part come first in its sorted
@@ -41,18 +41,21 @@ from pyspark.sql import functions as F
 from .common import documents, raw, written
 
 PARTS = 64
-#: Postings of a block, about, and bytes of text that are aligned at a time.
-BLOCK = 150_000
-CHUNK = 300_000
+#: Postings of a block, about, and bytes of text that are aligned at a time. A cell of a block stays below half a megabyte,
+#: from which on the JVM lays objects out apart.
+BLOCK = 80_000
+CHUNK = 200_000
 #: Distinct pairs that a task merges before it hands on their counts.
 MERGED = 1_500_000
 #: Postings of a part that stay in one task: so many at least, and SPREAD for each of its counts.
-TOGETHER = 4_000_000
+TOGETHER = 1_000_000
 SPREAD = 32
 #: A group is expanded link by link while it has at most so many times its tokens in links.
 WIDE = 8
 #: An id pair as one number: A id above, 15 bits of B id below.
 B_BITS, PAIR_BITS = 15, 31
+#: The number of a document in its block.
+DOC = "<u2"
 
 DIGESTS = ("n_a", "n_b", "n_groups", "n_links")
 BLOCKS = "block long, doc_id array<long>, " + ", ".join(f"{c} array<long>" for c in DIGESTS) + ", groups_sha256 array<string>, docs binary, pairs binary, times binary"
@@ -178,6 +181,11 @@ def align(texts: list[bytes], s: Sides) -> tuple[dict[str, np.ndarray], list[str
     return digests, shas, linked(a, b, group_a, group_b, n_a, n_b, doc)
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in as few bytes each as the largest takes: 1, 2, 4 or 8."""
+    return values.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if values.max(initial=0) <= np.iinfo(t).max))
+
+
 def packed(paths: tuple[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, task, made = sides(paths), TaskContext.get().partitionId(), 0
@@ -186,9 +194,10 @@ def packed(paths: tuple[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
         def row() -> pa.RecordBatch:
             starts = np.cumsum([0] + [len(shas) for _, shas, _ in held])
-            docs = np.concatenate([p[0] + lo for (_, _, p), lo in zip(held, starts, strict=False)]).astype("<u4")
+            # fewer than 40,000 documents
+            docs = np.concatenate([p[0] + lo for (_, _, p), lo in zip(held, starts, strict=False)]).astype(DOC)
             pairs = np.concatenate([p[1] for _, _, p in held]).astype("<u4")
-            times = np.concatenate([p[2] for _, _, p in held]).astype("<i8")
+            times = narrow(np.concatenate([p[2] for _, _, p in held]))
             lists = [ids, *(np.concatenate([d[c] for d, _, _ in held]) for c in DIGESTS)]
             cols = [pa.array([(task << 32) | made], pa.int64()), *(pa.array([x], pa.list_(pa.int64())) for x in lists), pa.array([[x for _, shas, _ in held for x in shas]], pa.list_(pa.string()))]
             cols += [pa.array([x.tobytes()], pa.binary()) for x in (docs, pairs, times)]
@@ -197,7 +206,8 @@ def packed(paths: tuple[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Itera
         def portions() -> Iterator[tuple[list, list[bytes]]]:
             names, texts, size = [], [], 0
             for batch in batches:
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                # a text at a time: a batch holds thousands of whole texts
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), (x.as_py() for x in batch.column("text")), strict=True):
                     names.append(doc_id)
                     texts.append(text)
                     size += len(text)
@@ -223,6 +233,11 @@ def numbers(cell: pa.Scalar, dtype: str) -> np.ndarray:
     return np.frombuffer(cell.as_buffer(), dtype)
 
 
+def multiplicities(cell: pa.Scalar, n: int) -> np.ndarray:
+    """What :func:`narrow` has made of ``n`` numbers, as it is."""
+    return numbers(cell, f"<u{cell.as_buffer().size // n if n else 1}")
+
+
 def documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, n): in how many documents of some blocks a pair is linked."""
 
@@ -266,7 +281,8 @@ def postings(salts: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, *cells in zip(batch.column("block").to_pylist(), *(batch.column(c) for c in ("docs", "pairs", "times")), strict=True):
-                docs, pairs, times = (numbers(c, t) for c, t in zip(cells, ("<u4", "<u4", "<i8"), strict=True))
+                docs, pairs = numbers(cells[0], DOC), numbers(cells[1], "<u4")
+                times = multiplicities(cells[2], len(docs))
                 part = (pairs >> np.uint32(B_BITS)) % PARTS
                 order = np.argsort(part, kind="stable")
                 cuts = np.append(0, np.cumsum(np.bincount(part, minlength=PARTS))).tolist()
@@ -300,7 +316,8 @@ def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pairs, counts = (np.concatenate(x) for x in zip(*waiting, strict=True))
                 order = np.argsort(pairs)
                 pairs, counts, waiting = pairs[order], counts[order], []
-            found, times, doc = counts[np.searchsorted(pairs, numbers(key, "<u4"))], numbers(n, "<i8"), numbers(docs, "<u4")
+            found, doc = counts[np.searchsorted(pairs, numbers(key, "<u4"))], numbers(docs, DOC)
+            times = multiplicities(n, len(doc)).astype(np.int64)
             starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
             best, total = np.add.reduceat(times * (found > 0), starts), np.add.reduceat(times * np.abs(found), starts)
             out.append((block, doc[starts].tobytes(), best.tobytes(), total.tobytes()))
@@ -316,7 +333,7 @@ def summed(digests: pa.Table, found: pa.Table) -> pa.Table:
     cols = {c: digests.column(c).combine_chunks().flatten() for c in ("doc_id", *DIGESTS, "groups_sha256")}
     best, total = np.zeros((2, len(cols["doc_id"])), np.int64)
     for docs, x, y in zip(*(found.column(c) for c in ("docs", "best", "total")), strict=True):
-        doc = numbers(docs, "<u4")
+        doc = numbers(docs, DOC)
         best[doc] += numbers(x, "<i8")
         total[doc] += numbers(y, "<i8")
     made = cols | {"n_best": pa.array(best), "count_sum": pa.array(total)}

@@ -2,11 +2,14 @@
 
 import hashlib
 import math
+import tracemalloc
 from collections import defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,6 +250,44 @@ def test_wide_groups_are_linked_by_distinct_ids():
     assert list(zip(*(x.tolist() for x in got), strict=True)) == [(*k, n) for k, n in sorted(want.items())]
 
 
+def test_blocks_are_small_and_take_few_bytes_a_posting(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice([*"abcdefgh"], rng.integers(2, 8))) for _ in range(3000)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(words, 400)).encode()) for k in range(500)], "doc_id long, text binary").coalesce(1)
+    blocks = docs.mapInArrow(alignment.packed(alignment.vocabularies()), alignment.BLOCKS)
+    cells = blocks.select(*(F.octet_length(c).alias(c) for c in ("docs", "pairs", "times")), F.size("doc_id").alias("n")).collect()
+    assert len(cells) > 1 and sum(r.n for r in cells) == 500
+    # from half a megabyte on, the JVM lays an object out apart
+    assert max(max(r.docs, r.pairs, r.times) for r in cells) < 512 * 1024
+    assert sum(r.docs + r.pairs + r.times for r in cells) <= 7 * sum(r.pairs for r in cells) / 4
+
+
+def test_texts_of_a_batch_are_copied_a_few_at_a_time(monkeypatch):
+    none = np.empty(0, np.int64)
+    monkeypatch.setattr(alignment, "sides", lambda paths: None)
+    monkeypatch.setattr(alignment, "align", lambda texts, s: ({c: np.zeros(len(texts), np.int64) for c in alignment.DIGESTS}, [""] * len(texts), (none, none, none)))
+    monkeypatch.setattr(alignment.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000), pa.int64()), pa.array([b"x" * 10_000] * 4000, pa.binary())], names=["doc_id", "text"])
+    tracemalloc.start()
+    rows = sum(len(x.column("doc_id")[0]) for x in alignment.packed(("", ""))(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 4000 and most < 4_000_000
+
+
+def test_multiplicities_of_any_size(spark):
+    for top, width in ((0, 1), (255, 1), (256, 2), (65_536, 4), (1 << 32, 8)):
+        values = np.array([1, top], np.int64)
+        cell = pa.scalar(alignment.narrow(values).tobytes(), pa.binary())
+        assert cell.as_buffer().size == 2 * width
+        assert alignment.multiplicities(cell, 2).tolist() == [1, top]
+    # links of one pair in one document: a few, more than 255, more than 65,535
+    rows = [(1, "the cat"), (2, "\u0001" * 40), (3, "#" * 9000), (4, None), (5, "中" * 300)]
+    assert sorted((tuple(r) for r in aligned(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()), key=str) == by_hand(rows)
+    nothing = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string").coalesce(1)
+    assert sorted(tuple(r) for r in aligned(nothing).collect()) == [(k, 0, 0, 0, 0, 0, 0, "") for k in (1, 2)]
+
+
 def test_alignment_query_by_hand(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", F.col("text")).collect()]
     got = sorted((tuple(r) for r in QUERIES["op13_tokenizer_alignment"](spark, small).collect()), key=str)
