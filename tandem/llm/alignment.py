@@ -45,6 +45,8 @@ PARTS = 64
 #: from which on the JVM lays objects out apart.
 BLOCK = 80_000
 CHUNK = 200_000
+#: Blocks of a row group. Readers and compression hold whole row groups or pages, whose sizes Parquet looks at only after a hundred rows.
+GROUP = 8
 #: Distinct pairs that a task merges before it hands on their counts.
 MERGED = 1_500_000
 #: Postings of a part that stay in one task: so many at least, and SPREAD for each of its counts.
@@ -344,7 +346,7 @@ def summed(digests: pa.Table, found: pa.Table) -> pa.Table:
 def aligned(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
     """Per document n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256; doc_id and text are read."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw().alias("text"))
-    blocks = written(texts.mapInArrow(packed(paths or vocabularies()), BLOCKS), "blocks")
+    blocks = written(texts.mapInArrow(packed(paths or vocabularies()), BLOCKS), "blocks", **{"parquet.block.row.count.limit": GROUP})
     pairs = blocks.select("pairs").mapInArrow(documents_with, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     counts = written(pairs.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("a"))), "counts")
     # PARTS rows

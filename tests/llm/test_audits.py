@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,6 +263,18 @@ def test_blocks_are_small_and_take_few_bytes_a_posting(spark):
     assert sum(r.docs + r.pairs + r.times for r in cells) <= 7 * sum(r.pairs for r in cells) / 4
 
 
+def test_row_groups_hold_few_blocks(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(alignment, "BLOCK", 1)
+    monkeypatch.setattr(alignment, "CHUNK", 1)
+    monkeypatch.setattr(alignment, "written", lambda df, label, f=alignment.written, **options: made.append(f(df, label, **options)) or made[-1])
+    rows = [(k, f"the cat sat on mat {k}") for k in range(40)]
+    assert sorted((tuple(r) for r in aligned(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()), key=str) == by_hand(rows)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in made[0].inputFiles()]
+    groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert sum(groups) == 40 and max(groups) <= 8
+
+
 def test_texts_of_a_batch_are_copied_a_few_at_a_time(monkeypatch):
     none = np.empty(0, np.int64)
     monkeypatch.setattr(alignment, "sides", lambda paths: None)
